@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import neardup
+from halyard.llm import mixing, neardup, packing, pieces, tokens
+from halyard.session import materialize
 from halyard.sources.tables import table
 
 
@@ -34,11 +35,51 @@ def p7_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicate_groups(*_titled(spark, folder))
 
 
+def _pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.split_texts(table(spark, folder, "reports", "report_id", "text"), "report_id", "text")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Reports that came out in several pieces."""
+    return _pieces(spark, folder).where("piece_no = 1").select(F.col("ident").alias("report_id")).distinct()
+
+
+def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return _pieces(spark, folder).withColumnRenamed("ident", "report_id")
+
+
+def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return packing.pack_texts(docs, table(spark, folder, "pack_specs"), lambda d: tokens.token_counts(d, "doc_id", "text"))
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_report(p8_packed(spark, folder))
+
+
+def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "source", "text")
+    sized = materialize(tokens.token_counts(docs, "doc_id", "text", "source"), "sizes")
+    return mixing.mix(sized, table(spark, folder, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.share_report(p9_mixture(spark, folder), table(spark, folder, "mix_targets"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_report": p2_report,
+    "p3_found": p3_found,
+    "p3_pieces": p3_pieces,
     "p7_found": p7_found,
     "p7_groups": p7_groups,
+    "p8_packed": p8_packed,
+    "p8_fill": p8_fill,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p3_found": "SELECT report_id FROM reports WHERE length(text) > 1200 GROUP BY report_id",
+}
