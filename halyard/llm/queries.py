@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import mixing, neardup, packing, pieces, tokens
+from halyard.llm import mixing, neardup, packing, pieces, stuffing, tokens
 from halyard.session import materialize
 from halyard.sources.tables import table
 
@@ -67,6 +67,18 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.share_report(p9_mixture(spark, folder), table(spark, folder, "mix_targets"))
 
 
+def _lines(spark: SparkSession, folder: str) -> DataFrame:
+    return stuffing.line_shares(table(spark, folder, "documents", "doc_id", "text"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return stuffing.flagged(_lines(spark, folder)).select("doc_id")
+
+
+def p10_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return _lines(spark, folder)
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_report": p2_report,
@@ -78,6 +90,8 @@ QUERIES = {
     "p8_fill": p8_fill,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_lines": p10_lines,
 }
 
 ORACLE: dict[str, str] = {
