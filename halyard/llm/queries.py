@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import mixing, neardup, packing, pieces, stuffing, tokens
+from halyard.llm import mixing, names, neardup, packing, pieces, stuffing, tokens
 from halyard.session import materialize
 from halyard.sources.tables import table
 
@@ -14,6 +14,18 @@ def _reports(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "reports", "report_id", "text", "split", "source")
 
 
+def _entities(spark: SparkSession, folder: str) -> DataFrame:
+    return names.name_entities(table(spark, folder, "raw_reports", "ORGAN_NAME", "AUTHOR_NAME"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.variant_pairs(_entities(spark, folder))
+
+
+def p1_entities(spark: SparkSession, folder: str) -> DataFrame:
+    return _entities(spark, folder)
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.split_overlaps(_reports(spark, folder)).select("report_id_a", "report_id_b").distinct()
 
@@ -80,6 +92,8 @@ def p10_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_entities": p1_entities,
     "p2_found": p2_found,
     "p2_report": p2_report,
     "p3_found": p3_found,
