@@ -332,8 +332,16 @@ def name_entities(raw_reports: DataFrame) -> DataFrame:
     author = F.regexp_replace(F.col("a"), r"^[\s　]+|[\s　]+$", "")
     pairs = seen.select(F.col("ORGAN_NAME").alias("org"), "n", F.explode_outer(F.split("AUTHOR_NAME", "[,，、;]")).alias("a")).select("org", "n", F.nullif(author, F.lit("")).alias("author"))
     pairs = materialize(pairs.groupBy("org", "author").agg(F.sum("n").alias("n")), "name-pairs")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(ctx=[parse_analyst(a).keys or [a] for a in batch["author"]])
+
+    # the analysts of a broker by their reading, as their own spellings vary too
+    authors = pairs.where("author is not null").select("author").distinct().mapInPandas(read, "author string, ctx array<string>")
+    known_by = pairs.where("org is not null and author is not null").join(authors, "author").select(F.col("org").alias("name"), F.explode("ctx").alias("ctx")).distinct()
     orgs = pairs.where(F.trim(F.regexp_replace("org", "　", " ")) != "").groupBy(F.col("org").alias("name")).agg(F.sum("n").alias("n"))
-    brokers = materialize(resolve(orgs, pairs.where("org is not null and author is not null").select(F.col("org").alias("name"), F.col("author").alias("ctx")).distinct(), "broker"), "brokers")
+    brokers = materialize(resolve(orgs, known_by, "broker"), "brokers")
     homes = pairs.where("author is not null").join(brokers.select(F.col("name").alias("org"), "entity"), "org").select(F.col("author").alias("name"), F.col("entity").alias("ctx")).distinct()
     people = pairs.where("author is not null").groupBy(F.col("author").alias("name")).agg(F.sum("n").alias("n"))
     analysts = resolve(people, homes, "analyst")

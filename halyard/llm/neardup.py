@@ -43,6 +43,8 @@ def signed(df: DataFrame, ident: str, text: Column, flags: dict[str, Column] | N
             points = [shingles.canonical_points(t) for t in batch["_text"]]
             keep = [len(p) >= shingles.WIDTH for p in points]
             batch, points = batch[keep], [p for p, k in zip(points, keep) if k]
+            if not points:
+                continue
             marks = [shingles.minmax_signature(shingles.shingle_hashes(p), ROWS * BANDS // 2) for p in points]
             sketch = [shingles.bit_sketch(m) for m in marks]
             canon = [shingles.as_text(p) for p in points]

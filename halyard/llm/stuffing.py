@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 STATES = ["prose", "table", "link", "tag", "menu", "stuffed"]
 PROSE, TABLE, LINK, TAG, MENU, STUFFED = range(6)
-SAMPLE, ROUNDS, REACH = 3_000, 3, 160
+SAMPLE, ROUNDS, REACH = 3_000, 3, 120
 
 # fixed values: common function words and grammatical characters
 _HAN_FUNCTION = "的了在与为并使由将而则其及和是有从对被后前时已可仍以约较因不我们至令但若本未也都很这那之"
@@ -74,7 +74,7 @@ def line_shapes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 words[offset + m.start()] = True
         offset += len(t) + 1
 
-    # a character repeats if the four from here on stood within REACH before in the same text
+    # a character repeats if the four from here on stand again within REACH before or behind in the same text
     c = cp.astype(np.uint64)
     h = docs.astype(np.uint64) + np.uint64(1)
     for k in range(4):
@@ -83,7 +83,9 @@ def line_shapes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.argsort(h, kind="stable")
     same = h[order[1:]] == h[order[:-1]]
     again = np.zeros(len(cp), bool)
-    again[order[1:][same & (order[1:] - order[:-1] <= REACH)]] = True
+    close = same & (order[1:] - order[:-1] <= REACH)
+    again[order[1:][close]] = True
+    again[order[:-1][close]] = True
 
     solid = (kind == _HAN) | (kind == _LATIN) | (kind == _DIGIT)
     at = np.arange(len(cp))
@@ -182,8 +184,13 @@ class LineModel:
         return out
 
 
-def train(texts: list[str], rounds: int = ROUNDS) -> LineModel:
+def train(texts: list[str], rounds: int = ROUNDS, lines: int = 200) -> LineModel:
+    """Seed labels, then ``rounds`` of decoding and re-estimation. Of one text at most ``lines`` lines take part, so that no
+    single long text makes the model."""
     docs, _, symbols = line_shapes(texts)
+    first = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
+    used = np.arange(len(docs)) - np.repeat(first, np.diff(np.append(first, len(docs)))) < lines
+    docs, symbols = docs[used], symbols[used]
     labels = seed_labels(symbols)
     model = LineModel(docs, symbols, labels)
     for _ in range(rounds):
