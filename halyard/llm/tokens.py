@@ -49,4 +49,4 @@ def ranked(df: DataFrame, keys: list[str], ident: str, out: str, weight: str | N
     base = totals.select(*keys, "_salt", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     within = Window.partitionBy(*keys, "_salt").orderBy("_h", ident)
     inner = F.coalesce(F.sum(weight).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) if weight else F.row_number().over(within) - 1
-    return salted.withColumn("_in", inner).join(base, [*keys, "_salt"]).withColumn(out, F.col("_base") + F.col("_in")).drop("_h", "_salt", "_in", "_base")
+    return salted.withColumn("_in", inner).join(base.hint("merge"), [*keys, "_salt"]).withColumn(out, F.col("_base") + F.col("_in")).drop("_h", "_salt", "_in", "_base")
