@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from halyard.operators.sampling import hash_sample
+
 STATES = ["prose", "table", "link", "tag", "menu", "stuffed"]
 PROSE, TABLE, LINK, TAG, MENU, STUFFED = range(6)
 SAMPLE, ROUNDS, REACH = 3_000, 3, 120
@@ -206,7 +208,7 @@ def line_shares(documents: DataFrame, ident: str = "doc_id", text: str = "text",
     """
     source = documents.select(F.col(ident).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    drawn = source.where("text <> ''").select("text", F.xxhash64("doc_id", F.lit(5)).alias("h")).orderBy("h").limit(sample).collect()
+    drawn = hash_sample(source.where("text <> ''"), ["doc_id"], sample)
     model = train([r["text"] for r in drawn]) if drawn else None
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
