@@ -120,7 +120,9 @@ def residual_edge(spark: SparkSession, folder: str) -> DataFrame:
 
 def _confirmed(spark: SparkSession, folder: str) -> DataFrame:
     rows, daily = _labelled(spark, folder)
-    return labels.confirmations(materialize(rows, "labelled"), daily, table(spark, folder, "calendar"), COVERAGE_END)
+    out = labels.confirmations(materialize(rows, "labelled"), daily, table(spark, folder, "calendar"), COVERAGE_END)
+    # written once: a filter on the labels would otherwise be pushed into, and repeat, the array expressions
+    return materialize(out, "confirmed")
 
 
 def confirmation(spark: SparkSession, folder: str) -> DataFrame:
