@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from halyard.functions.scalars import count_bucket, finite
 from halyard.functions.stats import average_rank, benjamini_hochberg, newey_west, quantile_bucket, safe_corr
+from halyard.session import materialize
 
 MAD_TO_SIGMA = 1.4826
 
@@ -149,9 +150,9 @@ def partial_rank_ic(df: DataFrame, x: str, y: str, controls: list[str], keys: li
     c = lambda i, j: F.col(f"c{min(i, j)}{max(i, j)}")
     if len(controls) == 1:
         value = partial(c(0, 1), c(0, 2), c(1, 2))
-    else:
-        given = lambda i, j: partial(c(i, j), c(i, 2), c(j, 2))
-        value = partial(given(0, 1), given(0, 3), given(1, 3))
+    else:  # take out the first control from every pair, then the second; named columns keep the expressions small
+        agg = agg.withColumns({name: partial(c(i, j), c(i, 2), c(j, 2)) for name, i, j in (("g01", 0, 1), ("g03", 0, 3), ("g13", 1, 3))})
+        value = partial(F.col("g01"), F.col("g03"), F.col("g13"))
     return agg.select(*keys, "n_obs", F.when(F.col("n_obs") >= least, value).alias("partial_ic"))
 
 
@@ -159,7 +160,8 @@ def incremental_ic(df: DataFrame, factors: list[str], target: str, controls: lis
     """Mean partial rank IC of each factor with its Newey-West test and Benjamini-Hochberg adjusted p-values."""
     keep = [date, target, *controls]
     long = df.select(*keep, F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("double").alias("x")) for f in factors])).alias("p")).select(*keep, "p.*")
-    test = newey_west(partial_rank_ic(long, "x", target, controls, ["factor", date], least), ["factor"], date, "partial_ic", lags)
+    ics = materialize(partial_rank_ic(long, "x", target, controls, ["factor", date], least), "partial-ic")  # a row per factor and date
+    test = newey_west(ics, ["factor"], date, "partial_ic", lags)
     return benjamini_hochberg(test, "p", "q_value")
 
 

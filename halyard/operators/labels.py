@@ -134,7 +134,8 @@ def confirmations(rows: DataFrame, daily: DataFrame, calendar: DataFrame, covera
     # a forecast made on the report's own day counts as unseen: the earlier one stands in, if there is one
     seen = F.transform("_post", lambda e: F.when(e["available_date"] == start, F.try_element_at("_pm", e["org_id"])).otherwise(e))
     market = F.filter(seen, lambda e: e.isNotNull() & (F.datediff(target, e["publish_date"]) <= lookback_days))
-    both = both.withColumns({"_act": act, "_mkt": market})
+    # the second use of _pm keeps the optimizer from rebuilding the map inside the lambda, once for each element
+    both = both.withColumns({"_act": act, "_mkt": market, "_n_pm": F.size("_pm")})
     market_orgs = F.transform("_mkt", lambda e: e["org_id"])
     pre_orgs = F.transform("_pre", lambda e: e["org_id"])
     panel = lambda name, before, after, n_in, n_out, least, short: F.struct(
@@ -148,7 +149,7 @@ def confirmations(rows: DataFrame, daily: DataFrame, calendar: DataFrame, covera
     )
     keep = [c for c in ("report_id", "stock_code", "org_id", "fy", "forecast_horizon", "available_date", "forecast_new", "scale_t", "pre_label_valid", "pre_label_invalid_reason", "actual_known_date") if c in rows.columns]
     known_date = F.col("actual_known_date") if "actual_known_date" in rows.columns else F.lit(None).cast("date")
-    flat = both.select(*keep, "confirmation_months", "target_date", F.size("_act").alias("n_peer_updates"), F.explode(panels).alias("p")).select(*keep, "confirmation_months", "target_date", "n_peer_updates", "p.*")
+    flat = both.select(*keep, "confirmation_months", "target_date", F.size("_act").alias("n_peer_updates"), "_n_pm", F.explode(panels).alias("p")).select(*keep, "confirmation_months", "target_date", "n_peer_updates", "_n_pm", "p.*")
     flat = flat.withColumns({"n_org_pre": F.size("before"), "n_org_future": F.size("after")})
     early = (
         F.when(F.col("pre_label_valid") != 1, F.col("pre_label_invalid_reason"))
@@ -179,7 +180,7 @@ def confirmations(rows: DataFrame, daily: DataFrame, calendar: DataFrame, covera
             "confirmation_probe_valid": probe.cast("int"),
             "label_available_date": F.when(good, F.col("target_date")),
         }
-    ).drop("before", "after", "least", "short", "_early", "_gap")
+    ).drop("before", "after", "least", "short", "_early", "_gap", "_n_pm")
 
 
 def coverage_audit(rows: DataFrame, label: str, valid: str, reason: str, by: list[str]) -> DataFrame:
