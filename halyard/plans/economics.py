@@ -134,7 +134,7 @@ def rank_sql(value: str, keys: str) -> str:
 
 ORACLE = {
     "forward_returns": f"""WITH {_PANEL}, d AS (SELECT date, row_number() OVER (ORDER BY date) AS o FROM (SELECT DISTINCT date FROM panel)), g AS (SELECT s.stock_code, d.date, d.o, p.ret FROM (SELECT DISTINCT stock_code FROM panel) s CROSS JOIN d LEFT JOIN panel p ON p.stock_code = s.stock_code AND p.date = d.date)
-SELECT {_i('date')} AS date, stock_code, round(ret, 8) AS fwd_1,
+SELECT {_i('date')} AS date, stock_code, round(ret, 8) + 0.0 AS fwd_1,
  round(CASE WHEN count(ret) OVER w2 = 2 THEN product(1 + coalesce(ret, 0)) OVER w2 - 1 END, 8) AS fwd_2, round(CASE WHEN count(ret) OVER w5 = 5 THEN product(1 + coalesce(ret, 0)) OVER w5 - 1 END, 8) AS fwd_5
 FROM g WINDOW w2 AS (PARTITION BY stock_code ORDER BY o ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING), w5 AS (PARTITION BY stock_code ORDER BY o ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)""",
     "event_window_return": f"""WITH {_PANEL}, d AS (SELECT date, row_number() OVER (ORDER BY date) AS o FROM (SELECT DISTINCT date FROM panel)),

@@ -145,7 +145,7 @@ ORACLE = {
     + f""", a AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY month, industry) < 5 THEN 'OTHER' ELSE industry END AS ind, count(*) OVER (PARTITION BY month) AS n FROM f),
 c AS (SELECT *, f2 - avg(f2) OVER g AS y, size - avg(size) OVER g AS s FROM a WINDOW g AS (PARTITION BY month, ind)),
 d AS (SELECT *, sum(s * y) OVER (PARTITION BY month) AS sy, sum(s * s) OVER (PARTITION BY month) AS ss FROM c)
-SELECT {_i('month')} AS month, stock, round(CASE WHEN n >= 20 THEN y - CASE WHEN ss > 1e-12 THEN sy / ss ELSE 0 END * s END, 6) AS residual FROM d""",
+SELECT {_i('month')} AS month, stock, round(CASE WHEN n >= 20 THEN y - CASE WHEN ss > 1e-12 THEN sy / ss ELSE 0 END * s END, 6) + 0.0 AS residual FROM d""",
     "pct_rank": _P + f", r AS ({_ranks(['f1'], 'month', 'f')}) SELECT {_i('month')} AS month, stock, round(r_f1 / count(*) OVER (PARTITION BY month) - 0.5, 8) AS rank FROM r",
     "rank_ic": _P + _LONG + f" SELECT factor, target, {_i('month')} AS month, n_obs, round(rank_ic, 8) AS rank_ic FROM ic",
     "rank_ic_summary": _P

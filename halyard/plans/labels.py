@@ -302,12 +302,12 @@ SELECT stock_code, fy, source_id, actual_np FROM a JOIN g USING (stock_code, fy)
     "residual_edge": _LAB + "SELECT report_id, fy, residual_valid, actual_invalid_reason, round(residual_signed_raw, 6) AS residual_signed_raw, round(edge, 6) AS edge, days_to_actual, profit_transition FROM lab",
     "confirmation": _CONF
     + """SELECT report_id, fy, CAST(confirmation_months AS INT) AS confirmation_months, peer_panel, CAST(np_ AS INT) AS n_org_pre, CAST(nf_ AS INT) AS n_org_future, CAST(nu_ AS INT) AS n_peer_updates,
-  CAST(en_ AS INT) AS n_org_entries, CAST(ex_ AS INT) AS n_org_exits, invalid_reason, round(CASE WHEN invalid_reason IS NULL THEN (ca - cb) / (forecast_new - cb) END, 5) AS progress,
+  CAST(en_ AS INT) AS n_org_entries, CAST(ex_ AS INT) AS n_org_exits, invalid_reason, round(CASE WHEN invalid_reason IS NULL THEN (ca - cb) / (forecast_new - cb) END, 5) + 0.0 AS progress,
   round(CASE WHEN invalid_reason IS NULL THEN ln((df_ + 1e-6) / (db + 1e-6)) END, 5) AS delta_log_dispersion,
   round(CASE WHEN invalid_reason IS NULL AND nu_ > 0 THEN sqrt(least(1, ln(1 + np_) / ln(11)) * least(1, ln(1 + nu_) / ln(4))) ELSE 0 END, 5) AS sample_weight,
   CAST(invalid_reason IS NULL AND (peer_panel = 'active' OR nu_ >= 2) AS INT) AS confirmation_probe_valid FROM c1""",
     "coverage_audit": _LAB
     + """, t AS (SELECT CAST(year(available_date) AS INT) AS report_year, forecast_horizon, CASE WHEN residual_valid = 1 THEN 'valid' ELSE 'invalid' END AS status, actual_invalid_reason AS reason FROM lab)
-SELECT 'residual' AS label, report_year, forecast_horizon, status, reason, count(*) AS "count", sum(count(*)) OVER (PARTITION BY report_year, forecast_horizon) AS total_count,
+SELECT 'residual' AS label, report_year, forecast_horizon, status, reason, count(*) AS "count", CAST(sum(count(*)) OVER (PARTITION BY report_year, forecast_horizon) AS BIGINT) AS total_count,
   round(count(*) / sum(count(*)) OVER (PARTITION BY report_year, forecast_horizon), 8) AS rate FROM t GROUP BY 2, 3, 4, 5""",
 }
