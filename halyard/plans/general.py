@@ -25,7 +25,7 @@ def p4_history(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_amounts(spark: SparkSession, folder: str) -> DataFrame:
     return units.to_yuan(
-        table(spark, folder, "raw_reports", "ID", "REPORT_YEAR", "STOCK_CODE", "FORECAST_NP", "FORECAST_UNIT", "CONTENT", "FORECAST_OR", "FORECAST_EPS"),
+        table(spark, folder, "raw_reports", "ID", "REPORT_YEAR", "STOCK_CODE", "STOCK_NAME", "FORECAST_NP", "FORECAST_UNIT", "CONTENT", "FORECAST_OR", "FORECAST_EPS"),
         table(spark, folder, "report_fy_labels", "report_id", "fy", "stock_code", "forecast_new"),
         table(spark, folder, "reports", "report_id", "text"),
         table(spark, folder, "actuals", "stock_code", "fy", "actual_np"),

@@ -138,6 +138,16 @@ def test_nothing_to_learn_from_and_empty(spark):
     assert units.to_yuan(df.limit(0), lab.limit(0), rep.limit(0), act.limit(0), con.limit(0)).count() == 0
 
 
+def test_missing_code_is_found_by_name(spark):
+    df, lab, rep, act, want = amounts(spark)
+    con = act.withColumnRenamed("actual_np", "consensus_np")
+    size = act.where("stock_code = '000003'").first().actual_np
+    named = df.withColumn("STOCK_NAME", F.concat(F.lit("n"), "STOCK_CODE"))
+    extra = spark.createDataFrame([("Q1", 2024, None, size / 1e6, None, None, None, None, "x", "n000003"), ("Q2", 2024, None, size / 1e6, None, None, None, None, "x", "unknown")], named.schema)
+    got = {r.record_id: r.unit_multiplier for r in units.to_yuan(named.unionByName(extra), lab, rep, act, con).collect()}
+    assert got["Q1"] == 10**6 and got["Q2"] == 10_000 and all(got[k] == u for k, u in want.items())
+
+
 def test_calibration_is_monotone():
     import numpy as np
 
