@@ -42,6 +42,8 @@ SURNAMES = """
 # fixed values: lines of business, written out and abbreviated, Han and Latin
 LINES = {"证券": "securities", "证": "securities", "期货": "futures", "期": "futures", "资本": "capital", "国际": "international", "资管": "assets", "基金": "funds"}
 LATIN_LINES = {"securities": "securities", "sec": "securities", "futures": "futures", "fut": "futures", "capital": "capital", "cap": "capital", "international": "international", "int": "international", "intl": "international", "partners": "partners", "par": "partners", "part": "partners"}
+#: Longer tokens, and names of more tokens, are no names typed by people (whole sentences, say): they match only themselves.
+LONGEST_TOKEN, MOST_TOKENS = 64, 8
 _TRADITIONAL = str.maketrans("證劵國際資貨馬陽鍾離閭鮮於", "证券国际资货马阳钟离闾鲜于")
 _DEPARTMENTS = re.compile(r"[（(](?:研究部|研究所|研究院|研发中心|沪|深|京|香港|上海|北京|深圳)[）)]|(?:证券研究部|研究所|研究院|研发中心|研究部)$|^研究所-|股份有限公司|有限责任公司|有限公司")
 _LEGAL = {"the", "co", "ltd", "inc", "llc", "limited", "corp"}
@@ -90,6 +92,8 @@ def token_price(a: str, b: str) -> float:
 
 def assignment_price(a: list[str], b: list[str], missing: float = 0.5) -> float:
     """Least total price of matching the tokens of a to those of b, in any order; a token without partner costs ``missing``."""
+    if max(len(a), len(b)) > MOST_TOKENS:  # no name has so many; only equal ones go together
+        return 0.0 if sorted(a) == sorted(b) else 99.0
     if len(a) > len(b):
         a, b = b, a
     best = {0: 0.0}
@@ -108,12 +112,14 @@ def assignment_price(a: list[str], b: list[str], missing: float = 0.5) -> float:
 
 def left_out(token: str) -> set[str]:
     """The symmetric-delete neighbourhood: the token and every form with one letter left out."""
-    return {token} | ({token[:i] + token[i + 1 :] for i in range(len(token))} if len(token) > 2 else set())
+    return {token} | ({token[:i] + token[i + 1 :] for i in range(len(token))} if 2 < len(token) <= LONGEST_TOKEN else set())
 
 
 @functools.lru_cache(maxsize=100_000)
 def syllables(word: str) -> tuple[str, ...]:
     """The word cut into known readings, if that is possible, longest first; else the word."""
+    if len(word) > LONGEST_TOKEN:
+        return (word,)
     known = set(_readings().values())
     for n in range(min(6, len(word)), 1, -1):
         if word[:n] in known:
@@ -319,7 +325,9 @@ def resolve(spellings: DataFrame, contexts: DataFrame, field: str, most: float =
     offers = offers.join(roots.select(F.col("key").alias("target"), F.col("root").alias("entity")), "target").groupBy("name", "entity").agg(F.min("price").alias("price"), F.max("common").alias("common"))
     best = Window.partitionBy("name").orderBy("price", F.col("common").desc(), "entity")
     partial = offers.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("name", "entity")
-    return complete.unionByName(partial)
+    found = complete.unionByName(partial)
+    alone = names.select("name").join(found.select("name"), "name", "left_anti").select("name", F.concat(F.lit("="), F.col("name")).alias("entity"))
+    return found.unionByName(alone)
 
 
 def name_entities(raw_reports: DataFrame) -> DataFrame:

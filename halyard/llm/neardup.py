@@ -64,14 +64,7 @@ def similar(left: Column, right: Column):
 
     @F.pandas_udf("double")
     def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-        out, last, one = [], None, set()
-        for x, y in zip(a, b):
-            if x is not last:
-                last, one = x, shingles.shingle_set(x)
-            two = shingles.shingle_set(y)
-            both = len(one & two)
-            out.append(both / (len(one) + len(two) - both) if one or two else 0.0)
-        return pd.Series(out)
+        return pd.Series([shingles.jaccard(x, y) for x, y in zip(a, b)], dtype="float64")
 
     return jaccard(left, right)
 

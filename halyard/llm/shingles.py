@@ -48,16 +48,20 @@ def canonical(text: str) -> str:
 
 def shingle_hashes(points: np.ndarray, width: int = WIDTH) -> np.ndarray:
     """A 32-bit hash of each run of ``width`` code points (repeats included; they change no minimum and no maximum)."""
+    return (_shingle_hashes64(points, width) >> np.uint64(32)).astype(np.uint32)
+
+
+def _shingle_hashes64(points: np.ndarray, width: int = WIDTH) -> np.ndarray:
     n = len(points) - width + 1
     if n <= 0:
-        return np.zeros(0, np.uint32)
+        return np.zeros(0, np.uint64)
     p = points.astype(np.uint64)
     h = np.zeros(n, np.uint64)
     for k in range(width):
         h = (h ^ p[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(32)).astype(np.uint32)
+    return h
 
 
 @functools.lru_cache(maxsize=8)
@@ -70,10 +74,14 @@ def minmax_signature(hashes: np.ndarray, permutations: int, seed: int = 20) -> n
     """Min-max hashing: under each permutation both the minimum and the maximum are kept, so that ``permutations`` hash
     evaluations give twice as many values, each of which two sets share with the probability of their similarity."""
     a, b = _permutations(permutations, seed)
-    mixed = (hashes[:, None] ^ b[None, :]) * a[None, :]
-    mixed ^= mixed >> np.uint32(15)
-    mixed *= np.uint32(0x2C1B3C6D)
-    return np.concatenate([mixed.min(axis=0), mixed.max(axis=0)])
+    low, high = np.full(permutations, 2**32 - 1, np.uint32), np.zeros(permutations, np.uint32)
+    for start in range(0, len(hashes), 16_384):  # a long text takes no more memory than a short one
+        mixed = (hashes[start : start + 16_384, None] ^ b[None, :]) * a[None, :]
+        mixed ^= mixed >> np.uint32(15)
+        mixed *= np.uint32(0x2C1B3C6D)
+        np.minimum(low, mixed.min(axis=0), out=low)
+        np.maximum(high, mixed.max(axis=0), out=high)
+    return np.concatenate([low, high])
 
 
 def band_hashes(signature: np.ndarray, rows: int) -> np.ndarray:
@@ -95,5 +103,19 @@ def bit_sketch(signature: np.ndarray) -> tuple[int, int]:
     return int(words[0]), int(words[1])
 
 
+def jaccard(a: str, b: str, width: int = WIDTH, long: int = 200_000) -> float:
+    """Shared distinct sequences of two canonical texts divided by those of either; 0 if neither has one.
+
+    Long texts compare sorted 64-bit hashes of their sequences instead of the sequences themselves, to bound memory.
+    """
+    if max(len(a), len(b)) > long:
+        x, y = (np.unique(_shingle_hashes64(code_points(t), width)) for t in (a, b))
+        both, n = len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)
+    else:
+        x, y = shingle_set(a, width), shingle_set(b, width)
+        both, n = len(x & y), len(x) + len(y)
+    return both / (n - both) if n else 0.0
+
+
 def shingle_set(text: str, width: int = WIDTH) -> set[str]:
     return {text[i : i + width] for i in range(len(text) - width + 1)}

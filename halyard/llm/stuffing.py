@@ -200,10 +200,22 @@ def train(texts: list[str], rounds: int = ROUNDS, lines: int = 200) -> LineModel
     return model
 
 
+def _slices(text: str, most: int) -> Iterator[str]:
+    """A text in slices of at most ``most`` characters, ended at line ends where there are any; nothing for an empty text."""
+    at = 0
+    while at < len(text):
+        end = min(len(text), at + most)
+        if end < len(text):
+            end = max(text.rfind("\n", at, end), text.rfind("。", at, end)) + 1 or end
+        yield text[at:end]
+        at = end
+
+
 def line_shares(documents: DataFrame, ident: str = "doc_id", text: str = "text", sample: int = SAMPLE, chunk: int = 1_000_000) -> DataFrame:
     """Per document the number of lines, of characters, and the share of characters on lines of each state.
 
-    The model is trained on at most ``sample`` non-empty texts, those with the smallest hash of their id; all texts are decoded whole.
+    The model is trained on at most ``sample`` non-empty texts, those with the smallest hash of their id; all texts are decoded whole
+    (texts of over ``chunk`` characters in slices ended at line ends, to bound memory).
     Null and empty texts have no lines and all shares 0. Repeated ids give repeated rows. An empty table gives an empty result.
     """
     source = documents.select(F.col(ident).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -216,17 +228,23 @@ def line_shares(documents: DataFrame, ident: str = "doc_id", text: str = "text",
             texts = batch["text"].tolist()
             cells = np.zeros((len(texts), len(STATES)), np.int64)
             lines = np.zeros(len(texts), np.int32)
-            rows, held = [], 0
-            for i, t in enumerate([*texts, None]):
-                if t is None or held + len(t) > chunk:
-                    if rows:
-                        docs, size, symbols = line_shapes([texts[r] for r in rows])
-                        np.add.at(cells, (np.array(rows)[docs], model.decode(docs, symbols)), size)
-                        np.add.at(lines, np.array(rows)[docs], 1)
-                    rows, held = [], 0
-                if t:
+            rows, parts, held = [], [], 0
+
+            def settle() -> None:
+                if rows:
+                    docs, size, symbols = line_shapes(parts)
+                    np.add.at(cells, (np.array(rows)[docs], model.decode(docs, symbols)), size)
+                    np.add.at(lines, np.array(rows)[docs], 1)
+
+            for i, t in enumerate(texts):
+                for part in _slices(t, chunk):
+                    if held + len(part) > chunk:
+                        settle()
+                        rows, parts, held = [], [], 0
                     rows.append(i)
-                    held += len(t)
+                    parts.append(part)
+                    held += len(part)
+            settle()
             share = cells / np.maximum(1, cells.sum(axis=1, keepdims=True))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_lines": lines, "n_chars": [len(t) for t in texts], **{s: share[:, k] for k, s in enumerate(STATES)}})
 

@@ -2,6 +2,7 @@ import itertools
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from halyard.llm import names
 
@@ -65,3 +66,10 @@ def test_assignment_is_optimal(a, b):
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     best = min(sum(map(names.token_price, short, p)) for p in itertools.permutations(long, len(short))) + 0.5 * (len(long) - len(short))
     assert abs(names.assignment_price(a, b) - best) < 1e-9
+
+
+def test_texts_in_place_of_names(spark):
+    long = [("机构" * 5000, "字" * 5000), ("word " * 300, "Some Words " * 200), ("a" * 3000, "b" * 3000), ("荻塘证券", "眭霖琰")]
+    df = spark.createDataFrame(long, "ORGAN_NAME string, AUTHOR_NAME string").withColumn("name", F.lit("x")).withColumn("entity", F.lit("x"))
+    got = names.name_entities(df).collect()
+    assert len(got) == 8 and len({(r.field, r.entity) for r in got}) == 8

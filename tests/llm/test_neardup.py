@@ -112,3 +112,11 @@ def test_split_overlaps_equal_brute_force(spark, threshold):
     report = neardup.overlap_report(df, threshold).collect()
     assert sum(r.pairs for r in report) == len(want)
     assert sum(r.records for r in report) == sum(s in ("validation", "test") for s in split.values())
+
+
+def test_long_texts_compare_by_hashes_alike():
+    rng = random.Random(3)
+    a = "".join(rng.choice(WORDS) for _ in range(3000))
+    b = a[:6000] + "".join(rng.choice(WORDS) for _ in range(1500))
+    assert shingles.jaccard(a, b) == shingles.jaccard(a, b, long=10)
+    assert shingles.jaccard("", "") == 0.0

@@ -69,3 +69,14 @@ def test_decoding_equals_brute_force():
         best = max(itertools.product(range(6), repeat=len(rows)), key=lambda p: model.first[p[0]] + score[0, p[0]] + sum(model.moves[a, b] + score[t + 1, b] for t, (a, b) in enumerate(zip(p, p[1:]))))
         assert np.array_equal(model.decode(np.zeros(len(rows), int), rows), best)
     assert len(got) == len(docs)
+
+
+def test_slices_cover_the_text_and_long_texts_count_alike(spark):
+    text = prose(3, 400) + "x" * 5000
+    for most in (1, 700, 10**6):
+        parts = list(stuffing._slices(text, most))
+        assert "".join(parts) == text and max(map(len, parts)) <= most
+    df = spark.createDataFrame([(k, prose(k, 60) + SPAM[k % 3] * 3) for k in range(12)], "doc_id long, text string")
+    whole = {r.doc_id: r for r in stuffing.line_shares(df).collect()}
+    for r in stuffing.line_shares(df, chunk=900).collect():
+        assert r.n_chars == whole[r.doc_id].n_chars and abs(r.prose - whole[r.doc_id].prose) < 0.1
