@@ -94,13 +94,13 @@ def weighted_index_return(weights: DataFrame, returns: DataFrame, least: float =
 
     NULL where the weight with a return is below ``least`` of the snapshot's total.
     """
+    # each snapshot holds for the natural days up to the next one; the panel's dates meet these days by equality. Both are bounded by time
+    last = returns.agg(F.max("date")).first()[0]
     snaps = weights.select("index_code", "trade_date").distinct()
-    until = F.lead("trade_date").over(Window.partitionBy("index_code").orderBy("trade_date"))
-    snaps = snaps.withColumn("_to", until)
-    days = returns.select("date").distinct()
-    # snapshots and dates are both bounded by time; the range condition pairs each date with one snapshot an index
-    at = F.broadcast(snaps).join(days, (F.col("date") >= F.col("trade_date")) & (F.col("_to").isNull() | (F.col("date") < F.col("_to"))))
-    rows = weights.join(F.broadcast(at.select("index_code", "trade_date", "date")), ["index_code", "trade_date"]).join(returns.select("date", "stock_code", finite("ret").alias("ret")), ["date", "stock_code"], "left")
+    until = F.coalesce(F.date_sub(F.lead("trade_date").over(Window.partitionBy("index_code").orderBy("trade_date")), 1), F.lit(last).cast("date"))
+    spans = snaps.withColumn("_to", until).where("_to >= trade_date")
+    at = spans.select("index_code", "trade_date", F.explode(F.sequence("trade_date", "_to")).alias("date")).join(returns.select("date").distinct(), "date", "left_semi")
+    rows = weights.join(F.broadcast(at), ["index_code", "trade_date"]).join(returns.select("date", "stock_code", finite("ret").alias("ret")), ["date", "stock_code"], "left")
     w, has = F.col("weight"), F.col("ret").isNotNull()
     agg = rows.groupBy("index_code", "date").agg(F.sum(F.when(has, w * F.col("ret"))).alias("s"), F.sum(F.when(has, w)).alias("have"), F.sum(w).alias("all"))
     covered = F.try_divide("have", "all")
