@@ -111,15 +111,16 @@ def quantile_portfolios(df: DataFrame, factor: str, target: str, keys: list[str]
 
 def spread_test(portfolios: DataFrame, keys: list[str], date: str, q: int = 5, lags: int = 5) -> DataFrame:
     """Top minus bottom per date, its Newey-West test, and the monotonicity (Spearman of quantile and mean return) per key."""
-    if not keys:
-        return spread_test(portfolios.withColumn("_all", F.lit(1)), ["_all"], date, q, lags).drop("_all")
     top, low = F.max(F.when(F.col("quantile") == q, F.col("mean_return"))), F.max(F.when(F.col("quantile") == 1, F.col("mean_return")))
     daily = portfolios.groupBy(*keys, date).agg((top - low).alias("spread"))
     test = newey_west(daily, keys, date, "spread", lags)
     means = portfolios.groupBy(*keys, "quantile").agg(F.avg("mean_return").alias("m"))
     ranked = means.withColumn("r", average_rank(F.col("m"), *keys))
     mono = ranked.groupBy(*keys).agg(safe_corr(F.col("quantile").cast("double"), F.col("r")).alias("monotonicity"))
-    return test.join(mono, keys)
+    if keys:
+        return test.join(mono, keys)
+    both = test.unionByName(mono, allowMissingColumns=True)  # one row each
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def stratified_ic(df: DataFrame, factor: str, target: str, date: str, strata: dict[str, Column], least: int = 5) -> DataFrame:
