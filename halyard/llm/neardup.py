@@ -79,9 +79,8 @@ def class_pairs(spark_rows: DataFrame, threshold: float, sides: tuple[str, str]
     flags = [c for c in spark_rows.columns if c not in ("ident", "tkey", "canon", "bands", "s0", "s1")]
     rows = materialize(spark_rows, "signed")
     members = rows.select("ident", "tkey", *flags).distinct()
-    heads = rows.groupBy("tkey").agg(F.min("ident").alias("head"), *[F.max(c).alias(c) for c in flags])
-    # of each class the row of its least ident stands for it; equal rows of one ident collapse with min/any_value
-    reps = rows.select("ident", "tkey", "bands", "s0", "s1").join(heads.withColumnRenamed("head", "ident"), ["tkey", "ident"]).dropDuplicates(["tkey"])
+    # bands and sketch follow from the canonical text alone, so any row of a class stands for it
+    reps = rows.groupBy("tkey").agg(*[F.any_value(c).alias(c) for c in ("bands", "s0", "s1")], *[F.max(c).alias(c) for c in flags])
     doc = F.xxhash64("tkey")
     buckets = reps.select(F.explode("bands").alias("band"), doc.alias("doc"), "s0", "s1", *flags)
     a, b = buckets.alias("a"), buckets.alias("b")
