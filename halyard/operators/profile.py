@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from halyard.session import materialize
+
 
 def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per column: type, rows, non-null, null share and distinct values (a null counts as one). One pass, one row per column."""
@@ -194,8 +196,11 @@ def unified_targets(frames: list[DataFrame]) -> DataFrame:
 
 
 def ordinal_rows(df: DataFrame, order: list[str], out: str) -> DataFrame:
-    """Dense 0-based row ids in the given order without one global sort in a task: ranges first, then offsets of their sizes."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    """Dense 0-based row ids in the given order without one global sort in a task: ranges first, then offsets of their sizes.
+
+    The ranges come from a sample, so the rows are written with their range's number: a second run could draw other bounds.
+    """
+    ranged = materialize(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
     sizes = {r["_p"]: r["n"] for r in ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a partition
     base, at = [], 0
     for p in range(max(sizes, default=-1) + 1):
