@@ -93,6 +93,8 @@ def line_shapes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.arange(len(cp))
     run = at - np.maximum.accumulate(np.where(solid, -1, at))
     longest = np.maximum.reduceat(run, first)
+    digits = at - np.maximum.accumulate(np.where(kind == _DIGIT, -1, at))
+    codes = total(digits == 6)  # runs of six digits or more, as codes have
     decimal = (cp == ord(".")) & (prv == _DIGIT) & (nxt == _DIGIT)
     leader = ((cp == ord(".")) & (np.append(cp[1:], 0) == ord("."))) | (cp == ord("…"))
     capital = (kind == _LATIN) & (cp < 97) & (prv == _LATIN)
@@ -116,6 +118,8 @@ def line_shapes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             np.digitize(size / parts, [4.6, 8, 14]),
             np.digitize(size, [6, 26, 80]),
             (latin & (total(starts) > 0) & (function == 0)).astype(int) + 2 * (share(total(capital)) > 0.3),
+            np.digitize(share(codes), [0.001, 0.02]),
+            ((total(cp == ord("：")) > 0) & (size < 60) & (kind[first + size - 1] == _LINE) & (letters[_DIGIT] == 0) & (listed < 3)).astype(int),
             np.digitize(listed, [3]) * ((total((cp == ord("：")) | (cp == ord(":"))) > 0) + 1),
         ],
         axis=1,
@@ -124,8 +128,8 @@ def line_shapes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 #: Number of symbols of each feature.
-WIDTHS = [3, 4, 4, 4, 4, 6, 3, 4, 4, 4, 4, 3]
-_ADDR, _AGAIN, _FUNC, _GAP, _DIG, _DEC, _RUN, _STOP, _PART, _SIZE, _LAT, _LIST = range(12)
+WIDTHS = [3, 4, 4, 4, 4, 6, 3, 4, 4, 4, 4, 3, 2, 3]
+_ADDR, _AGAIN, _FUNC, _GAP, _DIG, _DEC, _RUN, _STOP, _PART, _SIZE, _LAT, _CODE, _HEAD, _LIST = range(14)
 
 
 def seed_labels(x: np.ndarray) -> np.ndarray:
@@ -136,7 +140,9 @@ def seed_labels(x: np.ndarray) -> np.ndarray:
     out[plain & (x[:, _GAP] >= 2) & (x[:, _STOP] != 3) & (x[:, _SIZE] >= 1)] = TAG
     out[plain & (x[:, _RUN] == 2) & (x[:, _FUNC] <= 1)] = TAG
     out[plain & (x[:, _DIG] == 3) & (x[:, _SIZE] >= 1)] = TAG
+    out[(x[:, _CODE] == 2) & (x[:, _DEC] == 0) & (x[:, _STOP] != 3) & (x[:, _SIZE] >= 1)] = TAG
     out[(x[:, _LAT] == 1) & plain & (x[:, _SIZE] >= 1) & (x[:, _STOP] == 0)] = TAG
+    out[x[:, _HEAD] == 1] = PROSE  # a headline
     out[(x[:, _AGAIN] == 3) & (x[:, _SIZE] >= 1)] = STUFFED
     out[(x[:, _DEC] >= 3) | ((x[:, _DEC] == 2) & (x[:, _FUNC] == 0)) | ((x[:, _LIST] == 2) & (x[:, _PART] == 0) & (x[:, _AGAIN] <= 1))] = TABLE
     out[x[:, _ADDR] == 2] = LINK

@@ -24,6 +24,7 @@ SPAM = [
     "某某新材股吧哪里查？某某新材股吧看某某新材主力。某某新材主力，某某新材主力怎么样，某某新材主力好不好。" * 5,
     "某甲科技龙头某乙食品股价某丙电子行情某丁医疗估值某戊能源研报某己软件主力某庚光学分红" * 4,
     " ".join(f"59{k:04d} 概念股 00{k:04d} 牛股" for k in range(40)),
+    " ".join(f"59{4471 + 13 * k} central Europe 00{4350 + 7 * k} cost of sales" for k in range(20)),
     "荻铄电子股吧、珞钰光学财报、昀衍航服 开户、" * 20,
     "\n".join(f"<词{k}>" for k in range(60)),
 ]
