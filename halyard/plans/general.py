@@ -105,3 +105,26 @@ ORACLE = {
 UNION SELECT DISTINCT report_id, fy, 'actual_known_date' FROM j WHERE residual_valid = 1 AND known""",
     "p6_known": _P6 + "SELECT DISTINCT report_id, fy, valid_consensus, CAST(known AS INT) AS actual_known FROM j",
 }
+
+
+def _unit_sql(x: str) -> str:
+    t = f"regexp_replace(lower({x}), '[\\s,]', '', 'g')"
+    rules = [("十亿|billion|bn", 10**9), ("亿|1e8|100mn|100million|hundredmillion", 10**8), ("百万|million|mn|^(rmb|cny|yuan)?m$|(rmb|cny)m$", 10**6), ("万|10k|1e4|tenthousand", 10**4), ("千|thousand|''000|’000|1e3|^(rmb|cny)?k$", 1000), ("元|yuan|rmb|cny|人民币", 1)]
+    return "CASE " + " ".join(f"WHEN regexp_matches({t}, '{r}') THEN {u}" for r, u in rules) + " END"
+
+
+_STATED_SQL = "'" + units.STATED + "'"
+_STOCK_SQL = r"""lpad(nullif(regexp_extract(translate(STOCK_CODE, '０１２３４５６７８９', '0123456789'), '^\s*(?:[A-Za-z]{2}\.?)?(\d{1,6})(?:\.[A-Za-z0]{1,2})?\s*$', 1), ''), 6, '0')"""
+ORACLE["p5_found"] = f"""
+WITH r0 AS (SELECT ID AS id, REPORT_YEAR AS fy, {_STOCK_SQL} AS stock, STOCK_NAME AS name, FORECAST_NP AS v,
+  coalesce({_unit_sql('FORECAST_UNIT')}, {_unit_sql(f"nullif(regexp_extract(CONTENT, {_STATED_SQL}, 1), '')")}) AS stated FROM raw_reports WHERE FORECAST_NP IS NOT NULL),
+c0 AS (SELECT name, min(stock) AS found FROM r0 WHERE stock IS NOT NULL AND name IS NOT NULL GROUP BY 1 HAVING min(stock) = max(stock)),
+n0 AS (SELECT id, max(name) AS name FROM r0 WHERE stock IS NULL AND name IS NOT NULL GROUP BY 1),
+u0 AS (SELECT report_id, max({_unit_sql('u')}) AS stated FROM (SELECT report_id, regexp_extract(text, {_STATED_SQL}, 1) AS u FROM reports) WHERE u <> '' GROUP BY 1),
+a AS (SELECT 'raw_reports' AS source_table, r0.id AS record_id, r0.fy, coalesce(r0.stock, c0.found) AS stock, v, stated, 10000 AS usual FROM r0 LEFT JOIN n0 ON n0.id = r0.id AND r0.stock IS NULL LEFT JOIN c0 ON c0.name = n0.name
+  UNION SELECT 'report_fy_labels', l.report_id, l.fy, stock_code, forecast_new, u0.stated, 1 FROM report_fy_labels l LEFT JOIN u0 USING (report_id) WHERE forecast_new IS NOT NULL),
+b AS (SELECT stock_code, fy, log10(abs(nullif(actual_np, 0))) AS a, NULL AS c FROM actuals UNION ALL SELECT stock_code, fy, NULL, log10(abs(nullif(consensus_np, 0))) FROM consensus_history),
+y AS (SELECT stock_code, fy, avg(a) AS ra, avg(c) AS rc FROM b GROUP BY 1, 2), s AS (SELECT stock_code, avg(coalesce(ra, rc)) AS rs FROM y GROUP BY 1),
+f AS (SELECT a.*, coalesce(ra, rc, rs) - log10(abs(nullif(v, 0))) AS fit FROM a LEFT JOIN y ON y.stock_code = a.stock AND y.fy = a.fy LEFT JOIN s ON s.stock_code = a.stock),
+m AS (SELECT *, coalesce(stated, CASE WHEN fit < 1.5 THEN 1 WHEN fit < 3.5 THEN 1000 WHEN fit < 5 THEN 10000 WHEN fit < 7 THEN 1000000 WHEN fit < 8.5 THEN 100000000 WHEN fit >= 8.5 THEN 1000000000 END, usual) AS unit FROM f)
+SELECT DISTINCT source_table, record_id, fy, CAST(unit AS BIGINT) AS unit_multiplier FROM m WHERE unit <> usual"""
