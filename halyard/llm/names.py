@@ -292,7 +292,9 @@ def resolve(spellings: DataFrame, contexts: DataFrame, field: str, most: float =
 
     index = materialize(keys.mapInPandas(probed, "key string, n long, is_han boolean, probes array<string>, tokens string"), f"{field}-index")
     entries = index.select("key", "n", "is_han", "tokens", F.explode("probes").alias("probe"))
-    ctx_of_key = contexts.join(keyed.select("name", "key"), "name").select("key", "ctx").distinct()
+    # small tables that several steps read are written once, so that no plan repeats another
+    contexts = materialize(contexts, f"{field}-contexts")
+    ctx_of_key = materialize(contexts.join(keyed.select("name", "key"), "name").select("key", "ctx").distinct(), f"{field}-key-contexts")
 
     def shared(pairs: DataFrame, left: DataFrame, column: str) -> DataFrame:
         """Number of contexts that each pair (column, target) has in common."""
@@ -305,6 +307,7 @@ def resolve(spellings: DataFrame, contexts: DataFrame, field: str, most: float =
     near = a.join(b, (F.col("a.probe") == F.col("b.probe")) & (F.col("a.key") != F.col("b.key")) & stronger)
     near = near.select(F.col("a.key").alias("key"), F.col("a.tokens").alias("ta"), F.col("b.key").alias("target"), F.col("b.tokens").alias("tb"), F.col("b.n").alias("n"), F.col("b.is_han").alias("is_han")).distinct()
     near = near.withColumn("price", F.when(unread, F.lit(1.0)).otherwise(_priced(field, F.col("ta"), F.col("tb")))).where(F.col("price") <= most)
+    near = materialize(near, f"{field}-near")
     near = near.join(shared(near.select("key", "target").distinct(), ctx_of_key, "key"), ["key", "target"])
     best = Window.partitionBy("key").orderBy(F.col("is_han").desc(), "price", F.col("common").desc(), F.col("n").desc(), "target")
     links = near.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("key", "target")
@@ -321,11 +324,12 @@ def resolve(spellings: DataFrame, contexts: DataFrame, field: str, most: float =
     later = F.max(F.when(F.col("probe").like("N:%") & (F.get(F.split("tb", " "), F.lit(1)) != F.get(F.split("tokens", " "), F.lit(1))), 0.1).otherwise(0.0))
     offers = offers.groupBy("name", "tokens", "target", "tb").agg(later.alias("later"))
     offers = offers.withColumn("price", _priced(field, F.col("tokens"), F.col("tb")) + F.col("later")).where(F.col("price") <= most)
+    offers = materialize(offers, f"{field}-offers")
     offers = offers.join(shared(offers.select("name", "target").distinct(), contexts.select("name", "ctx").distinct(), "name"), ["name", "target"])
     offers = offers.join(roots.select(F.col("key").alias("target"), F.col("root").alias("entity")), "target").groupBy("name", "entity").agg(F.min("price").alias("price"), F.max("common").alias("common"))
     best = Window.partitionBy("name").orderBy("price", F.col("common").desc(), "entity")
     partial = offers.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("name", "entity")
-    found = complete.unionByName(partial)
+    found = materialize(complete.unionByName(partial), f"{field}-found")
     alone = names.select("name").join(found.select("name"), "name", "left_anti").select("name", F.concat(F.lit("="), F.col("name")).alias("entity"))
     return found.unionByName(alone)
 
@@ -358,6 +362,7 @@ def name_entities(raw_reports: DataFrame) -> DataFrame:
 
 def variant_pairs(entities: DataFrame) -> DataFrame:
     """(field, name_a, name_b), name_a < name_b in code-point order, of two spellings of one entity."""
+    entities = materialize(entities, "entities")
     one = entities.select("field", "entity", F.col("name").alias("name_a"))
     two = entities.select("field", "entity", F.col("name").alias("name_b"))
     return one.join(two, ["field", "entity"]).where("name_a < name_b").select("field", "name_a", "name_b")
