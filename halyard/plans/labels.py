@@ -83,7 +83,7 @@ def _scaled(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 def scale_floor(spark: SparkSession, folder: str) -> DataFrame:
     rows, _ = _consensus(spark, folder)
-    return consensus.scale_floors(rows).select(_day("month"), "forecast_horizon", "scale_reference", "scale_sample_count", F.round("scale_floor", 4).alias("scale_floor"))
+    return consensus.scale_floors(materialize(rows, "consensus")).select(_day("month"), "forecast_horizon", "scale_reference", "scale_sample_count", F.round("scale_floor", 4).alias("scale_floor"))
 
 
 def profit_states(spark: SparkSession, folder: str) -> DataFrame:

@@ -41,12 +41,22 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/halyard/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables this application wrote by ``materialize``. To be called when no result that reads them is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage, and unlike executor-held blocks it survives the loss of an executor.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/halyard/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -143,7 +143,7 @@ def test_scans_and_config(spark, tmp_path):
 
 def test_materialize_uses_the_shared_folder(spark):
     df = materialize(spark.range(5), "x")
-    assert df.count() == 5 and shared_folder(spark) in df.inputFiles()[0]
+    assert df.count() == 5 and f"{shared_folder(spark)}/halyard/{spark.sparkContext.applicationId}/" in df.inputFiles()[0]
 
 
 def test_stream_of_files(spark, tmp_path):
