@@ -1,9 +1,9 @@
 """Amounts recorded in different units, converted to yuan.
 
-A stated unit (in a column, else in the text beside the words for net profit) decides. Where none is stated, a tree ensemble
-trained on the rows that state one, and calibrated on a held-out part, predicts the unit from magnitude, source
-and neighbouring fields. Confident predictions that also fit the stock's reported or expected profit convert; the rest go
-to review with the unit that fits best, the usual unit where nothing is known to fit.
+A stated unit (in a column, else in the text beside the words for net profit) decides. Where none is stated, the unit nearest to
+the stock's reported or expected profit does, the usual unit where no profit is known. A tree ensemble trained on the rows that
+state a unit, and calibrated on a held-out part, predicts the unit from magnitude, source and neighbouring fields; it decides no
+unit, but only whether a row counts as settled (confident and equal to the nearest unit) or goes to review.
 """
 
 from __future__ import annotations
