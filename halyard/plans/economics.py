@@ -29,6 +29,14 @@ def event_window_return(spark: SparkSession, folder: str) -> DataFrame:
     return economics.compound_between(events, panel(spark, folder), "start", "end", "window_return").select("l_orderkey", F.round("window_return", 8).alias("window_return"))
 
 
+def event_window_return_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``event_window_return``, with every line of an order as an event."""
+    rows = table(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
+    start = F.to_date("l_shipdate")
+    events = rows.select("l_orderkey", "l_linenumber", F.lpad((F.col("l_partkey") % 60).cast("string"), 6, "0").alias("stock_code"), start.alias("start"), F.date_add(start, (F.col("l_orderkey") % 6).cast("int")).alias("end"))
+    return economics.compound_between(events, panel(spark, folder), "start", "end", "window_return").select("l_orderkey", "l_linenumber", F.round("window_return", 8).alias("window_return"))
+
+
 def _weights(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "index_weights").select("index_code", stock6("stock_code").alias("stock_code"), "trade_date", "weight", "load_time").where("index_code is not null and stock_code is not null and trade_date is not null")
     return economics.unique_weights(history.latest_delivery(rows, ["index_code", "stock_code", "trade_date"], "weight", "load_time")).where("weight > 0")
@@ -107,7 +115,7 @@ def consistency_audit(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("n", F.round("share_close", 8).alias("share_close"), F.round("max_error", 8).alias("max_error"))
 
 
-QUERIES = {f.__name__: f for f in (forward_returns, event_window_return, locked_universe, weighted_index_return, next_day_return, actual_surprise, analyst_information, revision_samples, clustered_ols, association, quantile_summary, consistency_audit)}
+QUERIES = {f.__name__: f for f in (forward_returns, event_window_return, event_window_return_lines, locked_universe, weighted_index_return, next_day_return, actual_surprise, analyst_information, revision_samples, clustered_ols, association, quantile_summary, consistency_audit)}
 
 _PANEL = "panel AS (SELECT CAST(l_shipdate AS DATE) AS date, lpad(CAST(l_partkey % 60 AS VARCHAR), 6, '0') AS stock_code, avg(l_discount) - 0.05 AS ret FROM lineitem GROUP BY 1, 2)"
 _WTS = r"""w0 AS (SELECT index_code, trade_date, weight, load_time, lpad(regexp_extract(translate(CAST(stock_code AS VARCHAR), '０１２３４５６７８９', '0123456789'), '^\s*(?:[A-Za-z]{2}\.?)?(\d{1,6})(?:\.[A-Za-z0]{1,2})?\s*$', 1), 6, '0') AS stock_code FROM index_weights),

@@ -152,3 +152,21 @@ def test_layer_factors(spark):
     assert np.allclose(out.pc1, pc) and np.allclose(out.disagreement, x.std(1)) and abs(out.deep_residual.mean()) < 1e-9
     logit = probes.logistic_probe(spark.createDataFrame([([float(v[0])], int(v[0] + v[1] > 0)) for v in x], "v array<double>, y int"), "v", "y")
     assert logit.coefficients[0] > 0
+
+
+def test_every_line_is_an_event(spark, tmp_path):
+    from halyard.plans import economics as plans
+
+    rng = np.random.default_rng(3)
+    lines = pd.DataFrame([(o, n, int(rng.integers(1, 4)), pd.Timestamp("2024-01-01") + pd.Timedelta(days=int(rng.integers(0, 9))), float(rng.integers(0, 11)) / 100) for o in range(40) for n in range(1, 6)], columns=["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_discount"])
+    spark.createDataFrame(lines).write.parquet(str(tmp_path / "lineitem.parquet"))
+    ret = (lines.groupby(["l_shipdate", "l_partkey"]).l_discount.mean() - 0.05).to_dict()
+    days = sorted(lines.l_shipdate.unique())
+    want = {}
+    for r in lines.itertuples():
+        end = r.l_shipdate + pd.Timedelta(days=r.l_orderkey % 6)
+        inside = [ret.get((d, r.l_partkey)) for d in days if r.l_shipdate <= d < end]
+        want[r.l_orderkey, r.l_linenumber] = None if end not in days or None in inside else math.prod(1 + x for x in inside) - 1
+    got = {(r.l_orderkey, r.l_linenumber): r.window_return for r in plans.event_window_return_lines(spark, str(tmp_path)).collect()}
+    assert set(got) == set(want) and len(want) == 200 and any(want[k] for k in want if k[1] > 1)
+    assert all((got[k] is None) == (v is None) and (v is None or abs(got[k] - v) < 1e-7) for k, v in want.items())
