@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from halyard.operators import panel
 from halyard.plans import economics
 from halyard.plans.labels import _day, _i
+from halyard.session import materialize
 from halyard.sources.tables import table
 
 
@@ -22,6 +23,16 @@ def panel_unpivot(spark: SparkSession, folder: str) -> DataFrame:
     return panel.long_panel(wide, "date", "ret").select(_day("date"), "stock_code", F.round("ret", 8).alias("ret"))
 
 
+def panel_unpivot_all(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``panel_unpivot``, with every stock of the panel."""
+    long = materialize(economics.panel(spark, folder), "panel")
+    stocks = [r.stock_code for r in long.select("stock_code").distinct().orderBy("stock_code").collect()]
+    if not stocks:
+        return long.select(_day("date"), "stock_code", "ret")
+    wide = panel.wide_panel(long, "date", "stock_code", "ret", stocks)
+    return panel.long_panel(wide, "date", "ret").select(_day("date"), "stock_code", F.round("ret", 8).alias("ret"))
+
+
 def stock_day_targets(spark: SparkSession, folder: str) -> DataFrame:
     returns = economics.panel(spark, folder)
     days = returns.select(F.col("date").alias("trading_date"), F.col("stock_code").alias("symbol"))
@@ -51,7 +62,7 @@ def actuals_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return panel.covered(table(spark, folder, "actuals", "fy", "actual_known_date"), "actual_known_date", "2015-01-01", "2024-06-30", 180)[1]
 
 
-QUERIES = {f.__name__: f for f in (text_dataset, panel_unpivot, stock_day_targets, exposures, exchange_suffix, fiscal_mode, actuals_coverage)}
+QUERIES = {f.__name__: f for f in (text_dataset, panel_unpivot, panel_unpivot_all, stock_day_targets, exposures, exchange_suffix, fiscal_mode, actuals_coverage)}
 
 _P = economics._PANEL
 ORACLE = {
