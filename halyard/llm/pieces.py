@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from halyard.session import materialize
+
 LIMIT, OVERLAP = 1_200, 100
 RANGE, HALO = 1 << 20, 64
 PARAGRAPH, SENTENCE, CLAUSE, WORD = 4, 3, 2, 1
@@ -87,9 +89,9 @@ def _whole(batch: pd.DataFrame, limit: int, overlap: int) -> pd.DataFrame:
 def split_texts(df: DataFrame, ident: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, span: int = RANGE, halo: int = HALO) -> DataFrame:
     """Pieces of every text: ident, piece_no (from 0), start, end, piece.
 
-    A text within the limit is one piece, an empty text one empty piece; null texts give none; null idents are kept for
-    texts of one range and left out for longer ones; idents should be unique (a repeated ident of a text of one range gives its pieces
-    twice). Joining the pieces from each one's ``start`` on returns the text.
+    A text within the limit is one piece, an empty text one empty piece; null texts give none. Rows are told apart by themselves, not
+    by ident, at every length: a null ident keeps its pieces, and each row of a repeated ident gives its own. Joining the pieces of a row
+    from each one's ``start`` on returns its text.
     """
     if not 0 <= 2 * overlap < limit or span < limit or halo < 2:
         raise ValueError("need 0 <= 2 * overlap < limit <= span and halo >= 2")
@@ -103,12 +105,17 @@ def split_texts(df: DataFrame, ident: str, text: str, limit: int = LIMIT, overla
             yield _whole(batch, limit, overlap)
 
     pieces = source.where(size <= span).mapInPandas(short, schema)
-    return pieces.unionByName(_split_long(source.where((size > span) & F.col("ident").isNotNull()), kind, limit, overlap, span, halo))
+    return pieces.unionByName(_split_long(source.where(size > span), kind, limit, overlap, span, halo))
 
 
 def _split_long(source: DataFrame, kind: str, limit: int, overlap: int, span: int, halo: int) -> DataFrame:
-    """Texts of several ranges: boundary tables by range, stitched per text, pieces cut out by range and put together."""
-    ranges = source.select("ident", F.length("text").cast("long").alias("size"), F.posexplode(F.transform(F.sequence(F.lit(0), ((F.length("text") - 1) / span).cast("int")), lambda i: F.substring("text", F.greatest(i * span - halo + 1, F.lit(1)), F.lit(span) + F.when(i == 0, 0).otherwise(halo) + halo))).alias("no", "part"))
+    """Texts of several ranges: boundary tables by range, stitched per text, pieces cut out by range and put together.
+
+    The ranges of a row share a row key that is written with them, so that every step reads the same key.
+    """
+    part = F.posexplode(F.transform(F.sequence(F.lit(0), ((F.length("text") - 1) / span).cast("int")), lambda i: F.substring("text", F.greatest(i * span - halo + 1, F.lit(1)), F.lit(span) + F.when(i == 0, 0).otherwise(halo) + halo)))
+    keyed = source.withColumn("row", F.monotonically_increasing_id())
+    ranges = materialize(keyed.select("row", "ident", F.length("text").cast("long").alias("size"), part.alias("no", "part")), "text-ranges")
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -117,23 +124,24 @@ def _split_long(source: DataFrame, kind: str, limit: int, overlap: int, span: in
                 begin = max(0, no * span - halo)
                 at, what = boundaries(part, begin, no * span, min((no + 1) * span, size))
                 found.append((at, what))
-            yield pd.DataFrame({"ident": batch["ident"], "size": batch["size"], "no": batch["no"], "at": [f[0] for f in found], "what": [f[1].astype(np.int32) for f in found]})
+            yield pd.DataFrame({"row": batch["row"], "size": batch["size"], "no": batch["no"], "at": [f[0] for f in found], "what": [f[1].astype(np.int32) for f in found]})
 
-    tables = ranges.mapInPandas(listed, f"ident {kind}, size long, no int, at array<long>, what array<int>")
+    tables = ranges.drop("ident").mapInPandas(listed, "row long, size long, no int, at array<long>, what array<int>")
 
     def walked(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("no")
         at = np.concatenate([np.asarray(x, np.int64) for x in pdf["at"]] or [np.zeros(0, np.int64)])
         what = np.concatenate([np.asarray(x, np.int8) for x in pdf["what"]] or [np.zeros(0, np.int8)])
-        out = [(pdf["ident"].iloc[0], n, a, b) for n, (a, b) in enumerate(cut(int(pdf["size"].iloc[0]), at, what, limit, overlap))]
-        return pd.DataFrame(out, columns=["ident", "piece_no", "start", "end"])
+        out = [(pdf["row"].iloc[0], n, a, b) for n, (a, b) in enumerate(cut(int(pdf["size"].iloc[0]), at, what, limit, overlap))]
+        return pd.DataFrame(out, columns=["row", "piece_no", "start", "end"])
 
-    plan = tables.groupBy("ident").applyInPandas(walked, f"ident {kind}, piece_no int, start long, end long")
+    plan = tables.groupBy("row").applyInPandas(walked, "row long, piece_no int, start long, end long")
     over = plan.withColumn("no", F.explode(F.sequence((F.col("start") / span).cast("int"), ((F.col("end") - 1) / span).cast("int"))))
-    inner = ranges.select("ident", "no", F.when(F.col("no") == 0, F.col("part")).otherwise(F.substring("part", halo + 1, 1 << 30)).alias("part"))
+    inner = ranges.select("row", "ident", "no", F.when(F.col("no") == 0, F.col("part")).otherwise(F.substring("part", halo + 1, 1 << 30)).alias("part"))
     inner = inner.withColumn("part", F.substring("part", 1, span))
     base = F.col("no") * span
     low = F.greatest(F.col("start"), base)
     bit = F.substring(F.col("part"), (low - base + 1).cast("int"), (F.least(F.col("end"), base + span) - low).cast("int"))
-    bits = over.join(inner, ["ident", "no"]).select("ident", "piece_no", "start", "end", F.struct("no", bit.alias("bit")).alias("bit"))
-    return bits.groupBy("ident", "piece_no", "start", "end").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list("bit")), lambda b: b["bit"])).alias("piece"))
+    bits = over.join(inner, ["row", "no"]).select("row", "ident", "piece_no", "start", "end", F.struct("no", bit.alias("bit")).alias("bit"))
+    whole = F.concat_ws("", F.transform(F.array_sort(F.collect_list("bit")), lambda b: b["bit"]))
+    return bits.groupBy("row", "piece_no", "start", "end").agg(F.first("ident").alias("ident"), whole.alias("piece")).select("ident", "piece_no", "start", "end", "piece")

@@ -57,6 +57,18 @@ def test_ranges_give_the_same_pieces_as_whole_texts(spark, span, halo):
     assert whole == ranged
 
 
+def test_null_and_repeated_idents_keep_each_row(spark):
+    rng = random.Random(9)
+    a, b, c = (text_of(rng, n) for n in (700, 900, 800))
+    rows = [("r", a), ("r", b), ("r", b), (None, c), (None, a), ("s", "短。")]
+    df = spark.createDataFrame(rows, "id string, text string")
+    key = lambda r: (r.ident or "", r.piece_no, r.start, r.end, r.piece)
+    whole = sorted(pieces.split_texts(df, "id", "text").collect(), key=key)
+    ranged = sorted(pieces.split_texts(df, "id", "text", span=1500).collect(), key=key)
+    assert min(map(len, (a, b, c))) > 1500 and whole == ranged
+    assert {r.ident for r in ranged} == {"r", "s", None} and all(len(r.piece) == r.end - r.start <= 1200 for r in ranged)
+
+
 def test_bad_parameters(spark):
     with pytest.raises(ValueError):
         pieces.split_texts(spark.createDataFrame([("a", "b")], "id string, text string"), "id", "text", limit=100, overlap=60)
