@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from halyard.session import materialize
 
-# fixed values: readings of the characters used in names, homophones together; another table may be given
+# fixed values: readings of the characters used in names, homophones together; another table may be given to name_entities
 READINGS = """
 huan 寰环 xuan 瑄宣 lan 岚兰 lang 朗琅 xu 栩许 zhou 舟周 xi 汐西夕 wei 蔚尉 yuan 沅元 he 禾和荷 heng 珩恒 yun 筠云匀昀芸
 han 菡涵 min 旻民敏 lin 霖林淋 qing 卿青清 bai 柏佰百 tong 潼童桐彤 jing 璟景静 qiao 峤乔桥 mei 湄眉梅 qi 祺淇琪 yi 逸溢翊翌怡
@@ -50,14 +50,29 @@ _LEGAL = {"the", "co", "ltd", "inc", "llc", "limited", "corp"}
 _TITLES = re.compile(r"^分析师|^首席|(?:老师|博士|先生|女士)$|[（(][^（()）]*[)）]|_[A-Za-z]+$|\s+(?:CFA|CPA|FRM|PhD|MBA)$", re.I)
 
 
-@functools.lru_cache(maxsize=1)
+def _table(pairs: list[str]) -> dict[str, str]:
+    return dict(zip(pairs[::2], pairs[1::2]))
+
+
+#: The tables in use: reading of a character, and reading of a surname. ``use_tables`` replaces them in a process.
+_TABLES = {"readings": {c: r for r, chars in _table(READINGS).items() for c in chars}, "surnames": _table(SURNAMES)}
+_DEFAULTS = dict(_TABLES)
+
+
+def use_tables(readings: dict[str, str] | None = None, surnames: dict[str, str] | None = None) -> None:
+    """Take these tables from now on in this process; None stands for the module's own."""
+    wanted = {"readings": _DEFAULTS["readings"] if readings is None else readings, "surnames": _DEFAULTS["surnames"] if surnames is None else surnames}
+    if wanted != _TABLES:
+        _TABLES.update(wanted)
+        syllables.cache_clear()
+
+
 def _readings() -> dict[str, str]:
-    return {c: r for r, chars in zip(READINGS[::2], READINGS[1::2]) for c in chars}
+    return _TABLES["readings"]
 
 
-@functools.lru_cache(maxsize=1)
 def _surnames() -> dict[str, str]:
-    return dict(zip(SURNAMES[::2], SURNAMES[1::2]))
+    return _TABLES["surnames"]
 
 
 def _read(chars: str) -> list[str]:
@@ -131,20 +146,27 @@ def syllables(word: str) -> tuple[str, ...]:
     return (word,)
 
 
+def _parts(word: str) -> list[str]:
+    return [p for chunk in re.split(r"([㐀-鿿])", word) if chunk for p in (syllables(chunk) if not _han(chunk) else (chunk,))]
+
+
 def _unread(fixed: str, word: str) -> list[str]:
     """Probes with one syllable left out. A character without a known reading counts as one syllable, so that it meets whatever
     stands in its place."""
-    parts = [p for chunk in re.split(r"([㐀-鿿])", word) if chunk for p in (syllables(chunk) if not _han(chunk) else (chunk,))]
+    parts = _parts(word)
     if len(parts) < 2:
         return []
     return [f"W:{fixed}|{k}|{' '.join(parts[:k] + parts[k + 1 :])}" for k in range(len(parts)) if not any(_han(p) for j, p in enumerate(parts) if j != k)]
 
 
 class Parsed:
-    """What a spelling says: keys (complete spellings; the first is preferred) or probes (incomplete ones), and its tokens."""
+    """What a spelling says: keys (complete spellings; the first is preferred) or probes (incomplete ones), and its tokens.
+
+    Incomplete spellings with the same ``text`` are decided together, and are one entity if nothing completes them.
+    """
 
-    def __init__(self, han: bool, keys: list[str], probes: list[str], tokens: list[str]):
-        self.han, self.keys, self.probes, self.tokens = han, keys, probes, tokens
+    def __init__(self, han: bool, keys: list[str], probes: list[str], tokens: list[str], text: str | None = None):
+        self.han, self.keys, self.probes, self.tokens, self.text = han, keys, probes, tokens, text
 
 
 def _plain(name: str) -> str:
@@ -201,7 +223,8 @@ def parse_analyst(name: str) -> Parsed:
             family, given = text[:1], text[1:]
         s, g = sur.get(family, "".join(_read(family))), "".join(_read(given))
         if not family:
-            return Parsed(True, [], [f"G:{g}"], _read(given))
+            # two characters are a given name, or a name whose surname is in no table
+            return Parsed(True, [], [f"G:{g}"], _read(given), f"{text[0]}|{text[1]}" if len(text) == 2 else None)
         if len(given) == 2 and given[0] in "小老阿":
             return Parsed(True, [], [f"N:{s}|{_read(given[1])[0]}"], [s, *_read(given[1])])
         if len(given) == 1 and family not in sur:
@@ -262,21 +285,23 @@ def _priced(field: str, left: Column, right: Column):
     return price(left, right)
 
 
-def resolve(spellings: DataFrame, contexts: DataFrame, field: str, most: float = 1.5) -> DataFrame:
+def resolve(spellings: DataFrame, contexts: DataFrame, field: str, most: float = 1.5, readings: dict[str, str] | None = None, surnames: dict[str, str] | None = None) -> DataFrame:
     """(name, entity) of all spellings that name an entity; ``spellings`` has name and n, ``contexts`` name and ctx.
 
     Keys of Han spellings stand for themselves. A Latin key joins the Han key, or the more frequent Latin key, of least price up to
     ``most`` that shares a context with it. Incomplete spellings join the proposed entity of least price, then of most shared contexts;
-    without any shared context they stay alone, as do spellings that fit nothing.
+    without any shared context they stay alone, as do spellings that fit nothing. Han keys with characters that are in no table meet each
+    other by the same deletions if they have at least three syllables: of two, one replaced character is as often another name.
     """
     parse, probes_of = FIELDS[field]
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        use_tables(readings, surnames)
         for batch in batches:
             rows = [parse(x) for x in batch["name"]]
-            yield pd.DataFrame({"name": batch["name"], "n": batch["n"], "han": [r.han for r in rows], "keys": [r.keys for r in rows], "probes": [r.probes for r in rows], "tokens": [" ".join(r.tokens) for r in rows]})
+            yield pd.DataFrame({"name": batch["name"], "unit": [r.text or x for r, x in zip(rows, batch["name"])], "n": batch["n"], "han": [r.han for r in rows], "keys": [r.keys for r in rows], "probes": [r.probes for r in rows], "tokens": [" ".join(r.tokens) for r in rows]})
 
-    names = materialize(spellings.select("name", "n").mapInPandas(parsed, "name string, n long, han boolean, keys array<string>, probes array<string>, tokens string"), f"{field}-names")
+    names = materialize(spellings.select("name", "n").mapInPandas(parsed, "name string, unit string, n long, han boolean, keys array<string>, probes array<string>, tokens string"), f"{field}-names")
     # the key of a complete spelling: a Han key among its candidates if there is one, else its preferred one
     options = names.where("size(keys) > 0").select("name", "n", "han", F.posexplode("keys").alias("at", "key"))
     unread = F.col("key").rlike("[㐀-鿿]")
@@ -287,11 +312,12 @@ def resolve(spellings: DataFrame, contexts: DataFrame, field: str, most: float =
     keys = keyed.groupBy("key").agg(F.sum("n").alias("n"), F.max("is_han").alias("is_han"))
 
     def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        use_tables(readings, surnames)
         for batch in batches:
-            yield batch.assign(probes=[probes_of(k) for k in batch["key"]], tokens=[" ".join(_key_tokens(k, field)) for k in batch["key"]])
+            yield batch.assign(long=[len(_parts(k.split("|")[field == "analyst"])) > 2 for k in batch["key"]], probes=[probes_of(k) for k in batch["key"]], tokens=[" ".join(_key_tokens(k, field)) for k in batch["key"]])
 
-    index = materialize(keys.mapInPandas(probed, "key string, n long, is_han boolean, probes array<string>, tokens string"), f"{field}-index")
-    entries = index.select("key", "n", "is_han", "tokens", F.explode("probes").alias("probe"))
+    index = materialize(keys.mapInPandas(probed, "key string, n long, is_han boolean, long boolean, probes array<string>, tokens string"), f"{field}-index")
+    entries = index.select("key", "n", "is_han", "long", "tokens", F.explode("probes").alias("probe"))
     # small tables that several steps read are written once, so that no plan repeats another
     contexts = materialize(contexts, f"{field}-contexts")
     ctx_of_key = materialize(contexts.join(keyed.select("name", "key"), "name").select("key", "ctx").distinct(), f"{field}-key-contexts")
@@ -306,7 +332,13 @@ def resolve(spellings: DataFrame, contexts: DataFrame, field: str, most: float =
     stronger = F.col("b.is_han") | (F.col("b.n") > F.col("a.n")) | ((F.col("b.n") == F.col("a.n")) & (F.col("b.key") < F.col("a.key")))
     near = a.join(b, (F.col("a.probe") == F.col("b.probe")) & (F.col("a.key") != F.col("b.key")) & stronger)
     near = near.select(F.col("a.key").alias("key"), F.col("a.tokens").alias("ta"), F.col("b.key").alias("target"), F.col("b.tokens").alias("tb"), F.col("b.n").alias("n"), F.col("b.is_han").alias("is_han")).distinct()
-    near = near.withColumn("price", F.when(unread, F.lit(1.0)).otherwise(_priced(field, F.col("ta"), F.col("tb")))).where(F.col("price") <= most)
+    near = near.withColumn("price", F.when(unread, F.lit(1.0)).otherwise(_priced(field, F.col("ta"), F.col("tb"))))
+    # Han keys that are not read in full, to more frequent ones of their kind
+    kind = entries.where(unread & F.col("long") & F.col("probe").like("T:%"))
+    a, b = kind.alias("a"), kind.alias("b")
+    alike = a.join(b, (F.col("a.probe") == F.col("b.probe")) & (F.col("a.key") != F.col("b.key")) & stronger)
+    alike = alike.select(F.col("a.key").alias("key"), F.col("a.tokens").alias("ta"), F.col("b.key").alias("target"), F.col("b.tokens").alias("tb"), F.col("b.n").alias("n"), F.col("b.is_han").alias("is_han")).distinct()
+    near = near.unionByName(alike.withColumn("price", _priced(field, F.col("ta"), F.col("tb")))).where(F.col("price") <= most)
     near = materialize(near, f"{field}-near")
     near = near.join(shared(near.select("key", "target").distinct(), ctx_of_key, "key"), ["key", "target"])
     best = Window.partitionBy("key").orderBy(F.col("is_han").desc(), "price", F.col("common").desc(), F.col("n").desc(), "target")
@@ -318,27 +350,30 @@ def resolve(spellings: DataFrame, contexts: DataFrame, field: str, most: float =
         roots = roots.join(up, "root", "left").select("key", F.coalesce("above", "root").alias("root"))
     complete = keyed.join(roots, "key").select("name", F.col("root").alias("entity"))
     # incomplete spellings
-    loose = names.where("size(probes) > 0").select("name", "tokens", F.explode("probes").alias("probe"))
+    loose = names.where("size(probes) > 0").select(F.col("unit").alias("name"), "tokens", F.explode("probes").alias("probe")).distinct()
+    of_unit = contexts.join(names.select("name", "unit"), "name").select(F.col("unit").alias("name"), "ctx").distinct()
     offers = loose.join(entries.select("probe", F.col("key").alias("target"), F.col("tokens").alias("tb")), "probe")
     # a nickname is made of the first character of the given name rather than of a later one
     later = F.max(F.when(F.col("probe").like("N:%") & (F.get(F.split("tb", " "), F.lit(1)) != F.get(F.split("tokens", " "), F.lit(1))), 0.1).otherwise(0.0))
     offers = offers.groupBy("name", "tokens", "target", "tb").agg(later.alias("later"))
     offers = offers.withColumn("price", _priced(field, F.col("tokens"), F.col("tb")) + F.col("later")).where(F.col("price") <= most)
     offers = materialize(offers, f"{field}-offers")
-    offers = offers.join(shared(offers.select("name", "target").distinct(), contexts.select("name", "ctx").distinct(), "name"), ["name", "target"])
+    offers = offers.join(shared(offers.select("name", "target").distinct(), of_unit, "name"), ["name", "target"])
     offers = offers.join(roots.select(F.col("key").alias("target"), F.col("root").alias("entity")), "target").groupBy("name", "entity").agg(F.min("price").alias("price"), F.max("common").alias("common"))
     best = Window.partitionBy("name").orderBy("price", F.col("common").desc(), "entity")
-    partial = offers.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("name", "entity")
+    partial = offers.withColumn("_r", F.row_number().over(best)).where("_r = 1").select(F.col("name").alias("unit"), "entity")
+    partial = names.where("size(probes) > 0").select("name", "unit").join(partial, "unit").select("name", "entity")
     found = materialize(complete.unionByName(partial), f"{field}-found")
-    alone = names.select("name").join(found.select("name"), "name", "left_anti").select("name", F.concat(F.lit("="), F.col("name")).alias("entity"))
+    alone = names.select("name", "unit").join(found.select("name"), "name", "left_anti").select("name", F.concat(F.lit("="), F.col("unit")).alias("entity"))
     return found.unionByName(alone)
 
 
-def name_entities(raw_reports: DataFrame) -> DataFrame:
+def name_entities(raw_reports: DataFrame, readings: dict[str, str] | None = None, surnames: dict[str, str] | None = None) -> DataFrame:
     """(field, name, entity) of broker and analyst spellings; see ``resolve``.
 
     Null and blank names are left out; broker spellings stay as stored, analyst spellings are split at , ， 、 ; and trimmed. Repeated
-    rows only raise counts. An empty input gives an empty result.
+    rows only raise counts. An empty input gives an empty result. ``readings`` (character: reading) and ``surnames`` (surname: reading)
+    replace the module's tables; Latin spellings and homophones are found for characters with a reading only.
     """
     seen = raw_reports.groupBy("ORGAN_NAME", "AUTHOR_NAME").agg(F.count(F.lit(1)).alias("n"))
     author = F.regexp_replace(F.col("a"), r"^[\s　]+|[\s　]+$", "")
@@ -346,6 +381,7 @@ def name_entities(raw_reports: DataFrame) -> DataFrame:
     pairs = materialize(pairs.groupBy("org", "author").agg(F.sum("n").alias("n")), "name-pairs")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        use_tables(readings, surnames)
         for batch in batches:
             yield batch.assign(ctx=[parse_analyst(a).keys or [a] for a in batch["author"]])
 
@@ -353,10 +389,10 @@ def name_entities(raw_reports: DataFrame) -> DataFrame:
     authors = pairs.where("author is not null").select("author").distinct().mapInPandas(read, "author string, ctx array<string>")
     known_by = pairs.where("org is not null and author is not null").join(authors, "author").select(F.col("org").alias("name"), F.explode("ctx").alias("ctx")).distinct()
     orgs = pairs.where(F.trim(F.regexp_replace("org", "　", " ")) != "").groupBy(F.col("org").alias("name")).agg(F.sum("n").alias("n"))
-    brokers = materialize(resolve(orgs, known_by, "broker"), "brokers")
+    brokers = materialize(resolve(orgs, known_by, "broker", readings=readings, surnames=surnames), "brokers")
     homes = pairs.where("author is not null").join(brokers.select(F.col("name").alias("org"), "entity"), "org").select(F.col("author").alias("name"), F.col("entity").alias("ctx")).distinct()
     people = pairs.where("author is not null").groupBy(F.col("author").alias("name")).agg(F.sum("n").alias("n"))
-    analysts = resolve(people, homes, "analyst")
+    analysts = resolve(people, homes, "analyst", readings=readings, surnames=surnames)
     return brokers.select(F.lit("ORGAN_NAME").alias("field"), "name", "entity").unionByName(analysts.select(F.lit("AUTHOR_NAME").alias("field"), "name", "entity"))
 
 

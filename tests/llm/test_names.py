@@ -73,3 +73,27 @@ def test_texts_in_place_of_names(spark):
     df = spark.createDataFrame(long, "ORGAN_NAME string, AUTHOR_NAME string").withColumn("name", F.lit("x")).withColumn("entity", F.lit("x"))
     got = names.name_entities(df).collect()
     assert len(got) == 8 and len({(r.field, r.entity) for r in got}) == 8
+
+
+def groups_of(entities):
+    found = {}
+    for r in entities.collect():
+        found.setdefault((r.field, r.entity), set()).add(r.name)
+    return {frozenset(v) for v in found.values()}
+
+
+def test_names_outside_the_tables(spark):
+    rows = [("东方财富证券", "王强,王 强"), ("东方财富证券", "王强（实习）"), ("东方财富证券", "陈思齐"), ("东方财付证券", "王强"), ("华泰证券", "李娜,赵建国"), ("华安证券", "李娜,赵建军")]
+    got = groups_of(names.name_entities(spark.createDataFrame(rows, "ORGAN_NAME string, AUTHOR_NAME string")))
+    assert frozenset({"王强", "王 强", "王强（实习）"}) in got
+    assert frozenset({"东方财富证券", "东方财付证券"}) in got
+    assert {frozenset({x}) for x in ("华泰证券", "华安证券", "李娜", "赵建国", "赵建军", "陈思齐")} <= got
+
+
+def test_other_tables(spark):
+    rows = [("荻塘证券", "王建国"), ("荻塘证券", "王健国"), ("荻塘证券", "Wang Jianguo"), ("荻塘证券", "李强"), ("荻塘证券", "Li Qiang")]
+    df = spark.createDataFrame(rows, "ORGAN_NAME string, AUTHOR_NAME string")
+    tables = {"readings": {"王": "wang", "建": "jian", "健": "jian", "国": "guo", "强": "qiang", "李": "li"}, "surnames": {"王": "wang", "李": "li"}}
+    want = {frozenset({"王建国", "王健国", "Wang Jianguo"}), frozenset({"李强", "Li Qiang"})}
+    assert want <= groups_of(names.name_entities(df, **tables))
+    assert not want & groups_of(names.name_entities(df))
