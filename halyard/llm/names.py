@@ -285,6 +285,20 @@ def _priced(field: str, left: Column, right: Column):
     return price(left, right)
 
 
+def settled(roots: DataFrame, label: str, most: int = 40) -> DataFrame:
+    """(key, root) with every link followed to its end. Links lead upwards in strength, and each jump doubles the steps taken; links that
+    still move after ``most`` jumps go round in a circle, which is an error."""
+    roots = materialize(roots, f"{label}0")
+    for k in range(most):
+        up = roots.select(F.col("key").alias("root"), F.col("root").alias("above"))
+        jumped = roots.join(up, "root", "left").select("key", F.coalesce("above", "root").alias("root"), F.coalesce(F.col("above") != F.col("root"), F.lit(False)).alias("moved"))
+        jumped = materialize(jumped, f"{label}{k + 1}")
+        roots = jumped.select("key", "root")
+        if jumped.where("moved").isEmpty():
+            return roots
+    raise RuntimeError(f"links do not settle within {most} jumps")
+
+
 def resolve(spellings: DataFrame, contexts: DataFrame, field: str, most: float = 1.5, readings: dict[str, str] | None = None, surnames: dict[str, str] | None = None) -> DataFrame:
     """(name, entity) of all spellings that name an entity; ``spellings`` has name and n, ``contexts`` name and ctx.
 
@@ -344,10 +358,7 @@ def resolve(spellings: DataFrame, contexts: DataFrame, field: str, most: float =
     best = Window.partitionBy("key").orderBy(F.col("is_han").desc(), "price", F.col("common").desc(), F.col("n").desc(), "target")
     links = near.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("key", "target")
     roots = index.select("key").join(links, "key", "left").select("key", F.coalesce("target", "key").alias("root"))
-    for k in range(3):  # links lead upwards in strength; three jumps follow chains of eight
-        roots = materialize(roots, f"{field}-roots{k}")
-        up = roots.select(F.col("key").alias("root"), F.col("root").alias("above"))
-        roots = roots.join(up, "root", "left").select("key", F.coalesce("above", "root").alias("root"))
+    roots = settled(roots, f"{field}-roots")
     complete = keyed.join(roots, "key").select("name", F.col("root").alias("entity"))
     # incomplete spellings
     loose = names.where("size(probes) > 0").select(F.col("unit").alias("name"), "tokens", F.explode("probes").alias("probe")).distinct()

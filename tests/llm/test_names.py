@@ -1,5 +1,6 @@
 import itertools
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -97,3 +98,13 @@ def test_other_tables(spark):
     want = {frozenset({"王建国", "王健国", "Wang Jianguo"}), frozenset({"李强", "Li Qiang"})}
     assert want <= groups_of(names.name_entities(df, **tables))
     assert not want & groups_of(names.name_entities(df))
+
+
+def test_long_chains_of_typos_settle(spark):
+    words = ["".join("xyzuvwabcdefghijklmn"[: k + 1]) for k in range(2, 20)]
+    rows = [(w.title() + " Securities", "Some One") for k, w in enumerate(words) for _ in range(k + 1)]
+    got = groups_of(names.name_entities(spark.createDataFrame(rows, "ORGAN_NAME string, AUTHOR_NAME string")))
+    assert frozenset(w.title() + " Securities" for w in words) in got
+    turn = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "key string, root string")
+    with pytest.raises(RuntimeError):
+        names.settled(turn, "turn", 5)
