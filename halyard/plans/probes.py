@@ -24,6 +24,13 @@ def layers(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("vec_id").alias("representation_row"), "label", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(12)), lambda k: F.slice("embedding", k * 4 + 1, 4))).alias("layer", "vec"))
 
 
+def whole_layers(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``layers``, with all values of a vector: consecutive parts whose sizes differ by one at most."""
+    rows = table(spark, folder, "embeddings", "vec_id", "embedding", "label")
+    edge = lambda k: F.floor(k * F.size("embedding") / 13).cast("int")
+    return rows.select(F.col("vec_id").alias("representation_row"), "label", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(12)), lambda k: F.slice("embedding", edge(k) + 1, edge(k + 1) - edge(k)))).alias("layer", "vec"))
+
+
 def head(spark: SparkSession, folder: str) -> DataFrame:
     d = lambda i: F.round(F.col("vec")[i].cast("double"), 6)
     return probes.head_outputs(layers(spark, folder), d(0) + d(1), d(2) + d(3)).drop("vec")
@@ -85,14 +92,16 @@ def binary_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ridge_probe(spark: SparkSession, folder: str) -> DataFrame:
-    """Layer, chosen penalty and validation correlation of ridge probes of the label."""
-    rows = materialize(layers(spark, folder).withColumn("fold", F.pmod(F.xxhash64("representation_row"), F.lit(5))), "layers")
+    """Layer, chosen penalty, and validation and test correlation of ridge probes of the label: three fifths of the vectors are fitted,
+    one chooses the penalty, and the model refitted on both is scored on the last."""
+    rows = materialize(whole_layers(spark, folder).withColumn("fold", F.pmod(F.xxhash64("representation_row"), F.lit(5))), "layers")
 
     def score(d: DataFrame) -> DataFrame:
         return d.groupBy("layer").agg(F.try_divide(F.covar_pop("label", "prediction"), F.nullif(F.stddev_pop("label") * F.stddev_pop("prediction"), F.lit(0.0))).alias("s"))
 
     models = probes.ridge_probe(rows.where("fold > 1"), rows.where("fold = 1"), score, "layer", "vec", "label", [0.1, 1.0, 10.0, 100.0])
-    return spark.createDataFrame([(int(k), float(m["alpha"]), float(m["validation_score"])) for k, m in sorted(models.items())], "layer int, alpha double, validation_score double")
+    tested = {r["layer"]: r["s"] for r in score(probes.predicted(rows.where("fold = 0"), "layer", "vec", models)).collect()}  # a row per layer
+    return spark.createDataFrame([(int(k), float(m["alpha"]), float(m["validation_score"]), tested.get(k)) for k, m in sorted(models.items())], "layer int, alpha double, validation_score double, test_score double")
 
 
 def cross_layer_factors(spark: SparkSession, folder: str) -> DataFrame:

@@ -170,3 +170,17 @@ def test_every_line_is_an_event(spark, tmp_path):
     got = {(r.l_orderkey, r.l_linenumber): r.window_return for r in plans.event_window_return_lines(spark, str(tmp_path)).collect()}
     assert set(got) == set(want) and len(want) == 200 and any(want[k] for k in want if k[1] > 1)
     assert all((got[k] is None) == (v is None) and (v is None or abs(got[k] - v) < 1e-7) for k, v in want.items())
+
+
+def test_ridge_probe_reads_all_values_and_scores_the_last_fold(spark, tmp_path):
+    from halyard.plans import probes as plans
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 64))
+    rows = [(k, [float(v) for v in x[k]], float(x[k, 63])) for k in range(400)]  # the label is the last value
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label double").write.parquet(str(tmp_path / "embeddings.parquet"))
+    cut = {(r.representation_row, r.layer): list(r.vec) for r in plans.whole_layers(spark, str(tmp_path)).where("representation_row < 2").collect()}
+    assert all(sum((cut[k, n] for n in range(13)), []) == rows[k][1] for k in range(2)) and {len(v) for v in cut.values()} == {4, 5}
+    got = {r.layer: r for r in plans.ridge_probe(spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(13)) and got[12].test_score > 0.99
+    assert all(abs(got[n].test_score) < 0.6 for n in range(12))
