@@ -1,6 +1,8 @@
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from halyard.llm import pieces
 
@@ -47,14 +49,55 @@ def test_cuts_lie_at_ends_where_there_are_any():
     assert all(b in ends for _, b in cuts[:-1]) and all(a in ends for a, _ in cuts[1:])
 
 
-@pytest.mark.parametrize("span,halo", [(1200, 64), (1500, 70), (5000, 64)])
-def test_ranges_give_the_same_pieces_as_whole_texts(spark, span, halo):
+RUNS = st.lists(st.sampled_from(["字", "a", ".", "。", "”", "）", " ", "\n", "\r\n", "，", ",", "7", "\U0001f600", " " * 300, "\n" * 90, "”" * 70, "\u3000"]), max_size=60).map("".join)
+
+
+def plain_boundaries(text):
+    """The definition, character by character."""
+    out, k = [], 0
+
+    def kind(i):
+        c, after = text[i], text[i + 1 : i + 2]
+        if c == ".":
+            return pieces.SENTENCE if after and (after.isspace() or after in "”’」』）)\"'") else 0
+        if c in ",:":
+            return 0 if after and after in "0123456789" else pieces.CLAUSE
+        return pieces.PARAGRAPH if c in "\r\n" else pieces.WORD if c.isspace() else pieces.SENTENCE if c in "。！？!?…；;" else pieces.CLAUSE if c in "，、：" else 0
+
+    while k < len(text):
+        if not kind(k):
+            k += 1
+            continue
+        best = 0
+        while k < len(text) and (kind(k) or text[k] in "”’」』）)\"'"):
+            best = max(best, kind(k))
+            k += 1
+        if k < len(text):
+            out.append((k, best))
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(RUNS, st.sampled_from([1, 2, 3, 7, 64, 4096]))
+def test_boundaries_do_not_depend_on_ranges(text, span):
+    at, kind = pieces.boundaries(text, span)
+    assert list(zip(at.tolist(), kind.tolist())) == plain_boundaries(text)
+
+
+@pytest.mark.parametrize("span,segment", [(1_000, 1 << 20), (4_096, 4_000), (100_000, 7_001)])
+def test_files_by_range_give_the_same_pieces_as_texts(spark, tmp_path, span, segment):
     rng = random.Random(span)
-    df = spark.createDataFrame([(f"t{k}", text_of(rng, 900)) for k in range(6)] + [("s", "短。")], "id string, text string")
-    key = lambda r: (r.ident, r.piece_no)
-    whole = sorted(pieces.split_texts(df, "id", "text").collect(), key=key)
-    ranged = sorted(pieces.split_texts(df, "id", "text", span=span, halo=halo).collect(), key=key)
-    assert whole == ranged
+    texts = {"a": text_of(rng, 9_000), "b": "", "c": "字" * 5_000, "d": "短。", "e": "句子。" + " " * 9_000 + "完" * 2_000 + "”" * 3_000 + "\n" * 3_000 + text_of(rng, 500), "f": "x" * 1_200}
+    for k, text in texts.items():
+        (tmp_path / k).write_bytes(text.encode())
+    paths = {f"file://{tmp_path / k}": k for k in texts}
+    got = sorted((paths[r.path], r.piece_no, r.start, r.end, r.piece) for r in pieces.split_files(spark, [*paths, *paths], span=span, segment=segment).collect())
+    df = spark.createDataFrame([*texts.items()], "id string, text string")
+    want = sorted(tuple(r) for r in pieces.split_texts(df, "id", "text", segment=segment).collect())
+    assert got == want
+    for k, text in texts.items():
+        parts = [pieces.pd.Series(dict(zip(("piece_no", "start", "end", "piece"), g[1:]))) for g in got if g[0] == k]
+        assert joined(parts) == text and all(p.end - p.start <= 1200 for p in parts)
 
 
 def test_null_and_repeated_idents_keep_each_row(spark):
@@ -62,11 +105,11 @@ def test_null_and_repeated_idents_keep_each_row(spark):
     a, b, c = (text_of(rng, n) for n in (700, 900, 800))
     rows = [("r", a), ("r", b), ("r", b), (None, c), (None, a), ("s", "短。")]
     df = spark.createDataFrame(rows, "id string, text string")
-    key = lambda r: (r.ident or "", r.piece_no, r.start, r.end, r.piece)
-    whole = sorted(pieces.split_texts(df, "id", "text").collect(), key=key)
-    ranged = sorted(pieces.split_texts(df, "id", "text", span=1500).collect(), key=key)
-    assert min(map(len, (a, b, c))) > 1500 and whole == ranged
-    assert {r.ident for r in ranged} == {"r", "s", None} and all(len(r.piece) == r.end - r.start <= 1200 for r in ranged)
+    got = pieces.split_texts(df, "id", "text").collect()
+    alone = {t: pieces.split_texts(spark.createDataFrame([("x", t)], "id string, text string"), "id", "text").collect() for t in (a, b, c)}
+    bare = lambda rows: sorted((r.piece_no, r.start, r.end, r.piece) for r in rows)
+    assert bare(r for r in got if r.ident == "r") == bare([*alone[a], *alone[b], *alone[b]])
+    assert bare(r for r in got if r.ident is None) == bare([*alone[c], *alone[a]])
 
 
 def test_bad_parameters(spark):
