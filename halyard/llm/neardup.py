@@ -7,6 +7,7 @@ signatures, banding and an exact check, so copies cost no comparisons.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from halyard.llm import shingles
 from halyard.session import materialize
 
-#: 36 bands of 4 values (72 permutations, both extremes kept): a pair of similarity 0.6 shares a band with probability
-#: 0.993, one of 0.65 with 0.9992.
+#: 36 bands of 4 values (72 permutations, both extremes kept; the values of a band come from four permutations): a pair of similarity
+#: 0.6 shares a band with probability 1 - (1 - 0.6^4)^36 = 0.993, one of 0.65 with 0.9992 (tests/llm/test_neardup.py measures it).
 ROWS, BANDS = 4, 36
 #: Two texts of similarity 0.6 agree in 102 of 128 sketch bits on average, in fewer than 88 with probability 0.0008.
 AGREE = 88
@@ -74,28 +75,27 @@ def class_pairs(spark_rows: DataFrame, threshold: float, sides: tuple[str, str]
 
     Bands are joined by equality; a pair of one bucket is kept only if its bit sketches agree, so what leaves
     the join is close to the result. No bucket is capped: adaptive execution splits a hot one. With ``sides`` = (x, y)
-    only pairs with x in one class and y in the other are compared.
+    the buckets of classes with x are joined to those of classes with y, and no pair within a side is ever made.
     """
     flags = [c for c in spark_rows.columns if c not in ("ident", "tkey", "canon", "bands", "s0", "s1")]
     rows = materialize(spark_rows, "signed")
     members = rows.select("ident", "tkey", *flags).distinct()
     # bands and sketch follow from the canonical text alone, so any row of a class stands for it
     reps = rows.groupBy("tkey").agg(*[F.any_value(c).alias(c) for c in ("bands", "s0", "s1")], *[F.max(c).alias(c) for c in flags])
-    doc = F.xxhash64("tkey")
-    buckets = reps.select(F.explode("bands").alias("band"), doc.alias("doc"), "s0", "s1", *flags)
-    a, b = buckets.alias("a"), buckets.alias("b")
-    near = (F.col("a.band") == F.col("b.band")) & (F.col("a.doc") < F.col("b.doc"))
+
+    def buckets(side: str | None) -> DataFrame:
+        kept = reps.where(side) if side else reps
+        return kept.select(F.explode("bands").alias("band"), "tkey", "s0", "s1")
+
+    a, b = (buckets(x).alias(n) for x, n in zip(sides or (None, None), "ab"))
+    near = (F.col("a.band") == F.col("b.band")) & (F.col("a.tkey") != F.col("b.tkey") if sides else F.col("a.tkey") < F.col("b.tkey"))
     near &= (F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))) + F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1")))) <= 128 - AGREE
-    if sides:
-        x, y = sides
-        near &= (F.col(f"a.{x}") & F.col(f"b.{y}")) | (F.col(f"a.{y}") & F.col(f"b.{x}"))
-    candidates = materialize(a.join(b, near).select(F.col("a.doc").alias("da"), F.col("b.doc").alias("db")).distinct(), "candidates")
-    wanted = candidates.select(F.explode(F.array("da", "db")).alias("doc")).distinct()
-    texts = rows.select(doc.alias("doc"), "tkey", "canon").join(wanted, "doc", "left_semi").dropDuplicates(["doc"])
-    ta = texts.select(F.col("doc").alias("da"), F.col("tkey").alias("ta"), F.col("canon").alias("ca"))
-    tb = texts.select(F.col("doc").alias("db"), F.col("tkey").alias("tb"), F.col("canon").alias("cb"))
-    scored = candidates.join(ta, "da").join(tb, "db").select("ta", "tb", similar(F.col("ca"), F.col("cb")).alias("similarity"))
-    return members, scored.where(F.col("similarity") >= threshold)
+    pair = [f("a.tkey", "b.tkey").alias(n) for f, n in ((F.least, "ta"), (F.greatest, "tb"))]
+    candidates = materialize(a.join(b, near).select(*pair).distinct(), "candidates")
+    wanted = candidates.select(F.explode(F.array("ta", "tb")).alias("tkey")).distinct()
+    texts = rows.select("tkey", "canon").join(wanted, "tkey", "left_semi").dropDuplicates(["tkey"])
+    scored = candidates.join(texts.select(F.col("tkey").alias("ta"), F.col("canon").alias("ca")), "ta").join(texts.select(F.col("tkey").alias("tb"), F.col("canon").alias("cb")), "tb")
+    return members, scored.select("ta", "tb", similar(F.col("ca"), F.col("cb")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def near_duplicate_pairs(reports: DataFrame, ident: str, text: Column, threshold: float = 0.6) -> DataFrame:
@@ -129,15 +129,16 @@ def near_duplicate_groups(reports: DataFrame, ident: str, text: Column, threshol
     return out.select("ident", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", "n_members")
 
 
-def components(pairs: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """Connected components of (a, b) as (a, root): alternating large-star and small-star rounds until nothing changes.
 
-    Each round is one shuffle written to the shared folder; a star's centre is aggregated, never gathered.
+    Each round is one shuffle written to the shared folder; a star's centre is aggregated, never gathered. The rounds always settle (in about
+    the square of the logarithm of the number of nodes), so there is no bound on them.
     """
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     before = None
-    for k in range(most_rounds):
+    for k in itertools.count():
         near = both(edges)
         least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = near.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -149,8 +150,6 @@ def components(pairs: DataFrame, most_rounds: int = 40) -> DataFrame:
         if mark == before:
             break
         before = mark
-    else:
-        raise RuntimeError("components did not settle; raise most_rounds")
     return edges.groupBy("a").agg(F.min("b").alias("root")).unionByName(edges.select(F.col("b").alias("a"), F.col("b").alias("root")).distinct()).groupBy("a").agg(F.min("root").alias("root"))
 
 

@@ -48,20 +48,15 @@ def canonical(text: str) -> str:
 
 def shingle_hashes(points: np.ndarray, width: int = WIDTH) -> np.ndarray:
     """A 32-bit hash of each run of ``width`` code points (repeats included; they change no minimum and no maximum)."""
-    return (_shingle_hashes64(points, width) >> np.uint64(32)).astype(np.uint32)
-
-
-def _shingle_hashes64(points: np.ndarray, width: int = WIDTH) -> np.ndarray:
     n = len(points) - width + 1
     if n <= 0:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint32)
     p = points.astype(np.uint64)
     h = np.zeros(n, np.uint64)
     for k in range(width):
         h = (h ^ p[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h
+    return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.uint32)
 
 
 @functools.lru_cache(maxsize=8)
@@ -85,12 +80,16 @@ def minmax_signature(hashes: np.ndarray, permutations: int, seed: int = 20) -> n
 
 
 def band_hashes(signature: np.ndarray, rows: int) -> np.ndarray:
-    """One 64-bit hash per band of ``rows`` values; the band's number goes into the hash."""
+    """One 64-bit hash per band of ``rows`` (even) values, all from different permutations; the band's number goes into the hash.
+
+    A band takes half of its values from minima and half from maxima; those of one permutation go to different bands, as a set's
+    minimum and maximum under one permutation are not independent.
+    """
     bands = len(signature) // rows
-    # values i, i + bands, i + 2 * bands ... form band i: they come from different permutations
-    parts = signature[: bands * rows].reshape(rows, bands).astype(np.uint64)
+    low = signature[: bands * rows // 2].reshape(rows // 2, bands)
+    high = np.roll(signature[bands * rows // 2 : bands * rows].reshape(rows // 2, bands), bands // 3, axis=1)
     h = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    for part in parts:
+    for part in (*low.astype(np.uint64), *high.astype(np.uint64)):
         h = (h ^ part) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
     return h.view(np.int64)
@@ -103,19 +102,24 @@ def bit_sketch(signature: np.ndarray) -> tuple[int, int]:
     return int(words[0]), int(words[1])
 
 
-def jaccard(a: str, b: str, width: int = WIDTH, long: int = 200_000) -> float:
+def jaccard(a: str, b: str, width: int = WIDTH) -> float:
     """Shared distinct sequences of two canonical texts divided by those of either; 0 if neither has one.
 
-    Long texts compare sorted 64-bit hashes of their sequences instead of the sequences themselves, to bound memory.
+    Sequences are numbered, not hashed: the code points of both texts are ranked, then the pairs of neighbours, and so on, one more
+    character each time; a rank stays below the number of characters, so the numbers are exact at every length and take 8 bytes a character.
     """
-    if max(len(a), len(b)) > long:
-        x, y = (np.unique(_shingle_hashes64(code_points(t), width)) for t in (a, b))
-        both, n = len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)
-    else:
-        x, y = shingle_set(a, width), shingle_set(b, width)
-        both, n = len(x & y), len(x) + len(y)
-    return both / (n - both) if n else 0.0
-
-
-def shingle_set(text: str, width: int = WIDTH) -> set[str]:
-    return {text[i : i + width] for i in range(len(text) - width + 1)}
+    cut = max(0, len(a) - width + 1)
+    n = cut + max(0, len(b) - width + 1)
+    points = code_points(a + b)
+    if not n:
+        return 0.0
+    _, single = np.unique(points, return_inverse=True)
+    base = int(single.max()) + 1
+    code = single
+    for k in range(1, width):
+        code = code[:-1] * base + single[k:]
+        if k < width - 1 and int(code.max()) >= 2**62 // base:
+            code = np.unique(code, return_inverse=True)[1]
+    x, y = np.unique(code[:cut]), np.unique(code[len(code) - (n - cut) :])
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)

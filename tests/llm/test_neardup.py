@@ -29,8 +29,12 @@ def corpus(seed=3, base=25):
     return rows
 
 
+def shingle_set(text, width=5):
+    return {text[i : i + width] for i in range(len(text) - width + 1)}
+
+
 def brute(rows, threshold=0.6):
-    sets = [(i, shingles.shingle_set(shingles.canonical(t))) for i, t in rows if t is not None]
+    sets = [(i, shingle_set(shingles.canonical(t))) for i, t in rows if t is not None]
     out = {}
     for (a, x), (b, y) in itertools.combinations(sets, 2):
         if a != b and x and y and len(x & y) / len(x | y) >= threshold:
@@ -114,9 +118,39 @@ def test_split_overlaps_equal_brute_force(spark, threshold):
     assert sum(r.records for r in report) == sum(s in ("validation", "test") for s in split.values())
 
 
-def test_long_texts_compare_by_hashes_alike():
+def test_similarity_is_exact_at_every_length():
     rng = random.Random(3)
-    a = "".join(rng.choice(WORDS) for _ in range(3000))
-    b = a[:6000] + "".join(rng.choice(WORDS) for _ in range(1500))
-    assert shingles.jaccard(a, b) == shingles.jaccard(a, b, long=10)
-    assert shingles.jaccard("", "") == 0.0
+    wide = [chr(c) for c in range(0x4E00, 0x9FFF)] + [chr(c) for c in range(0xAC00, 0xD7A0)]
+    long = "".join(rng.choice(WORDS) for _ in range(3000))
+    many = "".join(rng.choice(wide) for _ in range(40_000))  # so many different characters that sequences are ranked again
+    for a, b in ((long, long[:6000] + "".join(rng.choice(WORDS) for _ in range(1500))), (many, many[500:] + many[:90]), ("abcde", "abcdef"), ("abcd", "abcde"), ("", ""), ("aaaaaaa", "aaaaa"), ("", "abcdefg")):
+        x, y = shingle_set(a), shingle_set(b)
+        assert shingles.jaccard(a, b) == (len(x & y) / len(x | y) if x | y else 0.0)
+
+
+def test_bands_use_four_permutations_and_meet_as_often_as_stated():
+    marks = np.arange(144, dtype=np.uint32)
+    for k in range(144):  # which bands does a value change?
+        other = marks.copy()
+        other[k] += 1000
+        changed = np.flatnonzero(shingles.band_hashes(marks, 4) != shingles.band_hashes(other, 4))
+        partner = marks.copy()
+        partner[(k + 72) % 144] += 1000
+        assert len(changed) == 1 and not set(changed) & set(np.flatnonzero(shingles.band_hashes(marks, 4) != shingles.band_hashes(partner, 4)))
+    rng = np.random.default_rng(8)
+    for n in (20, 400):  # short and long texts: union of n sequences, 60 % shared
+        missed = 0
+        for _ in range(2000):
+            pool = rng.integers(0, 2**32, n, dtype=np.uint32)
+            only = int(n * 0.2)
+            x, y = (shingles.band_hashes(shingles.minmax_signature(p, 72), 4) for p in (pool[only:], np.delete(pool, np.s_[only : 2 * only])))
+            missed += not (x == y).any()
+        assert missed / 2000 < 0.014, (n, missed)
+
+
+def test_sides_make_no_pairs_within_a_side(spark):
+    rows = [(i, t, "train" if k % 2 else "test") for k, (i, t) in enumerate(corpus(4, 10))]
+    df = spark.createDataFrame(rows, "report_id string, text string, split string").withColumn("source", F.lit("s"))
+    split = {r[0]: r[2] for r in rows}
+    got = {(r.report_id_a, r.report_id_b) for r in neardup.split_overlaps(df).collect()}
+    assert got == {k for k in brute([r[:2] for r in rows]) if split[k[0]] != split[k[1]]}
