@@ -1,9 +1,10 @@
 """Mixing sources to target shares of all tokens.
 
-The tokens of a source form one stream (its documents in hash order), cut into blocks of fixed length. Each output
-shard draws its number of blocks per source from a multinomial of the target shares; the draws are then evened out so that the
-totals meet the targets. The j-th slot of a source takes the j-th block of a pseudorandom permutation of the source's blocks, a new
-permutation each time the source is used up, and blocks and documents meet in a join by block index.
+The tokens of a source form one stream (its documents in hash order), cut into blocks of fixed length. The numbers of blocks per source
+in the output shards are a multinomial draw given that the totals meet the targets: a pseudorandom permutation of all slots of the mixture says
+which slot falls to which source, so that no table of shards is ever held, and every worker draws the shards it makes. The slot's rank
+within its source goes through a pseudorandom permutation of the source's blocks, a new
+one each time the source is used up, and blocks and documents meet in a join by block index.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from halyard.llm.tokens import ranked
 
-BLOCK, SLOTS, MOST_SHARDS = 256, 512, 20_000
+BLOCK, SLOTS = 256, 512
 
 
 def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 4) -> np.ndarray:
@@ -38,42 +39,27 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 4)
     return out.astype(np.int64)
 
 
-def drawn(shares: np.ndarray, caps: np.ndarray, slots: int = SLOTS, seed: int = 11) -> np.ndarray:
-    """Blocks per shard and source: multinomial draws, evened out to totals of share times the largest possible mixture.
-
-    The mixture is as large as the scarcest source allows (``caps`` are blocks times permitted repeats).
-    """
+def totals(shares: np.ndarray, caps: np.ndarray) -> np.ndarray:
+    """Blocks per source of the largest possible mixture: as large as the scarcest source allows (``caps`` are blocks times permitted repeats)."""
     shares = shares / shares.sum()
     total = int(np.floor(min(c / p for c, p in zip(caps, shares) if p > 0) + 1e-9))
-    if total <= 0:
-        return np.zeros((0, len(shares)), np.int64)
-    each = max(slots, -(-total // MOST_SHARDS))
-    sizes = np.full(-(-total // each), each)
-    sizes[-1] = total - each * (len(sizes) - 1)
-    rng = np.random.default_rng(seed)
-    table = np.array([rng.multinomial(s, shares) for s in sizes])
     goal = np.minimum(np.floor(shares * total).astype(np.int64), caps)
     for k in np.argsort(-(shares * total - goal))[: total - goal.sum()]:
         goal[k] += goal[k] < caps[k]
-    over = table.sum(axis=0) - goal  # moved shard by shard from sources above their total to sources below
-    for shard in np.resize(rng.permutation(len(sizes)), 64 * len(sizes)):
-        if not (over > 0).any():
-            break
-        i = int(np.argmax(over))
-        j = int(np.argmin(over))
-        n = int(min(over[i], -over[j] if over[j] < 0 else over[i], max(1, abs(int(over[i])) // len(sizes) + 1), table[shard, i]))
-        table[shard, i] -= n
-        over[i] -= n
-        if over[j] < 0:
-            table[shard, j] += n
-            over[j] += n
-    if (table.sum(axis=0) > caps).any():
-        raise RuntimeError("the draws exceed what the sources hold")
-    return table
+    return goal
+
+
+def draw(slot: np.ndarray, goal: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(source, rank within the source) of slots: the permutation sends each source's ranks to slots all over the mixture, so the slots of any
+    shard are a draw without replacement from all of them, which is a multinomial draw given the totals."""
+    begins = np.concatenate([[0], np.cumsum(goal)])
+    at = permuted(slot, np.full(len(slot), begins[-1]), np.full(len(slot), 1_299_709 * seed + 17))
+    source = np.searchsorted(begins, at, side="right") - 1
+    return source, at - begins[source]
 
 
 def mix(counts: DataFrame, targets: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: int = 11) -> DataFrame:
-    """The mixture by reference: shard, slot, source, repeat_no (from 1), block_no, doc_id, doc_from, tokens.
+    """The mixture by reference: shard (of ``slots`` blocks, the last of the rest), slot, source, repeat_no (from 1), block_no, doc_id, doc_from, tokens.
 
     ``counts`` has doc_id, source, tokens; ``targets`` source, target_share, max_repeats (a few rows). No token of a document is used
     more often than its source's max_repeats, because a block is used at most once per permutation and there are
@@ -82,29 +68,25 @@ def mix(counts: DataFrame, targets: DataFrame, block: int = BLOCK, slots: int =
     """
     want = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in targets.select("source", "target_share", "max_repeats").collect() if r["source"] is not None and (r["target_share"] or 0) > 0}
     docs = counts.select("doc_id", "source", "tokens").where(F.col("doc_id").isNotNull() & (F.col("tokens") > 0) & F.col("source").isin(list(want)))
-    have = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
+    sums = docs.groupBy("source").agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("docs")).collect()
+    have = {r["source"]: r["n"] for r in sums}
     names = sorted(want)
     blocks = np.array([have.get(s, 0) // block for s in names], np.int64)
     if (blocks == 0).any():
         raise ValueError(f"no full block in {[s for s, b in zip(names, blocks) if not b]}")
-    table = drawn(np.array([want[s][0] for s in names]), blocks * np.array([want[s][1] for s in names]), slots, seed)
-    flat = table.reshape(-1)
-    begins = np.concatenate([[0], np.cumsum(flat)])  # slots of (shard, source) in order
-    before = (np.cumsum(table, axis=0) - table).reshape(-1)  # slots the source had in earlier shards
+    goal = totals(np.array([want[s][0] for s in names]), blocks * np.array([want[s][1] for s in names]))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             g = batch["id"].to_numpy()
-            cell = np.searchsorted(begins, g, side="right") - 1
-            src = cell % len(names)
-            j = before[cell] + g - begins[cell]
+            src, j = draw(g, goal, seed)
             turn = j // blocks[src]
             at = permuted(j % blocks[src], blocks[src], (src * 1_000_003 + turn) * 7_919 + seed)
-            yield pd.DataFrame({"shard": cell // len(names), "slot": g, "source": np.array(names, object)[src], "repeat_no": (turn + 1).astype(np.int32), "block_no": at})
+            yield pd.DataFrame({"shard": g // slots, "slot": g, "source": np.array(names, object)[src], "repeat_no": (turn + 1).astype(np.int32), "block_no": at})
 
     spark = counts.sparkSession
-    draws = spark.range(int(begins[-1])).mapInPandas(place, "shard long, slot long, source string, repeat_no int, block_no long")
-    placed = ranked(docs, ["source"], "doc_id", "at", weight="tokens")
+    draws = spark.range(int(goal.sum())).mapInPandas(place, "shard long, slot long, source string, repeat_no int, block_no long")
+    placed = ranked(docs, ["source"], "doc_id", "at", weight="tokens", most=max(r["docs"] for r in sums))
     last = F.floor((F.col("at") + F.col("tokens") - 1) / block)
     spans = placed.withColumn("block_no", F.explode(F.sequence(F.floor(F.col("at") / block), last)))
     low = F.greatest(F.col("at"), F.col("block_no") * block)

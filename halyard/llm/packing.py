@@ -93,7 +93,7 @@ def pack(sized: DataFrame, ident: str, tokens: str, specs: dict[str, list[int]])
         plans[name] = placement(best_fit_patterns({r["size"]: r["n"] for r in bars if r["spec_name"] == name}, lengths))
         zero = [r["length"] for s, x in plans[name].items() for r in [{"length": x[3][0]}] if x[1][0] == 0]
         plans[name][0] = tuple(np.array([v], np.int64) for v in (0, 0, 1 << 62, zero[0] if zero else min(lengths)))
-    order = ranked(items.withColumn("_id", F.struct("ident", "piece_no")), ["spec_name", "size"], "_id", "rank").drop("_id")
+    order = ranked(items.withColumn("_id", F.struct("ident", "piece_no")), ["spec_name", "size"], "_id", "rank", most=max((r["n"] for r in bars), default=0)).drop("_id")
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

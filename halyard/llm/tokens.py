@@ -34,16 +34,18 @@ def token_counts(df: DataFrame, ident: str, text: str, *keep: str, path: str = T
     return source.mapInPandas(count, f"{kinds}, tokens long")
 
 
-def ranked(df: DataFrame, keys: list[str], ident: str, out: str, weight: str | None = None, salts: int = 64) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], ident: str, out: str, weight: str | None = None, most: int = 0, part: int = 1_000_000) -> DataFrame:
     """Adds ``out``: the 0-based rank of a row within ``keys`` (or the sum of ``weight`` over the rows before it).
 
-    Rows are ordered by hash of ``ident``. The order is cut into ``salts`` ranges of the hash whose totals are summed
-    first, so no task ever sorts more than one range of one key, however many rows the key has.
+    Rows are ordered by hash of ``ident``. The order is cut into ranges of the hash whose totals are summed
+    first, so no task ever sorts more than one range of one key. There are at least 64 ranges, and as many more as keep a range of a
+    key with ``most`` rows at about ``part`` rows.
     """
     from pyspark.sql import Window
 
+    bits = max(6, (max(1, -(-most // part)) - 1).bit_length())
     h = F.xxhash64(ident)
-    salted = df.withColumns({"_h": h, "_salt": F.shiftright(h, 58) + 32 if salts == 64 else F.pmod(h, F.lit(salts))})
+    salted = df.withColumns({"_h": h, "_salt": F.shiftright(h, 64 - bits) + (1 << (bits - 1))})
     size = F.sum(weight) if weight else F.count(F.lit(1))
     totals = salted.groupBy(*keys, "_salt").agg(size.alias("_n"))
     base = totals.select(*keys, "_salt", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))

@@ -50,6 +50,8 @@ def test_rank_is_a_numbering_within_key(spark):
     df = spark.createDataFrame([(k % 3 if k % 3 else 0, k, 1 + k % 5) for k in range(500)], "g int, id long, w long")
     got = tokens.ranked(df, ["g"], "id", "r").toPandas()
     assert all(sorted(x.r) == list(range(len(x))) for _, x in got.groupby("g"))
+    many = tokens.ranked(df, ["g"], "id", "r", most=500, part=1).toPandas()
+    assert many.sort_values("id").r.tolist() == got.sort_values("id").r.tolist()
     spans = tokens.ranked(df, ["g"], "id", "at", weight="w").toPandas().sort_values(["g", "at"])
     assert all(((x["at"] + x.w).shift(1).fillna(0) == x["at"]).all() for _, x in spans.groupby("g"))
 
@@ -60,13 +62,19 @@ def test_permutation_is_one():
         assert sorted(got) == list(range(n))
 
 
-def test_draws_meet_shares_and_caps():
+def test_draws_meet_shares_and_caps_and_scatter_as_multinomial_draws_do():
     shares, caps = np.array([0.5, 0.3, 0.2]), np.array([50_000, 90_000, 20_001])
-    table = mixing.drawn(shares, caps, slots=100)
-    total = table.sum(axis=0)
-    assert (total <= caps).all() and (table >= 0).all()
-    assert abs(total / total.sum() - shares).max() < 1e-3
-    assert total.sum() == 100_000
+    goal = mixing.totals(shares, caps)
+    assert (goal <= caps).all() and goal.sum() == 100_000 and abs(goal / goal.sum() - shares).max() < 1e-3
+    source, rank = mixing.draw(np.arange(goal.sum()), goal, seed=11)
+    for s, n in enumerate(goal):
+        assert np.array_equal(np.sort(rank[source == s]), np.arange(n))
+    table = np.stack([np.bincount(source[k : k + 100], minlength=3) for k in range(0, 100_000, 100)])
+    assert np.allclose(table.mean(axis=0), 100 * shares)
+    assert np.allclose(table.var(axis=0), 100 * shares * (1 - shares), rtol=0.15)
+    # any stretch of slots can be drawn by itself
+    some = np.array([99_999, 5, 31_000])
+    assert [x.tolist() for x in mixing.draw(some, goal, 11)] == [source[some].tolist(), rank[some].tolist()]
 
 
 def test_mixture(spark):
