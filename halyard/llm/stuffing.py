@@ -21,7 +21,7 @@ from halyard.operators.sampling import hash_sample
 
 STATES = ["prose", "table", "link", "tag", "menu", "stuffed"]
 PROSE, TABLE, LINK, TAG, MENU, STUFFED = range(6)
-SAMPLE, ROUNDS, REACH = 3_000, 3, 120
+SAMPLE, ROUNDS, REACH, HOLD, ANCHOR = 3_000, 3, 120, 3.0, 20.0
 
 # fixed values: common function words and grammatical characters
 _HAN_FUNCTION = "的了在与为并使由将而则其及和是有从对被后前时已可仍以约较因不我们至令但若本未也都很这那之"
@@ -50,77 +50,136 @@ _FUNCTION = np.zeros(0x110000, bool)
 _FUNCTION[[ord(c) for c in _HAN_FUNCTION]] = True
 
 
-def line_shapes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document number, length in characters and symbols (lines x features) of all lines of non-empty texts."""
-    docs = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
-    cp = np.frombuffer("".join(t + "\n" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+#: What a slice sees on either side: as far as repetition reaches, and the runs of characters that are told apart by length.
+_SIDE = REACH + 8
+
+
+class _Slice:
+    """Part of a text with its surroundings: ``left`` characters before its own ones, ``own`` of these, and some behind."""
+
+    def __init__(self, doc: int, low: int, begin: int, own: int, part: str):
+        self.doc, self.low, self.left, self.own, self.part = doc, low, begin - low, own, part
+
+
+def _slices(doc: int, text: str, most: int) -> Iterator[_Slice]:
+    """The slices of a text and the line end behind it; each character is the own one of exactly one slice."""
+    for begin in range(0, len(text) + 1, most):
+        own = min(most, len(text) + 1 - begin)
+        low, high = max(0, begin - _SIDE), begin + own + _SIDE
+        yield _Slice(doc, low, begin, own, text[low:high] + ("\n" if high > len(text) else ""))
+
+
+def _marked(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begins and ends of addresses, and begins of English function words, of a whole text."""
+    address = [m.span() for m in _ADDRESS.finditer(text)] if "://" in text or "www." in text else []
+    words = [m.start() for m in _ENGLISH_FUNCTION.finditer(text)] if re.search(r"[A-Za-z]{2} [A-Za-z]{2}", text) else []
+    spans = np.array(address, np.int64).reshape(-1, 2)
+    return spans[:, 0], spans[:, 1], np.array(words, np.int64)
+
+
+_SUMS = ["size", "han", "latin", "digit", "space", "comma", "mark", "address", "again", "words", "function", "decimal", "leader", "starts", "capital", "codes", "listed", "wide_colon", "colon"]
+
+
+def _measured(slices: list[_Slice], marks: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, sums, longest runs and (ends a line, by a sentence mark, by a line end) of every line, or piece of a line, of some slices."""
+    n = [len(s.part) for s in slices]
+    cp = np.frombuffer("".join(s.part for s in slices).encode("utf-32-le", "surrogatepass"), np.uint32)
+    begin = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
+    start = np.repeat(begin, n)
+    own, address, words = (np.zeros(len(cp), bool) for _ in range(3))
+    for s, o in zip(slices, begin):
+        own[o + s.left : o + s.left + s.own] = True
+        a, b, w = marks[s.doc]
+        for k in range(np.searchsorted(b, s.low, side="right"), np.searchsorted(a, s.low + len(s.part))):
+            address[o + max(0, a[k] - s.low) : o + min(len(s.part), b[k] - s.low)] = True
+        words[o + w[np.searchsorted(w, s.low) : np.searchsorted(w, s.low + len(s.part))] - s.low] = True
+    at = np.arange(len(cp))
     kind = _CLASS[cp]
     nxt = np.append(kind[1:], _LINE)
     prv = np.append(_LINE, kind[:-1]).astype(np.uint8)
+    prv[begin] = _LINE
     dot = (cp == ord(".")) & ((nxt == _SPACE) | (nxt == _LINE)) & (prv != _OTHER)
     ends = (kind == _LINE) | (kind == _END) | dot
-    first = np.concatenate([[0], np.flatnonzero(ends)[:-1] + 1])
-    total = lambda x: np.add.reduceat(x.astype(np.int32), first)
-    size = total(np.ones(len(cp), bool))
-    letters = {k: total(kind == k) for k in (_HAN, _LATIN, _DIGIT, _SPACE, _COMMA, _MARK)}
-    full = np.maximum(1, size)
-
-    address, words = np.zeros(len(cp), bool), np.zeros(len(cp), bool)
-    offset = 0
-    for t in texts:
-        if "://" in t or "www." in t:
-            for m in _ADDRESS.finditer(t):
-                address[offset + m.start() : offset + m.end()] = True
-        if re.search(r"[A-Za-z]{2} [A-Za-z]{2}", t):
-            for m in _ENGLISH_FUNCTION.finditer(t):
-                words[offset + m.start()] = True
-        offset += len(t) + 1
 
     # a character repeats if the four from here on stand again within REACH before or behind in the same text
-    c = cp.astype(np.uint64)
-    h = docs.astype(np.uint64) + np.uint64(1)
+    c = np.append(cp, np.zeros(3, np.uint32)).astype(np.uint64)
+    h = start.astype(np.uint64) + np.uint64(1)
     for k in range(4):
-        h = (h ^ np.append(c[k:], np.zeros(k, np.uint64))) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ c[k : k + len(cp)]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(31)
-    order = np.argsort(h, kind="stable")
-    same = h[order[1:]] == h[order[:-1]]
+    full_four = at + 4 <= np.repeat(begin + n, n)
+    at_four = at[full_four]
+    order = at_four[np.argsort(h[full_four], kind="stable")]
+    close = (h[order[1:]] == h[order[:-1]]) & (order[1:] - order[:-1] <= REACH)
     again = np.zeros(len(cp), bool)
-    close = same & (order[1:] - order[:-1] <= REACH)
     again[order[1:][close]] = True
     again[order[:-1][close]] = True
 
     solid = (kind == _HAN) | (kind == _LATIN) | (kind == _DIGIT)
-    at = np.arange(len(cp))
-    run = at - np.maximum.accumulate(np.where(solid, -1, at))
-    longest = np.maximum.reduceat(run, first)
-    digits = at - np.maximum.accumulate(np.where(kind == _DIGIT, -1, at))
-    codes = total(digits == 6)  # runs of six digits or more, as codes have
-    decimal = (cp == ord(".")) & (prv == _DIGIT) & (nxt == _DIGIT)
-    leader = ((cp == ord(".")) & (np.append(cp[1:], 0) == ord("."))) | (cp == ord("…"))
-    capital = (kind == _LATIN) & (cp < 97) & (prv == _LATIN)
-    latin = letters[_LATIN] > letters[_HAN]
-    starts = (kind == _LATIN) & (prv != _LATIN)
-    function = np.where(latin, total(words) * 5, total(_FUNCTION[cp])) / full
-    gaps = letters[_MARK] + np.where(latin, 0, letters[_SPACE])
-    parts = gaps + letters[_COMMA] + 1
-    share = lambda x: x / full
-    listed = total(cp == ord("、"))
+    length = lambda x: at - np.maximum(np.maximum.accumulate(np.where(x, -1, at)), start - 1)
+    run = length(solid)
+    flags = {
+        "size": np.ones(len(cp), bool), "han": kind == _HAN, "latin": kind == _LATIN, "digit": kind == _DIGIT, "space": kind == _SPACE, "comma": kind == _COMMA, "mark": kind == _MARK, "address": address, "again": again, "words": words,
+        "function": _FUNCTION[cp], "decimal": (cp == ord(".")) & (prv == _DIGIT) & (nxt == _DIGIT), "leader": ((cp == ord(".")) & (np.append(cp[1:], 0) == ord("."))) | (cp == ord("…")), "starts": (kind == _LATIN) & (prv != _LATIN),
+        "capital": (kind == _LATIN) & (cp < 97) & (prv == _LATIN), "codes": length(kind == _DIGIT) == 6, "listed": cp == ord("、"), "wide_colon": cp == ord("："), "colon": cp == ord(":"),
+    }
+    # own characters only, cut behind every line end and where a slice begins
+    ends, kind, dot, run = ends[own], kind[own], dot[own], run[own]
+    opens = np.concatenate([[0], np.cumsum([s.own for s in slices])[:-1]]).astype(np.int64)
+    first = np.unique(np.concatenate([opens, np.flatnonzero(ends)[:-1] + 1 if ends[-1] else np.flatnonzero(ends) + 1]))
+    sums = np.stack([np.add.reduceat(flags[f][own].astype(np.int64), first) for f in _SUMS], axis=1)
+    runs = np.stack([np.maximum.reduceat(run, first), np.maximum.reduceat(np.where(kind == _LATIN, run, 0), first)], axis=1)
+    last = np.append(first[1:], len(ends)) - 1
+    closing = np.stack([ends[last], (kind[last] == _END) | dot[last], kind[last] == _LINE], axis=1)
+    docs = np.repeat([s.doc for s in slices], [s.own for s in slices])[first]
+    return docs, sums, runs, closing
+
+
+def line_shapes(texts: list[str], chunk: int = 250_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document number, length in characters and symbols (lines x features) of all lines of non-empty texts.
+
+    Texts are measured by slices of at most ``chunk`` characters, each with its surroundings, and the pieces of a line cut by a slice are put
+    together, so that the result does not depend on ``chunk``.
+    """
+    found, held, size = [], [], 0
+    marks = {}
+    for doc, text in enumerate(texts):
+        marks[doc] = _marked(text)
+        for s in _slices(doc, text, chunk):
+            if held and size + s.own > chunk:
+                found.append(_measured(held, marks))
+                marks = {doc: marks[doc]}
+                held, size = [], 0
+            held.append(s)
+            size += s.own
+    found.append(_measured(held, marks))
+    docs, sums, runs, closing = (np.concatenate(x) for x in zip(*found))
+    first = np.flatnonzero(np.append(True, closing[:-1, 0]))  # a piece goes on where the one before did not end a line
+    m = dict(zip(_SUMS, np.add.reduceat(sums, first).T))
+    runs = np.maximum.reduceat(runs, first)
+    _, stop, line = closing[np.append(first[1:], len(docs)) - 1].T
+    size = m["size"]
+    latin = m["latin"] > m["han"]
+    function = np.where(latin, m["words"] * 5, m["function"]) / size
+    gaps = m["mark"] + np.where(latin, 0, m["space"])
+    parts = gaps + m["comma"] + 1
+    share = lambda x: x / size
     symbols = np.stack(
         [
-            np.digitize(share(total(address)), [0.01, 0.3]),
-            np.digitize(share(total(again)), [0.1, 0.3, 0.55]),
+            np.digitize(share(m["address"]), [0.01, 0.3]),
+            np.digitize(share(m["again"]), [0.1, 0.3, 0.55]),
             np.digitize(function, [0.001, 0.03, 0.08]),
             np.digitize(share(gaps), [0.001, 0.03, 0.08]),
-            np.digitize(share(letters[_DIGIT]), [0.001, 0.12, 0.35]),
-            np.digitize(share(total(decimal)), [0.001, 0.04]) + 3 * (share(total(leader)) > 0.12),
-            np.where(latin, np.digitize(np.maximum.reduceat(np.where(kind == _LATIN, run, 0), first), [15, 22]), np.digitize(longest, [26, 42])),
-            np.where((kind[first + size - 1] == _END) | dot[first + size - 1], 1, 0) + 2 * (letters[_COMMA] > 0),
+            np.digitize(share(m["digit"]), [0.001, 0.12, 0.35]),
+            np.digitize(share(m["decimal"]), [0.001, 0.04]) + 3 * (share(m["leader"]) > 0.12),
+            np.where(latin, np.digitize(runs[:, 1], [15, 22]), np.digitize(runs[:, 0], [26, 42])),
+            np.where(stop, 1, 0) + 2 * (m["comma"] > 0),
             np.digitize(size / parts, [4.6, 8, 14]),
             np.digitize(size, [6, 26, 80]),
-            (latin & (total(starts) > 0) & (function == 0)).astype(int) + 2 * (share(total(capital)) > 0.3),
-            np.digitize(share(codes), [0.001, 0.02]),
-            ((total(cp == ord("：")) > 0) & (size < 60) & (kind[first + size - 1] == _LINE) & (letters[_DIGIT] == 0) & (listed < 3)).astype(int),
-            np.digitize(listed, [3]) * ((total((cp == ord("：")) | (cp == ord(":"))) > 0) + 1),
+            (latin & (m["starts"] > 0) & (function == 0)).astype(int) + 2 * (share(m["capital"]) > 0.3),
+            np.digitize(share(m["codes"]), [0.001, 0.02]),
+            ((m["wide_colon"] > 0) & (size < 60) & line & (m["digit"] == 0) & (m["listed"] < 3)).astype(int),
+            np.digitize(m["listed"], [3]) * ((m["wide_colon"] + m["colon"] > 0) + 1),
         ],
         axis=1,
     )
@@ -149,21 +208,61 @@ def seed_labels(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _counts(docs: np.ndarray, symbols: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
+    """Counts of first states, of transitions, and of each feature's symbols by state."""
+    n = len(STATES)
+    start = np.append(True, docs[1:] != docs[:-1])
+    moves = np.zeros((n, n))
+    np.add.at(moves, (labels[:-1][~start[1:]], labels[1:][~start[1:]]), 1)
+    out = [np.bincount(labels[start], minlength=n).astype(float), moves]
+    for k, width in enumerate(WIDTHS):
+        seen = np.zeros((n, width))
+        np.add.at(seen, (labels, symbols[:, k]), 1)
+        out.append(seen)
+    return out
+
+
+#: Labelled example pages, all lines of one state: they stand for states that the drawn texts may lack.
+EXAMPLES = {
+    PROSE: [
+        "公司昨日召开了年度股东大会，会上管理层介绍了新产线的建设进度，并且回答了投资者的提问。我们认为需求仍将保持平稳。由于原料价格回落，毛利率有所改善，但是费用仍然偏高。",
+        "投资者问：请问贵公司今年的分红计划是怎样的？\n董秘答：您好，公司将在年度报告中披露利润分配方案，敬请关注，谢谢。\n以上内容仅供参考，不构成投资建议。",
+        "The company said on Tuesday that it would open a second plant in the south, although demand was weaker than in the year before. Margins should recover as costs are passed on to customers.",
+        "We keep our rating and lower the target price. Our estimates are below those of the market, because the order book has not grown since the spring.",
+    ],
+    TABLE: [
+        "营业收入  102.35  118.62  131.07\n净利润  12.41  14.03  15.88\n每股收益  0.52  0.61  0.70\n毛利率  31.2%  32.0%  32.5%",
+        "第一章 概况 ........ 1\n第二章 行业分析 ........ 5\n第三章 财务预测 ........ 12\n第四章 风险提示 ........ 20",
+        "参会人员：王建国、李秀英、张志强、刘桂兰、陈永明\n参会机构：甲基金、乙证券、丙保险、丁资本",
+        "Revenue  1023.5  1186.2  1310.7\nNet profit  124.1  140.3  158.8\nMargin  12.1%  11.8%  12.1%",
+    ],
+    LINK: [
+        "https://www.example.com/news/10231\nhttps://www.example.com/news/10232\nhttps://www.example.com/news/10233\nhttps://www.example.com/news/10234",
+        "上一篇 http://example.org/a/1.html\n下一篇 http://example.org/a/2.html\n更多 http://example.org/list.html",
+        '<a href="http://example.net/p/1">one</a> <a href="http://example.net/p/2">two</a>\n<a href="http://example.net/p/3">three</a>',
+    ],
+    TAG: [
+        "#股票# #基金# #理财# #开户# #行情# #涨停# #龙头股#",
+        "手机 | 电脑 | 相机 | 耳机 | 手表 | 平板 | 音箱 | 键盘 | 鼠标",
+        "股票开户 低佣金 炒股软件 下载 免费 行情 软件 排行 推荐 哪个好",
+        "cheap phones, phone deals, best phone, phone case, phone cover, phone shop, buy phone",
+    ],
+    MENU: ["首页\n新闻\n财经\n体育\n娱乐\n科技\n登录\n注册\n关于我们", "Home\nNews\nMarkets\nLogin\nSign up\nContact\nAbout", "返回顶部\n网站地图\n联系我们\n版权声明"],
+    STUFFED: [
+        "炒股开户哪家好，炒股开户怎么开，炒股开户手续费，炒股开户流程，炒股开户哪家好，炒股开户怎么开，炒股开户要多少钱。炒股开户找炒股开户网，炒股开户就上炒股开户网。",
+        "best loans online best loans cheap best loans fast best loans online best loans today best loans online cheap",
+    ],
+}
+
+
 class LineModel:
     """Log-probabilities of first states, transitions and symbols."""
 
-    def __init__(self, docs: np.ndarray, symbols: np.ndarray, labels: np.ndarray):
-        n = len(STATES)
-        start = np.append(True, docs[1:] != docs[:-1])
-        self.first = np.log((np.bincount(labels[start], minlength=n) + 1) / (start.sum() + n))
-        moves = np.full((n, n), 2.0)
-        np.add.at(moves, (labels[:-1][~start[1:]], labels[1:][~start[1:]]), 1)
-        self.moves = np.log(moves / moves.sum(axis=1, keepdims=True))
-        self.symbols = []
-        for k, width in enumerate(WIDTHS):
-            seen = np.full((n, width), 1.0)
-            np.add.at(seen, (labels, symbols[:, k]), 1)
-            self.symbols.append(np.log(seen / seen.sum(axis=1, keepdims=True)))
+    def __init__(self, counts: list[np.ndarray]):
+        first, moves, *symbols = counts
+        self.first = np.log((first + 1) / (first + 1).sum())
+        self.moves = np.log((moves + 2) / (moves + 2).sum(axis=1, keepdims=True))
+        self.symbols = [np.log((seen + 1) / (seen + 1).sum(axis=1, keepdims=True)) for seen in symbols]
 
     def decode(self, docs: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Most likely states, all documents side by side: one step per line number."""
@@ -192,65 +291,57 @@ class LineModel:
         return out
 
 
-def train(texts: list[str], rounds: int = ROUNDS, lines: int = 200) -> LineModel:
-    """Seed labels, then ``rounds`` of decoding and re-estimation. Of one text at most ``lines`` lines take part, so that no
+def train(texts: list[str], rounds: int = ROUNDS, lines: int = 200, hold: float = HOLD, anchor: float = ANCHOR) -> LineModel:
+    """Seed labels, then ``rounds`` of decoding and re-estimation, in which the seeds count ``hold`` times, and lines of the
+    labelled examples ``anchor`` times as much as decoded ones, so that the states keep their meaning whatever texts were drawn. Of one text at most ``lines`` lines take part, so that no
     single long text makes the model."""
     docs, _, symbols = line_shapes(texts)
     first = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
     used = np.arange(len(docs)) - np.repeat(first, np.diff(np.append(first, len(docs)))) < lines
     docs, symbols = docs[used], symbols[used]
-    labels = seed_labels(symbols)
-    model = LineModel(docs, symbols, labels)
+    seeds = _counts(docs, symbols, seed_labels(symbols))
+    shown = _counts(*_example_lines())
+    model = LineModel([s + anchor * e for s, e in zip(seeds, shown)])
     for _ in range(rounds):
-        model = LineModel(docs, symbols, model.decode(docs, symbols))
+        found = _counts(docs, symbols, model.decode(docs, symbols))
+        model = LineModel([d + hold * s + anchor * e for d, s, e in zip(found, seeds, shown)])
     return model
 
 
-def _slices(text: str, most: int) -> Iterator[str]:
-    """A text in slices of at most ``most`` characters, ended at line ends where there are any; nothing for an empty text."""
-    at = 0
-    while at < len(text):
-        end = min(len(text), at + most)
-        if end < len(text):
-            end = max(text.rfind("\n", at, end), text.rfind("。", at, end)) + 1 or end
-        yield text[at:end]
-        at = end
+def _example_lines() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, symbols and state of every line of the labelled examples."""
+    pages = [(state, page) for state, found in EXAMPLES.items() for page in found]
+    docs, _, symbols = line_shapes([page for _, page in pages])
+    return docs, symbols, np.array([state for state, _ in pages])[docs]
 
 
-def line_shares(documents: DataFrame, ident: str = "doc_id", text: str = "text", sample: int = SAMPLE, chunk: int = 1_000_000) -> DataFrame:
+def line_shares(documents: DataFrame, ident: str = "doc_id", text: str = "text", sample: int = SAMPLE, chunk: int = 250_000, seed: int = 5) -> DataFrame:
     """Per document the number of lines, of characters, and the share of characters on lines of each state.
 
-    The model is trained on at most ``sample`` non-empty texts, those with the smallest hash of their id; all texts are decoded whole
-    (texts of over ``chunk`` characters in slices ended at line ends, to bound memory).
+    The model is trained on the non-empty ones of at most ``sample`` texts, those with the smallest hash of their id; all texts are decoded whole.
+    Long texts are measured by slices of ``chunk`` characters, which bounds memory and changes no label.
     Null and empty texts have no lines and all shares 0. Repeated ids give repeated rows. An empty table gives an empty result.
     """
     source = documents.select(F.col(ident).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    drawn = hash_sample(source.where("text <> ''"), ["doc_id"], sample)
-    model = train([r["text"] for r in drawn]) if drawn else None
+    drawn = [r["text"] for r in hash_sample(source, ["doc_id"], sample, seed) if r["text"]]
+    model = train(drawn) if drawn else None
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()
             cells = np.zeros((len(texts), len(STATES)), np.int64)
             lines = np.zeros(len(texts), np.int32)
-            rows, parts, held = [], [], 0
-
-            def settle() -> None:
-                if rows:
-                    docs, size, symbols = line_shapes(parts)
+            rows, held = [], 0
+            for i, t in enumerate([*texts, None]):
+                if rows and (t is None or held + len(t) > chunk):
+                    docs, size, symbols = line_shapes([texts[k] for k in rows], chunk)
                     np.add.at(cells, (np.array(rows)[docs], model.decode(docs, symbols)), size)
                     np.add.at(lines, np.array(rows)[docs], 1)
-
-            for i, t in enumerate(texts):
-                for part in _slices(t, chunk):
-                    if held + len(part) > chunk:
-                        settle()
-                        rows, parts, held = [], [], 0
+                    rows, held = [], 0
+                if t:
                     rows.append(i)
-                    parts.append(part)
-                    held += len(part)
-            settle()
+                    held += len(t)
             share = cells / np.maximum(1, cells.sum(axis=1, keepdims=True))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_lines": lines, "n_chars": [len(t) for t in texts], **{s: share[:, k] for k, s in enumerate(STATES)}})
 

@@ -72,12 +72,29 @@ def test_decoding_equals_brute_force():
     assert len(got) == len(docs)
 
 
-def test_slices_cover_the_text_and_long_texts_count_alike(spark):
-    text = prose(3, 400) + "x" * 5000
-    for most in (1, 700, 10**6):
-        parts = list(stuffing._slices(text, most))
-        assert "".join(parts) == text and max(map(len, parts)) <= most
+def test_shapes_do_not_depend_on_slices(spark):
+    import numpy as np
+
+    url = "http://news.test/" + "a/b" * 300
+    texts = [prose(3, 40) + "x" * 700 + "。" + ENGLISH * 3 + "\n" + url + " 1234567 " + "9" * 400 + ".", PROSE, SPAM[3] * 3, "a", TABLE * 4 + "https://x.test/q\n" + SPAM[5], " " * 500]
+    want = stuffing.line_shapes(texts, 10**6)
+    for chunk in (1, 7, 129, 1000):
+        assert all(np.array_equal(x, y) for x, y in zip(want, stuffing.line_shapes(texts, chunk))), chunk
+    for k, t in enumerate(texts):  # nor on the texts beside it
+        docs, size, symbols = stuffing.line_shapes([t])
+        assert np.array_equal(size, want[1][want[0] == k]) and np.array_equal(symbols, want[2][want[0] == k]) and size.sum() == len(t) + 1
     df = spark.createDataFrame([(k, prose(k, 60) + SPAM[k % 3] * 3) for k in range(12)], "doc_id long, text string")
-    whole = {r.doc_id: r for r in stuffing.line_shares(df).collect()}
-    for r in stuffing.line_shares(df, chunk=900).collect():
-        assert r.n_chars == whole[r.doc_id].n_chars and abs(r.prose - whole[r.doc_id].prose) < 0.1
+    key = lambda r: r.doc_id
+    assert sorted(stuffing.line_shares(df).collect(), key=key) == sorted(stuffing.line_shares(df, chunk=900).collect(), key=key)
+
+
+def test_model_keeps_to_the_seeds_whatever_was_drawn():
+    import numpy as np
+
+    texts = [t for _, t in pages() if t]
+    docs, size, symbols = stuffing.line_shapes(texts)
+    plain = [t for t in texts if t not in SPAM][:40]
+    for drawn in (texts, plain + SPAM[:9], texts[30:]):
+        labels = stuffing.train(drawn).decode(docs, symbols)
+        bad = np.bincount(docs, size * np.isin(labels, [2, 3, 4, 5])) / np.bincount(docs, size)
+        assert {texts[k] for k in np.flatnonzero(bad > 0.5)} == {*SPAM, PROSE + SPAM[0] * 2}
