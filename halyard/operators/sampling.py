@@ -12,7 +12,7 @@ def hash_sample(df: DataFrame, keys: list[str], rows: int, seed: int = 5) -> lis
     The number of rows gives the share of the hash range to keep, so that only the sample itself reaches the driver,
     whatever the number of partitions. Rows with equal keys are kept or left together, up to the bound.
     """
-    n = df.count()
+    n = df.select(*keys).count()  # reads the keys alone
     if not n:
         return []
     share = min(1.0, 1.2 * rows / n)
