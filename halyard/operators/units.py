@@ -1,9 +1,10 @@
 """Amounts recorded in different units, converted to yuan.
 
-A stated unit (in a column, else in the text beside the words for net profit) decides. Where none is stated, the unit nearest to
-the stock's reported or expected profit does, the usual unit where no profit is known. A tree ensemble trained on the rows that
-state a unit, and calibrated on a held-out part, predicts the unit from magnitude, source and neighbouring fields; it decides no
-unit, but only whether a row counts as settled (confident and equal to the nearest unit) or goes to review.
+A stated unit (in a column, else in the text beside the words for net profit) decides. Where none is stated, a tree ensemble trained on the
+rows that state a unit, and calibrated on a held-out part, predicts the unit from magnitude, source, neighbouring fields and the distance to
+the stock's reported or expected profit. Half of its training rows have that profit hidden, so that it can also decide where a stock has
+none. A confident prediction is converted, unless it misses a known profit by half a power of ten or more; every other row goes to review,
+with the unit nearest to the known profit as a proposal, the usual unit where no profit is known.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from halyard.operators.sampling import hash_sample
 
 UNITS = [1, 1_000, 10_000, 1_000_000, 100_000_000, 1_000_000_000]
 MISSING = -99.0
-FEATURES = ["f_actual", "f_consensus", "f_stock", "f_size", "f_revenue", "f_eps", "f_source", "f_sibling"]
+FEATURES = ["f_fit", "f_actual", "f_consensus", "f_stock", "f_size", "f_revenue", "f_eps", "f_source", "f_sibling"]
+#: Features that need a known profit of the stock.
+PROFIT = ["f_fit", "f_actual", "f_consensus", "f_stock", "f_sibling"]
 
 
 def unit_of(text: Column) -> Column:
@@ -129,7 +132,7 @@ def featured(rows: DataFrame, year: DataFrame, stock: DataFrame) -> DataFrame:
     sibling = first.groupBy("source_table", "record_id").agg(F.avg("fit").alias("f_sibling"))
     return (
         first.join(sibling, ["source_table", "record_id"], "left")
-        .withColumns({f: F.coalesce(c, F.lit(MISSING)) for f, c in (("f_actual", "gap_a"), ("f_consensus", "gap_c"), ("f_stock", "gap_s"), ("f_sibling", "f_sibling"))})
+        .withColumns({f: F.coalesce(c, F.lit(MISSING)) for f, c in (("f_fit", "fit"), ("f_actual", "gap_a"), ("f_consensus", "gap_c"), ("f_stock", "gap_s"), ("f_sibling", "f_sibling"))})
         .drop("gap_a", "gap_c", "gap_s", "ref_a", "ref_c", "ref_s", "revenue", "eps")
     )
 
@@ -157,41 +160,57 @@ def calibration(prob: np.ndarray, hit: np.ndarray, bins: int = 20) -> list[float
     return [p[0] / p[1] for p in pools for _ in range(int(p[2]))]
 
 
-def to_yuan(raw_reports: DataFrame, labels: DataFrame, reports: DataFrame, actuals: DataFrame, consensus: DataFrame, sample_rows: int = 6_000, trees: int = 12, depth: int = 6, confident: float = 0.9, keep=None) -> DataFrame:
+def unit_model(drawn: list, trees: int, depth: int, spark) -> tuple:
+    """(forest, calibration with a known profit, calibration without) of labelled rows; a fifth of them calibrates."""
+    cut = max(1, len(drawn) // 5)
+    assemble = VectorAssembler(inputCols=FEATURES, outputCol="_x")
+
+    def framed(part: list, hidden: bool):
+        rows = [(float(UNITS.index(r["stated"])), *[MISSING if hidden and f in PROFIT else r[f] for f in FEATURES]) for r in part]
+        return assemble.transform(spark.createDataFrame(rows, ["label", *FEATURES]).coalesce(1))
+
+    forest = RandomForestClassifier(featuresCol="_x", labelCol="label", probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c", numTrees=trees, maxDepth=depth, featureSubsetStrategy="onethird", seed=7)
+    model = forest.fit(framed(drawn[cut:], False).unionByName(framed(drawn[cut:], True)).coalesce(1))
+    shares = []
+    for hidden in (False, True):
+        held = model.transform(framed(drawn[:cut], hidden)).select("label", "_c", vector_to_array("_p").alias("p")).collect()
+        shares.append(calibration(np.array([max(r["p"]) for r in held]), np.array([r["label"] == r["_c"] for r in held])))
+    return model, *shares
+
+
+def with_guess(rows: DataFrame, model, known: list[float], unknown: list[float]) -> DataFrame:
+    """Adds ``guess`` (yuan per unit) and ``sure`` (its calibrated probability)."""
+    top = F.array_max(vector_to_array("_p"))
+
+    def calibrated(share: list[float]) -> Column:
+        return F.element_at(F.array(*[F.lit(float(s)) for s in share]), F.least(F.floor(top * len(share)).cast("int"), F.lit(len(share) - 1)) + 1)
+
+    guess = F.element_at(F.array(*[F.lit(u).cast("long") for u in UNITS]), F.col("_c").cast("int") + 1)
+    scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="_x").transform(rows))
+    return scored.withColumns({"guess": guess, "sure": F.when(F.col("fit").isNotNull(), calibrated(known)).otherwise(calibrated(unknown))}).drop("_x", "_p", "_r", "_c")
+
+
+def to_yuan(raw_reports: DataFrame, labels: DataFrame, reports: DataFrame, actuals: DataFrame, consensus: DataFrame, sample_rows: int = 6_000, trees: int = 24, depth: int = 8, confident: float = 0.9, keep=None) -> DataFrame:
     """All amounts in yuan: source_table, record_id, fy, value, unit_multiplier, value_yuan, route and confidence.
 
-    route is ``stated``, ``model`` (confident and fitting the stock's profit within half a power of ten) or ``review``.
+    route is ``stated``, ``model`` (a confident prediction that fits the stock's profit, where that is known, within half a power of ten) or
+    ``review`` (unit_multiplier is a proposal).
     The classifier is fitted on at most ``sample_rows`` rows that state a unit (those with the smallest hash, so the sample is
     uniform and repeatable); a fifth of it calibrates. Everything else covers all rows. With fewer than
     two stated units there is nothing to learn, and all unstated rows go to review.
-    Null values are left out; zero, or a stock without any known profit, keeps the usual unit of its table under ``review``.
+    Null values are left out; zeros, whose unit does not matter, keep what the other fields say or go to review.
     """
     keep = keep or (lambda d, _: d)
     rows = keep(featured(amounts(raw_reports, labels, reports), *profit_reference(actuals, consensus)), "amounts")
     drawn = hash_sample(rows.where("stated is not null and fit is not null"), ["source_table", "record_id", "fy", "value"], sample_rows)
-    spark = rows.sparkSession
-    best, sure = nearest_unit(F.col("fit")), F.lit(0.0)
     if len({r["stated"] for r in drawn}) > 1:
-        pairs = [(float(UNITS.index(r["stated"])), *[r[f] for f in FEATURES]) for r in drawn]
-        cut = max(1, len(pairs) // 5)
-        assemble = VectorAssembler(inputCols=FEATURES, outputCol="_x")
-
-        def framed(part):
-            return assemble.transform(spark.createDataFrame(part, ["label", *FEATURES]).coalesce(1))
-
-        model = RandomForestClassifier(featuresCol="_x", labelCol="label", probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c", numTrees=trees, maxDepth=depth, seed=7).fit(framed(pairs[cut:]))
-        held = model.transform(framed(pairs[:cut])).select("label", "_c", vector_to_array("_p").alias("p")).collect()
-        share = calibration(np.array([max(r["p"]) for r in held]), np.array([r["label"] == r["_c"] for r in held]))
-        scored = model.transform(assemble.transform(rows))
-        top = F.array_max(vector_to_array("_p"))
-        sure = F.element_at(F.array(*[F.lit(float(s)) for s in share]), F.least(F.floor(top * len(share)).cast("int"), F.lit(len(share) - 1)) + 1)
-        guess = F.element_at(F.array(*[F.lit(u).cast("long") for u in UNITS]), F.col("_c").cast("int") + 1)
-        rows = scored
+        rows = with_guess(rows, *unit_model(drawn, trees, depth, rows.sparkSession))
     else:
-        guess = F.lit(None).cast("long")
-    agrees = (guess == best) & (F.abs(F.col("fit") - F.log10(guess.cast("double"))) <= 0.5)
-    route = F.when(F.col("stated").isNotNull(), "stated").when((sure >= confident) & agrees, "model").otherwise("review")
-    unit = F.coalesce("stated", F.when((sure >= confident) & agrees, guess), best, "usual")
-    return rows.select("source_table", "record_id", "fy", "value", unit.alias("unit_multiplier"), "usual", route.alias("route"), sure.alias("confidence")).withColumn(
+        rows = rows.withColumns({"guess": F.lit(None).cast("long"), "sure": F.lit(0.0)})
+    fits = F.col("fit").isNull() | (F.abs(F.col("fit") - F.log10(F.col("guess").cast("double"))) < 0.5)
+    decided = (F.col("sure") >= confident) & fits
+    route = F.when(F.col("stated").isNotNull(), "stated").when(decided, "model").otherwise("review")
+    unit = F.coalesce("stated", F.when(decided, F.col("guess")), nearest_unit(F.col("fit")), "usual")
+    return rows.select("source_table", "record_id", "fy", "value", unit.alias("unit_multiplier"), "usual", route.alias("route"), F.col("sure").alias("confidence")).withColumn(
         "value_yuan", F.col("value") * F.col("unit_multiplier")
     )

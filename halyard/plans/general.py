@@ -43,6 +43,11 @@ def p5_yuan(spark: SparkSession, folder: str) -> DataFrame:
     return p5_amounts(spark, folder).select("source_table", "record_id", "fy", "value", "unit_multiplier", "value_yuan", "route")
 
 
+def p5_converted(spark: SparkSession, folder: str) -> DataFrame:
+    """The conversions alone, without what the model thought of them."""
+    return p5_amounts(spark, folder).select("source_table", "record_id", "fy", "value", "unit_multiplier", "value_yuan").distinct()
+
+
 def p6_checked(spark: SparkSession, folder: str) -> DataFrame:
     return asof.labels_as_known(
         table(spark, folder, "report_fy_labels", "report_id", "fy", "stock_code", "available_date", "consensus_pre", "residual_valid"),
@@ -59,7 +64,7 @@ def p6_known(spark: SparkSession, folder: str) -> DataFrame:
     return p6_checked(spark, folder).select("report_id", "fy", "valid_consensus", "actual_known").distinct()
 
 
-QUERIES = {"p4_found": p4_found, "p4_history": p4_history, "p5_found": p5_found, "p5_yuan": p5_yuan, "p6_found": p6_found, "p6_known": p6_known}
+QUERIES = {"p4_found": p4_found, "p4_history": p4_history, "p5_found": p5_found, "p5_yuan": p5_yuan, "p5_converted": p5_converted, "p6_found": p6_found, "p6_known": p6_known}
 
 _P4 = r"""
 WITH r AS (
@@ -115,7 +120,7 @@ def _unit_sql(x: str) -> str:
 
 _STATED_SQL = "'" + units.STATED + "'"
 _STOCK_SQL = r"""lpad(nullif(regexp_extract(translate(STOCK_CODE, '０１２３４５６７８９', '0123456789'), '^\s*(?:[A-Za-z]{2}\.?)?(\d{1,6})(?:\.[A-Za-z0]{1,2})?\s*$', 1), ''), 6, '0')"""
-ORACLE["p5_found"] = f"""
+_P5 = f"""
 WITH r0 AS (SELECT ID AS id, REPORT_YEAR AS fy, {_STOCK_SQL} AS stock, STOCK_NAME AS name, FORECAST_NP AS v,
   coalesce({_unit_sql('FORECAST_UNIT')}, {_unit_sql(f"nullif(regexp_extract(CONTENT, {_STATED_SQL}, 1), '')")}) AS stated FROM raw_reports WHERE FORECAST_NP IS NOT NULL),
 c0 AS (SELECT name, min(stock) AS found FROM r0 WHERE stock IS NOT NULL AND name IS NOT NULL GROUP BY 1 HAVING min(stock) = max(stock)),
@@ -127,4 +132,6 @@ b AS (SELECT stock_code, fy, log10(abs(nullif(actual_np, 0))) AS a, NULL AS c FR
 y AS (SELECT stock_code, fy, avg(a) AS ra, avg(c) AS rc FROM b GROUP BY 1, 2), s AS (SELECT stock_code, avg(coalesce(ra, rc)) AS rs FROM y GROUP BY 1),
 f AS (SELECT a.*, coalesce(ra, rc, rs) - log10(abs(nullif(v, 0))) AS fit FROM a LEFT JOIN y ON y.stock_code = a.stock AND y.fy = a.fy LEFT JOIN s ON s.stock_code = a.stock),
 m AS (SELECT *, coalesce(stated, CASE WHEN fit < 1.5 THEN 1 WHEN fit < 3.5 THEN 1000 WHEN fit < 5 THEN 10000 WHEN fit < 7 THEN 1000000 WHEN fit < 8.5 THEN 100000000 WHEN fit >= 8.5 THEN 1000000000 END, usual) AS unit FROM f)
-SELECT DISTINCT source_table, record_id, fy, CAST(unit AS BIGINT) AS unit_multiplier FROM m WHERE unit <> usual"""
+"""
+ORACLE["p5_converted"] = _P5 + "SELECT DISTINCT source_table, record_id, fy, v AS value, CAST(unit AS BIGINT) AS unit_multiplier, v * unit AS value_yuan FROM m"
+ORACLE["p5_found"] = _P5 + """SELECT DISTINCT source_table, record_id, fy, CAST(unit AS BIGINT) AS unit_multiplier FROM m WHERE unit <> usual"""
