@@ -113,7 +113,7 @@ def headline_core(c: str | Column) -> Column:
 
 def count_bucket(c: str | Column) -> Column:
     x = col(c)
-    return F.when(x.isNull(), "missing").when(x <= 1, "1").when(x == 2, "2").otherwise("3+")
+    return F.when(x == 1, "1").when(x == 2, "2").when(x >= 3, "3+").otherwise("missing")
 
 
 def sorted_json(values: Column) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.functions.scalars import col
+from halyard.session import materialize
 
 
 def middle(sorted_values: Column) -> Column:
@@ -88,8 +92,63 @@ def grouped_median(df: DataFrame, keys: list[str], value: str, out: str = "media
     return picked.groupBy(*keys).agg(F.avg("_v").alias(out), F.max("_all").alias("n"))
 
 
-def newey_west(df: DataFrame, keys: list[str], order: str, value: str, lags: int) -> DataFrame:
-    """Mean test with Bartlett weights per group: keys, n, mean, se, t, p (two-sided, normal)."""
+def distribution(df: DataFrame, keys: list[str], values: list[str], sums: dict[str, Column] | None = None) -> DataFrame:
+    """Per distinct combination of ``values`` within keys, in their order: n and each sum, with what comes before (``_before``) and the
+    key's total (``_all``). Null values are left out by the caller.
+
+    A distributed sort: values are counted first, the counts are split into ranges of about equal size over all keys, and the totals of the
+    ranges are summed up before the rows within a range. However large a group, no task sorts more than one range.
+    """
+    sums = {"n": F.count(F.lit(1))} | (sums or {})
+    counted = materialize(df.groupBy(*keys, *values).agg(*[c.alias(n) for n, c in sums.items()]), "counted")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = materialize(counted.repartitionByRange(parts, *keys, *values).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = ranges.groupBy(*keys, "_range").agg(*[F.sum(n).alias(f"_{n}") for n in sums])
+    whole = Window.partitionBy(*keys)
+    run = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumns({f"_{n}_base": F.coalesce(F.sum(f"_{n}").over(run), F.lit(0)) for n in sums} | {f"{n}_all": F.sum(f"_{n}").over(whole) for n in sums}).drop(*[f"_{n}" for n in sums])
+    on = F.col("_range") == F.col("_r2")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    side = totals.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)} | {"_range": "_r2"})
+    inner = Window.partitionBy(*keys, "_range").orderBy(*values).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranges.withColumns({f"_{n}_in": F.coalesce(F.sum(n).over(inner), F.lit(0)) for n in sums}).join(side, on)
+    return out.select(*keys, *values, *sums, *[(F.col(f"_{n}_base") + F.col(f"_{n}_in")).alias(f"{n}_before") for n in sums], *[f"{n}_all" for n in sums])
+
+
+def with_average_ranks(df: DataFrame, keys: list[str], ranks: dict[str, str]) -> DataFrame:
+    """Adds 1-based ranks within keys (value column -> rank column; ties share their mean rank) for groups of any size. Values are not null."""
+    for value, out in ranks.items():
+        place = distribution(df, keys, [value]).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(value).alias("_v"), (F.col("n_before") + (F.col("n") + 1) / 2.0).alias(out))
+        on = F.col(value) == F.col("_v")
+        for i, k in enumerate(keys):
+            on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        df = df.join(place, on).drop("_v", *[f"_k{i}" for i in range(len(keys))])
+    return df
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, points: list[float], out: str = "quantiles") -> DataFrame:
+    """Exact quantiles per group of any size, by linear interpolation: keys, ``out`` (an array), n. Null and NaN values are left out."""
+    v = F.col(value).cast("double")
+    place = distribution(df.where(v.isNotNull() & ~F.isnan(v)).select(*keys, v.alias("_v")), keys, ["_v"])
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n")), F.col("_v")))
+
+    picked = []
+    for q in points:
+        h = F.lit(q) * (F.col("n_all") - 1)
+        low, high = at(F.floor(h)), at(F.ceil(h))
+        share = F.max(h - F.floor(h))
+        picked.append(F.when(share > 0, low + (high - low) * share).otherwise(low))
+    return place.groupBy(*keys).agg(F.array(*picked).alias(out), F.max("n_all").alias("n"))
+
+
+def newey_west(df: DataFrame, keys: list[str], order: str, value: str, lags: int = 4) -> DataFrame:
+    """Mean test with Bartlett weights per group: keys, n, lags, mean, se, t, p (two-sided, normal).
+
+    A group uses at most n - 1 lags, and its weights follow from the lags it uses. Fewer than two values, or no variance, give no statistic.
+    """
     v = F.col(value)
     rows = df.where(v.isNotNull() & ~F.isnan(v))
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy()
@@ -97,12 +156,46 @@ def newey_west(df: DataFrame, keys: list[str], order: str, value: str, lags: int
     by = whole.orderBy(order)
     lagged = centered.withColumns({f"_l{k}": F.lag("_e", k).over(by) for k in range(1, lags + 1)})
     n = F.count(v)
-    var = F.sum(F.col("_e") * F.col("_e")) / n
+    sums = [F.coalesce(F.sum(F.col("_e") * F.col(f"_l{k}")), F.lit(0.0)).alias(f"_c{k}") for k in range(1, lags + 1)]
+    agg = lagged.groupBy(*keys).agg(n.alias("n"), F.avg(v).alias("mean"), F.sum(F.col("_e") * F.col("_e")).alias("_c0"), *sums).withColumn("lags", F.greatest(F.lit(0), F.least(F.lit(lags), F.col("n") - 1)).cast("int"))
+    var = F.col("_c0")
     for k in range(1, lags + 1):
-        var = var + 2 * (1 - k / (lags + 1)) * F.coalesce(F.sum(F.col("_e") * F.col(f"_l{k}")), F.lit(0.0)) / n
-    agg = lagged.groupBy(*keys).agg(n.alias("n"), F.avg(v).alias("mean"), F.sqrt(F.greatest(var, F.lit(0.0)) / n).alias("se"))
+        var = var + 2 * F.greatest(F.lit(0.0), 1 - F.lit(float(k)) / (F.col("lags") + 1)) * F.col(f"_c{k}")
+    out = agg.withColumn("se", F.when(F.col("n") >= 2, F.sqrt(F.greatest(var, F.lit(0.0))) / F.col("n")))
     t = F.when(F.col("se") > 0, F.col("mean") / F.col("se"))
-    return agg.withColumn("t", t).withColumn("p", two_sided_p(F.col("t")))
+    return out.select(*keys, "n", "lags", "mean", "se", t.alias("t"), two_sided_p(t).alias("p"))
+
+
+def t_tail(t: float, df: float) -> float:
+    """Two-sided tail probability of Student's distribution, by the continued fraction of the incomplete beta function."""
+    x, a, b = df / (df + t * t), df / 2.0, 0.5
+    if not 0 < x < 1:
+        return float(x >= 1)
+    turned = x > (a + 1) / (a + b + 2)
+    if turned:
+        x, a, b = 1 - x, b, a
+    tiny = 1e-300
+    c, d = 1.0, 1.0 / ((1 - (a + b) * x / (a + 1)) or tiny)
+    total = d
+    for m in range(1, 10_000):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 / ((1 + num * d) or tiny)
+            c = (1 + num / c) or tiny
+            total *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    return 1 - front * total if turned else front * total
+
+
+def spearman_p(rho: Column, n: Column) -> Column:
+    """Two-sided p-value of a rank correlation by Student's distribution with n - 2 degrees of freedom, on rows of a summary."""
+
+    @F.pandas_udf("double")
+    def tail(r: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([float("nan") if pd.isna(x) or m < 3 else 0.0 if abs(x) >= 1 else t_tail(abs(x) * math.sqrt((m - 2) / (1 - x * x)), m - 2) for x, m in zip(r, k)], dtype="float64")
+
+    return F.nanvl(tail(rho, n), F.lit(None).cast("double"))
 
 
 def two_sided_p(z: Column) -> Column:

@@ -65,7 +65,7 @@ def scale_floors(rows: DataFrame, history_months: int = 12, min_samples: int = 2
     good = rows.where(F.col("pre_invalid_reason").isNull() & finite("consensus_pre").isNotNull())
     ref = good.select(F.trunc("available_date", "MM").alias("m"), "forecast_horizon", F.abs("consensus_pre").alias("a"))
     want = rows.select(F.trunc("available_date", "MM").alias("month"), "forecast_horizon").distinct()
-    months = want.select("month").distinct()
+    months = want.select("month").distinct()  # months of the calendar: a few hundred at most
     ahead = ref.select(F.explode(F.sequence(F.add_months("m", 1), F.add_months("m", history_months), F.expr("interval 1 month"))).alias("month"), "forecast_horizon", "a").join(F.broadcast(months), "month", "left_semi")
     same = grouped_median(ahead, ["month", "forecast_horizon"], "a").select("month", "forecast_horizon", F.col("median").alias("ms"), F.col("n").alias("ns"))
     pool = grouped_median(ahead, ["month"], "a").select("month", F.col("median").alias("mp"), F.col("n").alias("np"))

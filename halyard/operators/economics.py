@@ -2,26 +2,24 @@
 
 from __future__ import annotations
 
-import json
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.functions.scalars import finite, same_sign, stock6
-from halyard.functions.stats import array_mad, array_median, average_rank, quantile_bucket, safe_corr
-from halyard.operators.consensus import EPS
+from halyard.functions.stats import array_mad, array_median, distribution, exact_quantiles, quantile_edges, safe_corr, spearman_p, with_average_ranks
+from halyard.session import materialize
+
+MACHINE_EPS = 2.0**-52
 
 
 def dense_panel(returns: DataFrame) -> DataFrame:
     """(date, stock_code, ret, ord) with a row for every date of the panel and every stock; missing values are NULL.
 
     The grid is dates x stocks, as panel positions need it. It is built per stock by exploding the array of the panel's dates
-    (a few thousand), so no pair of large sides is ever crossed.
+    (a few thousand, in one row), so no pair of large sides is ever crossed.
     """
-    days = sorted(r["date"] for r in returns.select("date").where("date is not null").distinct().collect())  # bounded by the calendar
-    spine = F.from_json(F.lit(json.dumps([str(d) for d in days])), "array<date>")
-    grid = returns.select("stock_code").distinct().select("stock_code", F.posexplode(spine).alias("ord", "date"))
+    days = returns.select("date").where("date is not null").distinct().agg(F.array_sort(F.collect_list("date")).alias("days")).withColumn("_one", F.lit(1))  # bounded by the calendar
+    grid = returns.select("stock_code").distinct().withColumn("_one", F.lit(1)).join(F.broadcast(days), "_one").select("stock_code", F.posexplode("days").alias("ord", "date"))  # one row
     return grid.join(returns.select("date", "stock_code", finite("ret").alias("ret")), ["date", "stock_code"], "left")
 
 
@@ -38,20 +36,23 @@ def compound_forward(returns: DataFrame, horizons: list[int]) -> DataFrame:
 def compound_between(events: DataFrame, returns: DataFrame, start: str, end: str, out: str) -> DataFrame:
     """Compounded return of each event's stock over the panel dates in [start, end).
 
-    Both ends must be panel dates, else NULL; an empty interval gives 0; a missing value inside gives NULL. Each event turns into
-    one row per panel date of its interval and meets the returns by equality, so the cost is the length of the intervals.
+    Both ends must be panel dates and the stock a panel stock, else NULL; an empty interval gives 0, a reversed one NULL, as does a missing value inside.
+    Per stock and date the panel carries what came before: missing values, factors of zero, negative factors, and the sum of
+    logarithms. An event meets it twice, by equality, whatever the length of its interval.
     """
-    days = returns.select(F.col("date").alias("_d")).distinct().withColumn("_o", F.row_number().over(Window.orderBy("_d")))
-    days = F.broadcast(days)  # the panel's calendar: bounded by time
-    at = events.join(days.select(F.col("_d").alias(start), F.col("_o").alias("_a")), start, "left").join(days.select(F.col("_d").alias(end), F.col("_o").alias("_b")), end, "left")
-    spans = at.select("stock_code", start, end, "_a", "_b").where("_a is not null and _b is not null and _b > _a").distinct()
-    walked = spans.withColumn("_o", F.explode(F.sequence("_a", F.col("_b") - 1))).join(days, "_o")
-    values = walked.join(returns.select(F.col("date").alias("_d"), "stock_code", finite("ret").alias("ret")), ["_d", "stock_code"], "left")
-    made = values.groupBy("stock_code", start, end).agg(F.count("ret").alias("_n"), F.count(F.lit(1)).alias("_all"), F.product(1 + F.coalesce("ret", F.lit(0.0))).alias("_p"))
-    joined = at.join(made, ["stock_code", start, end], "left")
-    inside = F.when(F.col("_n") == F.col("_all"), F.col("_p") - 1)
-    value = F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.lit(None)).when(F.col("_b") == F.col("_a"), F.lit(0.0)).when(F.col("_b") > F.col("_a"), inside).when(F.col("_b") < F.col("_a"), F.lit(0.0))
-    return joined.withColumn(out, value).drop("_a", "_b", "_n", "_all", "_p")
+    before = Window.partitionBy("stock_code").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    g = 1 + F.col("ret")
+    marks = {"_miss": F.count_if(F.col("ret").isNull()), "_zero": F.count_if(g == 0), "_neg": F.count_if(g < 0), "_log": F.sum(F.when(g != 0, F.log(F.abs(g))).otherwise(0.0))}
+    run = dense_panel(returns).select("stock_code", "date", "ord", *[F.coalesce(c.over(before), F.lit(0)).alias(n) for n, c in marks.items()])
+    run = materialize(run, "running-returns")
+    names = ["ord", *marks]
+    side = lambda c, x: run.select("stock_code", F.col("date").alias(c), *[F.col(n).alias(f"{x}{n}") for n in names])
+    at = events.join(side(start, "a"), ["stock_code", start], "left").join(side(end, "b"), ["stock_code", end], "left")
+    gone = lambda n: F.col(f"b{n}") - F.col(f"a{n}")
+    sign = F.when(gone("_neg") % 2 == 1, -1.0).otherwise(1.0)
+    product = F.when(gone("_zero") > 0, 0.0).otherwise(sign * F.exp(gone("_log")))
+    value = F.when(F.col("bord") == F.col("aord"), 0.0).when((F.col("bord") > F.col("aord")) & (gone("_miss") == 0), product - 1)
+    return at.withColumn(out, value).select(*events.columns, out)
 
 
 def lookup(frame: DataFrame, panel: DataFrame, date: str, stock: str, value: str, out: str) -> DataFrame:
@@ -100,7 +101,7 @@ def weighted_index_return(weights: DataFrame, returns: DataFrame, least: float =
     until = F.coalesce(F.date_sub(F.lead("trade_date").over(Window.partitionBy("index_code").orderBy("trade_date")), 1), F.lit(last).cast("date"))
     spans = snaps.withColumn("_to", until).where("_to >= trade_date")
     at = spans.select("index_code", "trade_date", F.explode(F.sequence("trade_date", "_to")).alias("date")).join(returns.select("date").distinct(), "date", "left_semi")
-    rows = weights.join(F.broadcast(at), ["index_code", "trade_date"]).join(returns.select("date", "stock_code", finite("ret").alias("ret")), ["date", "stock_code"], "left")
+    rows = weights.join(at, ["index_code", "trade_date"]).join(returns.select("date", "stock_code", finite("ret").alias("ret")), ["date", "stock_code"], "left")
     w, has = F.col("weight"), F.col("ret").isNotNull()
     agg = rows.groupBy("index_code", "date").agg(F.sum(F.when(has, w * F.col("ret"))).alias("s"), F.sum(F.when(has, w)).alias("have"), F.sum(w).alias("all"))
     covered = F.try_divide("have", "all")
@@ -115,39 +116,42 @@ def next_session_return(prices: DataFrame, keys: list[str], date: str, close: st
 def actual_surprises(actuals: DataFrame, daily: DataFrame, lookback_days: int = 180, min_orgs: int = 3, ratio: float = 0.01) -> DataFrame:
     """Each actual against the latest forecast per organisation before it became known (age by available date).
 
-    Reasons in order: invalid_actual, actual_known_date_missing, no_forecast_history, insufficient_orgs, invalid_scale.
+    Reasons in order: invalid_actual (no known date, or no finite value), no_forecast_history (none for stock and year),
+    no_recent_forecast_before_actual, insufficient_actual_pre_peers. Invalid rows carry no consensus. The scale is at least ``ratio`` times the median
+    absolute forecast, and at least the machine's epsilon.
     Few organisations cover one stock and year, so their forecasts travel as a short array.
     """
     act = actuals.select("stock_code", "fy", "actual_np", "actual_known_date")
-    near = act.join(daily, ["stock_code", "fy"]).where((F.datediff("actual_known_date", "available_date") > 0) & (F.datediff("actual_known_date", "available_date") <= lookback_days))
-    last = near.groupBy("stock_code", "fy", "org_id").agg(F.max_by("forecast", "available_date").alias("f"))
-    peers = last.groupBy("stock_code", "fy").agg(F.array_sort(F.collect_list("f")).alias("v"))
-    rows = act.join(peers, ["stock_code", "fy"], "left")
-    rows = rows.withColumn("consensus", array_median(F.col("v")))
-    mad = array_mad(F.col("v"), F.col("consensus"))
-    floor = F.greatest(ratio * array_median(F.transform("v", lambda x: F.abs(x))), F.lit(EPS))
-    rows = rows.withColumns({"dispersion_abs": mad, "scale_floor": F.when(F.col("consensus").isNotNull(), floor)})
+    age = F.datediff("actual_known_date", "available_date")
+    near = act.join(daily, ["stock_code", "fy"]).where((age > 0) & (age <= lookback_days))
+    last = near.groupBy("stock_code", "fy", "actual_known_date", "org_id").agg(F.max_by("forecast", "available_date").alias("f"))
+    peers = last.groupBy("stock_code", "fy", "actual_known_date").agg(F.array_sort(F.collect_list("f")).alias("v"))
+    any_ = daily.select("stock_code", "fy").distinct().withColumn("_any", F.lit(True))
+    rows = act.join(peers, ["stock_code", "fy", "actual_known_date"], "left").join(any_, ["stock_code", "fy"], "left")
     rows = rows.withColumn("n_orgs", F.when(F.col("v").isNull(), F.lit(0)).otherwise(F.size("v")))
-    rows = rows.withColumn("scale", F.when(F.col("consensus").isNotNull(), F.greatest(F.abs("consensus"), F.col("scale_floor"))))
     reason = (
-        F.when(finite("actual_np").isNull(), "invalid_actual")
-        .when(F.col("actual_known_date").isNull(), "actual_known_date_missing")
-        .when(F.col("n_orgs") == 0, "no_forecast_history")
-        .when(F.col("n_orgs") < min_orgs, "insufficient_orgs")
-        .when(~(F.col("scale") > 0), "invalid_scale")
+        F.when(finite("actual_np").isNull() | F.col("actual_known_date").isNull(), "invalid_actual")
+        .when(F.col("_any").isNull(), "no_forecast_history")
+        .when(F.col("n_orgs") == 0, "no_recent_forecast_before_actual")
+        .when(F.col("n_orgs") < min_orgs, "insufficient_actual_pre_peers")
     )
-    return rows.withColumn("invalid_reason", reason).withColumn("surprise", F.when(F.col("invalid_reason").isNull(), F.try_divide(F.col("actual_np") - F.col("consensus"), F.col("scale")))).drop("v")
+    rows = rows.withColumn("invalid_reason", reason).withColumn("v", F.when(F.col("invalid_reason").isNull(), F.col("v")))
+    rows = rows.withColumn("consensus", array_median(F.col("v")))
+    floor = F.greatest(ratio * array_median(F.transform("v", lambda x: F.abs(x))), F.lit(MACHINE_EPS))
+    rows = rows.withColumns({"dispersion_abs": array_mad(F.col("v"), F.col("consensus")), "scale_floor": F.when(F.col("consensus").isNotNull(), floor)})
+    rows = rows.withColumn("scale", F.when(F.col("consensus").isNotNull(), F.greatest(F.abs("consensus"), F.col("scale_floor"))))
+    return rows.withColumn("surprise", F.try_divide(F.col("actual_np") - F.col("consensus"), F.col("scale"))).drop("v", "_any")
 
 
-def in_universe(rows: DataFrame, universes: DataFrame, date: str) -> DataFrame:
-    """Rows whose stock belongs to the universe locked for the year of ``date``."""
+def in_universe(rows: DataFrame, universes: DataFrame, year: Column) -> DataFrame:
+    """Rows whose stock belongs to the universe locked for ``year``, which is added as a column."""
     members = universes.select("year", "stock_code").distinct()
-    return rows.withColumn("year", F.year(date)).join(members, ["year", "stock_code"], "left_semi")
+    return rows.withColumn("year", year).join(members, ["year", "stock_code"], "left_semi")
 
 
 def analyst_information(labels: DataFrame, universes: DataFrame) -> DataFrame:
     """Signal (report against peers) and surprise (actual against peers) in scale units, for valid rows of the universe."""
-    rows = in_universe(labels.where("pre_label_valid = 1 and actual_np is not null and actual_known_date > available_date"), universes, "available_date")
+    rows = in_universe(labels.where("pre_label_valid = 1 and actual_np is not null and actual_known_date > available_date"), universes, F.year("available_date"))
     signal = F.try_divide(F.col("forecast_new") - F.col("consensus_pre"), F.col("scale_t"))
     surprise = F.try_divide(F.col("actual_np") - F.col("consensus_pre"), F.col("scale_t"))
     return rows.withColumns({"signal": signal, "surprise": surprise}).withColumn("direction_hit", same_sign("signal", "surprise"))
@@ -155,7 +159,7 @@ def analyst_information(labels: DataFrame, universes: DataFrame) -> DataFrame:
 
 def consensus_revisions(confirmations: DataFrame, labels: DataFrame, universes: DataFrame) -> DataFrame:
     """Valid confirmations of the universe (zero progress stays) with the consensus revision and whether it went the report's way."""
-    valid = in_universe(confirmations.where("confirmation_valid = 1"), universes, "available_date")
+    valid = in_universe(confirmations.where("confirmation_valid = 1"), universes, F.year("available_date"))
     revision = F.try_divide(F.col("consensus_future") - F.col("consensus_before"), F.col("scale_t"))
     signal = F.try_divide(F.col("forecast_new") - F.col("consensus_before"), F.col("scale_t"))
     actual = labels.select("report_id", "fy", "actual_np").dropDuplicates(["report_id", "fy"])
@@ -180,32 +184,40 @@ def clustered_ols(df: DataFrame, x: str, y: str, cluster: str, by: list[str] | N
     return out.withColumn("beta_se", F.sqrt(var)).withColumn("beta_t", F.try_divide("beta", "beta_se")).drop("_mx", "_sxx", "_ss", "_all")
 
 
-def association(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """Per group: n, Spearman, Pearson and the share of equal signs (zeros excluded)."""
-    rows = df.select(*by, finite(x).alias("_x"), finite(y).alias("_y")).where("_x is not null and _y is not null")
-    ranked = rows.withColumns({"_rx": average_rank(F.col("_x"), *by), "_ry": average_rank(F.col("_y"), *by)})
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), safe_corr(F.col("_rx"), F.col("_ry")).alias("spearman"), safe_corr(F.col("_x"), F.col("_y")).alias("pearson"), F.avg(same_sign("_x", "_y").cast("double")).alias("sign_hit"))
-
-
-def spearman_p(rho: float, n: int) -> float:
-    """Two-sided p-value of a Spearman correlation by the t-distribution with n - 2 degrees of freedom (normal tail for large n)."""
-    if n < 3 or abs(rho) >= 1:
-        return 0.0 if abs(rho) >= 1 else float("nan")
-    t, v = abs(rho) * math.sqrt((n - 2) / (1 - rho * rho)), n - 2
-    if v > 200:
-        return math.erfc(t / math.sqrt(2))
-    steps = 4000  # Simpson's rule over the tail of the density, t = tan(u)
-    lo, hi = math.atan(t / math.sqrt(v)), math.pi / 2
-    c = math.gamma((v + 1) / 2) / (math.sqrt(math.pi) * math.gamma(v / 2))
-    f = [math.cos(lo + (hi - lo) * k / steps) ** (v - 1) for k in range(steps + 1)]
-    return 2 * c * (hi - lo) / steps / 3 * (f[0] + f[-1] + 4 * sum(f[1:-1:2]) + 2 * sum(f[2:-1:2]))
+def association(df: DataFrame, x: str, y: str, by: list[str], cluster: str | None = None) -> DataFrame:
+    """Per group: n, Spearman with its p-value, Pearson, the share of equal signs (zeros excluded), and with ``cluster`` the slope, its clustered
+    standard error and t, and the number of clusters. Rows lack none of the fields; groups may be of any size."""
+    keep = [*by, cluster] if cluster else by
+    rows = df.select(*keep, finite(x).alias("_x"), finite(y).alias("_y")).dropna(subset=["_x", "_y", *([cluster] if cluster else [])])
+    rows = materialize(rows, "association")
+    ranked = with_average_ranks(rows, by, {"_x": "_rx", "_y": "_ry"})
+    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), safe_corr(F.col("_rx"), F.col("_ry")).alias("spearman"), safe_corr(F.col("_x"), F.col("_y")).alias("pearson"), F.avg(same_sign("_x", "_y").cast("double")).alias("sign_hit"))
+    out = out.withColumn("spearman", F.when(F.col("n") >= 3, F.col("spearman"))).withColumn("spearman_p", spearman_p(F.col("spearman"), F.col("n")))
+    if not cluster:
+        return out
+    fit = clustered_ols(rows, "_x", "_y", cluster, by).select(*by, "clusters", "beta", "beta_se", "beta_t")
+    return out.join(fit, by, "left")
 
 
 def quantile_summary(df: DataFrame, x: str, y: str, q: int, by: list[str], tie: list[str]) -> DataFrame:
-    """Per group and quantile of x (ties broken by ``tie``): n, means and medians of x and y."""
-    rows = df.where(finite(x).isNotNull() & finite(y).isNotNull())
-    cut = rows.withColumn("quantile", quantile_bucket([F.col(x), *[F.col(t) for t in tie]], q, *by))
-    return cut.groupBy(*by, "quantile").agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"), F.median(x).alias("median_x"), F.median(y).alias("median_y"))
+    """Per group and quantile of x (ties broken by ``tie``): n, means and medians of x and y. Groups with fewer than q rows, or fewer than q
+    distinct values of x, have none. Groups may be of any size."""
+    rows = materialize(df.where(finite(x).isNotNull() & finite(y).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"), *[F.col(t).alias(f"_t{i}") for i, t in enumerate(tie)]), "quantile-rows")
+    some = rows.select(*by, "_x").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("_distinct"))
+    place = distribution(rows, by, ["_x", *[f"_t{i}" for i in range(len(tie))], "_y"]).join(some, by).where((F.col("_distinct") >= q) & (F.col("n_all") >= q))
+    # repeats of one row take consecutive places; they are put out one by one only where an edge falls between them
+    edges = quantile_edges(F.col("n_all").cast("double"), q)
+    bucket = lambda rank: sum(((rank > e).cast("int") for e in edges), F.lit(1))
+    low, high = bucket((F.col("n_before") + 1).cast("double")), bucket((F.col("n_before") + F.col("n")).cast("double"))
+    spread = place.withColumn("_i", F.explode(F.when(low == high, F.array(F.lit(1).cast("long"))).otherwise(F.sequence(F.lit(1).cast("long"), F.col("n")))))
+    cut = materialize(spread.select(*by, F.when(low == high, low).otherwise(bucket((F.col("n_before") + F.col("_i")).cast("double"))).alias("quantile"), F.when(low == high, F.col("n")).otherwise(1).alias("_w"), "_x", "_y"), "quantile-cells")
+    keys = [*by, "quantile"]
+    w = F.col("_w")
+    out = cut.groupBy(*keys).agg(F.sum(w).alias("n"), (F.sum(w * F.col("_x")) / F.sum(w)).alias("mean_x"), (F.sum(w * F.col("_y")) / F.sum(w)).alias("mean_y"))
+    each = cut.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), w)))
+    for v, name in (("_x", "median_x"), ("_y", "median_y")):
+        out = out.join(exact_quantiles(each, keys, v, [0.5], "_m").select(*keys, F.col("_m")[0].alias(name)), keys)
+    return out
 
 
 def closeness(a: DataFrame, b: DataFrame, keys: list[str], value: str, rtol: float = 1e-5, atol: float = 1e-8) -> DataFrame:

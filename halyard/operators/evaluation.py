@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.functions.scalars import count_bucket, finite
-from halyard.functions.stats import average_rank, benjamini_hochberg, newey_west, quantile_bucket, safe_corr
+from halyard.functions.stats import average_rank, benjamini_hochberg, newey_west, quantile_bucket, quantile_edges, safe_corr
 from halyard.session import materialize
 
 MAD_TO_SIGMA = 1.4826
@@ -102,14 +102,16 @@ def rating_returns(df: DataFrame, rating: str, target: str, date: str, least: in
 
 
 def quantile_portfolios(df: DataFrame, factor: str, target: str, keys: list[str], tie: list[str], q: int = 5) -> DataFrame:
-    """Per cross-section and factor quantile: n and mean target; only sections with at least q complete rows."""
+    """Per cross-section and factor quantile: n and mean target; only sections with at least q complete rows and q distinct factor values."""
     rows = df.where(finite(factor).isNotNull() & finite(target).isNotNull())
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    cut = rows.withColumn("_n", n).where(F.col("_n") >= q).withColumn("quantile", quantile_bucket([F.col(factor), *[F.col(t) for t in tie]], q, *keys))
+    # the last dense rank is the number of distinct values; a section has at least as many rows
+    kinds = F.max("_rank").over(Window.partitionBy(*keys))
+    ranked = rows.withColumn("_rank", F.dense_rank().over(Window.partitionBy(*keys).orderBy(factor))).withColumn("_n", kinds)
+    cut = ranked.where(F.col("_n") >= q).drop("_rank", "_n").withColumn("quantile", quantile_bucket([F.col(factor), *[F.col(t) for t in tie]], q, *keys))
     return cut.groupBy(*keys, "quantile").agg(F.count(F.lit(1)).alias("n"), F.avg(target).alias("mean_return"))
 
 
-def spread_test(portfolios: DataFrame, keys: list[str], date: str, q: int = 5, lags: int = 5) -> DataFrame:
+def spread_test(portfolios: DataFrame, keys: list[str], date: str, q: int = 5, lags: int = 4) -> DataFrame:
     """Top minus bottom per date, its Newey-West test, and the monotonicity (Spearman of quantile and mean return) per key."""
     top, low = F.max(F.when(F.col("quantile") == q, F.col("mean_return"))), F.max(F.when(F.col("quantile") == 1, F.col("mean_return")))
     daily = portfolios.groupBy(*keys, date).agg((top - low).alias("spread"))
@@ -134,7 +136,7 @@ def stratified_ic(df: DataFrame, factor: str, target: str, date: str, strata: di
     return ic_summary(ics, ["dimension", "group"])
 
 
-def partial_rank_ic(df: DataFrame, x: str, y: str, controls: list[str], keys: list[str], least: int = 10) -> DataFrame:
+def partial_rank_ic(df: DataFrame, x: str, y: str, controls: list[str], keys: list[str], least: int = 20) -> DataFrame:
     """Correlation of x and y ranks after taking out one or two controls' ranks, per cross-section, in closed form from the pairwise
     correlations of ranks; NULL below ``least`` complete rows or where a control is collinear."""
     if not 1 <= len(controls) <= 2:
@@ -157,7 +159,7 @@ def partial_rank_ic(df: DataFrame, x: str, y: str, controls: list[str], keys: li
     return agg.select(*keys, "n_obs", F.when(F.col("n_obs") >= least, value).alias("partial_ic"))
 
 
-def incremental_ic(df: DataFrame, factors: list[str], target: str, controls: list[str], date: str, lags: int = 5, least: int = 10) -> DataFrame:
+def incremental_ic(df: DataFrame, factors: list[str], target: str, controls: list[str], date: str, lags: int = 4, least: int = 20) -> DataFrame:
     """Mean partial rank IC of each factor with its Newey-West test and Benjamini-Hochberg adjusted p-values."""
     keep = [date, target, *controls]
     long = df.select(*keep, F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("double").alias("x")) for f in factors])).alias("p")).select(*keep, "p.*")
@@ -167,5 +169,10 @@ def incremental_ic(df: DataFrame, factors: list[str], target: str, controls: lis
 
 
 def standard_strata(n_texts: str, date: str, industry: str, size: str) -> dict[str, Column]:
-    tercile = quantile_bucket([F.col(size), F.col(industry)], 3, date)
+    # terciles over the values that are there, of dates with at least three different ones
+    known = Window.partitionBy(date, F.col(size).isNull())
+    kinds = F.size(F.collect_set(size).over(Window.partitionBy(date)))  # one date's stocks
+    rank = F.row_number().over(known.orderBy(size, industry)).cast("double")
+    edges = quantile_edges(F.count(size).over(Window.partitionBy(date)).cast("double"), 3)
+    tercile = F.when(kinds >= 3, sum(((rank > e).cast("int") for e in edges), F.lit(1)))
     return {"n_texts": count_bucket(n_texts), "year": F.year(date), "industry": F.col(industry), "size": F.when(F.col(size).isNotNull(), tercile)}

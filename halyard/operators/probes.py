@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.functions.scalars import finite, two_class_entropy
-from halyard.functions.stats import average_rank, safe_corr
+from halyard.functions.stats import distribution, exact_quantiles, safe_corr, with_average_ranks
+from halyard.operators.profile import assert_none
+from halyard.session import materialize
 
 LAYERS = list(range(13))
 SEVEN = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
@@ -35,8 +37,8 @@ def mean_of_finite(df: DataFrame, keys: list[str], columns: list[str]) -> DataFr
 def vector_norms(df: DataFrame, by: list[str], vec: str) -> DataFrame:
     """Mean and quartiles of vector lengths per group."""
     norm = F.sqrt(F.aggregate(F.col(vec), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    rows = df.select(*by, norm.alias("_n"))
-    out = rows.groupBy(*by).agg(F.avg("_n").alias("mean_norm"), F.percentile("_n", [0.25, 0.5, 0.75]).alias("_p"))
+    rows = materialize(df.select(*by, norm.alias("_n")), "norms")
+    out = rows.groupBy(*by).agg(F.avg("_n").alias("mean_norm")).join(exact_quantiles(rows, by, "_n", [0.25, 0.5, 0.75], "_p"), by)
     return out.select(*by, "mean_norm", *[F.col("_p")[i].alias(a) for i, a in enumerate(("q25", "q50", "q75"))])
 
 
@@ -60,10 +62,11 @@ def head_outputs(df: DataFrame, logit0: Column, logit1: Column) -> DataFrame:
 def layer_distribution(head: DataFrame, variables: list[str]) -> DataFrame:
     """Per layer and variable: mean, deviation, seven exact quantiles; per layer also entropy and the share of saturated rows."""
     long = head.select("layer", F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("x")) for v in variables])).alias("e"), "class_0_prob", "class_1_prob")
-    agg = long.groupBy("layer", "e.variable").agg(
-        F.count("e.x").alias("n"), F.avg("e.x").alias("mean"), F.stddev_samp("e.x").alias("std"), F.percentile("e.x", SEVEN).alias("_p"), F.avg(two_class_entropy("class_0_prob", "class_1_prob")).alias("entropy"), F.avg((F.greatest("class_0_prob", "class_1_prob") > 0.99).cast("double")).alias("saturated_share")
+    long = materialize(long.select("layer", "e.variable", "e.x", "class_0_prob", "class_1_prob"), "distributions")
+    agg = long.groupBy("layer", "variable").agg(
+        F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.avg(two_class_entropy("class_0_prob", "class_1_prob")).alias("entropy"), F.avg((F.greatest("class_0_prob", "class_1_prob") > 0.99).cast("double")).alias("saturated_share")
     )
-    return agg.select("layer", "variable", "n", "mean", "std", *[F.col("_p")[i].alias(f"q{round(100 * q):02d}") for i, q in enumerate(SEVEN)], "entropy", "saturated_share")
+    return agg.join(exact_quantiles(long, ["layer", "variable"], "x", SEVEN, "_p"), ["layer", "variable"]).select("layer", "variable", "n", "mean", "std", *[F.col("_p")[i].alias(f"q{round(100 * q):02d}") for i, q in enumerate(SEVEN)], "entropy", "saturated_share")
 
 
 def layer_transitions(head: DataFrame, ident: str = "representation_row") -> DataFrame:
@@ -77,7 +80,8 @@ def layer_transitions(head: DataFrame, ident: str = "representation_row") -> Dat
 def layer_convergence(head: DataFrame, last: int = 12, ident: str = "representation_row") -> DataFrame:
     """Each layer's margin against the last layer's: Spearman, Pearson, mean absolute error and agreement of predictions."""
     end = head.where(F.col("layer") == last).select(ident, F.col("logit_margin_1_minus_0").alias("_m"), F.col("predicted_class").alias("_p"))
-    both = head.join(end, ident).withColumns({"_ra": average_rank(F.col("logit_margin_1_minus_0"), "layer"), "_rb": average_rank(F.col("_m"), "layer")})
+    both = materialize(head.join(end, ident).select("layer", "logit_margin_1_minus_0", "predicted_class", "_m", "_p"), "convergence")
+    both = with_average_ranks(both, ["layer"], {"logit_margin_1_minus_0": "_ra", "_m": "_rb"})
     m = F.col("logit_margin_1_minus_0")
     return both.groupBy("layer").agg(
         safe_corr(F.col("_ra"), F.col("_rb")).alias("spearman"), safe_corr(m, F.col("_m")).alias("pearson"), F.avg(F.abs(m - F.col("_m"))).alias("mae"), F.avg((F.col("predicted_class") == F.col("_p")).cast("double")).alias("agreement")
@@ -93,15 +97,17 @@ def head_trajectories(head: DataFrame, ident: str = "representation_row") -> Dat
 
 def weighted_association(df: DataFrame, x: str, y: str, w: str, by: list[str]) -> DataFrame:
     """n, rows with a weight, weight sum, Spearman, Pearson and direction accuracy (zeros excluded)."""
-    rows = df.where(finite(x).isNotNull() & finite(y).isNotNull()).withColumns({"_rx": average_rank(F.col(x), *by), "_ry": average_rank(F.col(y), *by)})
+    rows = materialize(df.where(finite(x).isNotNull() & finite(y).isNotNull()).select(*by, x, y, w), "association")
+    rows = with_average_ranks(rows, by, {x: "_rx", y: "_ry"})
     hit = F.when((F.col(x) != 0) & (F.col(y) != 0), (F.signum(x) == F.signum(y)).cast("double"))
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(w) > 0).alias("effective_n"), F.sum(w).alias("weight_sum"), safe_corr(F.col("_rx"), F.col("_ry")).alias("spearman"), safe_corr(F.col(x), F.col(y)).alias("pearson"), F.avg(hit).alias("direction_accuracy"))
 
 
 def bin_edges(reference: DataFrame, x: str, q: int) -> list[float]:
     """Inner edges of quantile bins fitted on the reference (unique values); fewer than two outer-bounded bins give none."""
-    points = reference.where(finite(x).isNotNull()).agg(F.percentile(x, [k / q for k in range(q + 1)])).first()[0]
-    edges = sorted(set(points or []))
+    rows = reference.where(finite(x).isNotNull()).select(F.lit(1).alias("_one"), F.col(x).cast("double").alias("_x"))
+    points = exact_quantiles(rows, ["_one"], "_x", [k / q for k in range(q + 1)]).first()  # q + 1 numbers
+    edges = sorted(set(points[1] if points else []))
     return edges[1:-1] if len(edges) >= 3 else []
 
 
@@ -123,17 +129,17 @@ def regression_metrics(df: DataFrame, label: str, prediction: str, by: list[str]
 
 
 def binary_metrics(df: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
-    """Area under the ROC curve by rank sums, average precision by cumulative counts over distinct scores, and log loss."""
-    y = F.col(label).cast("double")
-    rows = df.where(F.col(label).isNotNull() & finite(score).isNotNull()).withColumns({"_y": y, "_r": average_rank(F.col(score), *by)})
-    n1, n0 = F.sum("_y"), F.sum(1 - F.col("_y"))
-    p = F.least(F.greatest(F.col(score), F.lit(1e-15)), F.lit(1 - 1e-15))
-    base = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.sum(F.col("_y") * F.col("_r")) - n1 * (n1 + 1) / 2, F.nullif(n1 * n0, F.lit(0.0))).alias("auc"), F.avg(-(F.col("_y") * F.log(p) + (1 - F.col("_y")) * F.log(1 - p))).alias("log_loss"))
-    steps = rows.groupBy(*by, score).agg(F.sum("_y").alias("_tp"), F.count(F.lit(1)).alias("_n"))
-    down = Window.partitionBy(*by).orderBy(F.col(score).desc())
-    steps = steps.withColumns({"_ctp": F.sum("_tp").over(down), "_cn": F.sum("_n").over(down), "_all": F.sum("_tp").over(Window.partitionBy(*by))})
-    ap = steps.groupBy(*by).agg(F.sum(F.try_divide("_tp", F.nullif(F.col("_all"), F.lit(0.0))) * F.col("_ctp") / F.col("_cn")).alias("average_precision"))
-    return base.join(ap, by)
+    """Area under the ROC curve by rank sums, average precision by cumulative counts over distinct scores, and log loss; groups may be of any size."""
+    rows = df.where(F.col(label).isNotNull() & finite(score).isNotNull()).select(*by, F.col(label).cast("double").alias("_y"), F.col(score).alias("_s"))
+    steps = distribution(rows, by, ["_s"], {"tp": F.sum("_y")})
+    n, n1 = F.col("n_all"), F.col("tp_all")
+    rank = F.col("n_before") + (F.col("n") + 1) / 2.0
+    p = F.least(F.greatest(F.col("_s"), F.lit(1e-15)), F.lit(1 - 1e-15))
+    loss = -(F.col("tp") * F.log(p) + (F.col("n") - F.col("tp")) * F.log(1 - p))
+    share = F.try_divide("tp", F.nullif(n1, F.lit(0.0))) * (n1 - F.col("tp_before")) / (n - F.col("n_before"))
+    agg = steps.groupBy(*by).agg(F.max("n_all").alias("n"), F.max("tp_all").alias("_n1"), F.sum(F.col("tp") * rank).alias("_sum"), F.sum(share).alias("average_precision"), (F.sum(loss) / F.max("n_all")).alias("log_loss"))
+    pairs = F.nullif(F.col("_n1") * (F.col("n") - F.col("_n1")), F.lit(0.0))
+    return agg.select(*by, "n", F.try_divide(F.col("_sum") - F.col("_n1") * (F.col("_n1") + 1) / 2, pairs).alias("auc"), "average_precision", "log_loss")
 
 
 def gram(df: DataFrame, key: str, vec: str, y: str, w: str | None = None) -> dict[object, dict[str, np.ndarray]]:
@@ -220,26 +226,35 @@ def prediction_wide(df: DataFrame, ident: str, layer: str, value: str, metadata:
     return wide.dropna(subset=[f"l{k}" for k in LAYERS])
 
 
-def cross_layer_factors(reference: DataFrame, target: DataFrame, middle: list[int], deep: list[int], components: int = 2) -> DataFrame:
-    """Adds consensus, disagreement, deep_minus_middle, deep_residual and pc1 ... of the 13 layer columns.
+def cross_layer_factors(reference: DataFrame, target: DataFrame, middle: list[int], deep: list[int], components: int = 3) -> DataFrame:
+    """Adds consensus, disagreement (population deviation), deep_minus_middle, deep_residual (of the last layer on the mean of the middle ones) and
+    pc1 ... of the 13 layer columns.
 
-    Regression, scaling and components are fitted on the reference only; of it the driver sees 13 means and a 13 x 13 covariance.
+    Regression, scaling and components are fitted on the reference only; of it the driver sees 13 means and a 13 x 13 covariance. Missing
+    or infinite layer values on either side are an error.
     """
+    if not 1 <= components <= len(LAYERS) or not middle or not deep:
+        raise ValueError("1 to 13 components, and some middle and deep layers")
     names = [f"l{k}" for k in LAYERS]
+    for what, df in (("reference", reference), ("target", target)):
+        bad = F.lit(False)
+        for n in names:
+            bad = bad | finite(n).isNull()
+        assert_none(df.where(bad).select(*names), f"{what}: layer values missing or infinite")
 
     def mean_of(ks: list[int]) -> Column:
         return sum((F.col(f"l{k}") for k in ks), F.lit(0.0)) / len(ks)
 
-    cols = F.array(*names)
     mean = mean_of(LAYERS)
-    spread = F.sqrt(F.greatest(F.aggregate(cols, F.lit(0.0), lambda s, x: s + x * x) / len(LAYERS) - mean * mean, F.lit(0.0)))
-    fit = reference.agg(F.regr_slope(mean_of(deep), mean_of(middle)).alias("b"), F.regr_intercept(mean_of(deep), mean_of(middle)).alias("a")).first()
+    spread = F.sqrt(sum(((F.col(n) - mean) * (F.col(n) - mean) for n in names), F.lit(0.0)) / len(LAYERS))
+    last = F.col(names[-1])
+    fit = reference.agg(F.regr_slope(last, mean_of(middle)).alias("b"), F.regr_intercept(last, mean_of(middle)).alias("a")).first()
     moments = reference.agg(*[F.avg(n).alias(n) for n in names], *[F.covar_pop(names[i], names[j]).alias(f"c{i}_{j}") for i in LAYERS for j in LAYERS if i <= j]).first()
     mu = np.array([moments[n] for n in names])
     cov = np.array([[moments[f"c{min(i, j)}_{max(i, j)}"] for j in LAYERS] for i in LAYERS])
     sd = np.where(np.diag(cov) > 1e-18, np.sqrt(np.maximum(np.diag(cov), 0)), 1.0)
     _, vectors = np.linalg.eigh(cov / np.outer(sd, sd))
-    out = target.withColumns({"consensus": mean, "disagreement": spread, "deep_minus_middle": mean_of(deep) - mean_of(middle), "deep_residual": mean_of(deep) - F.lit(fit["a"]) - F.lit(fit["b"]) * mean_of(middle)})
+    out = target.withColumns({"consensus": mean, "disagreement": spread, "deep_minus_middle": mean_of(deep) - mean_of(middle), "deep_residual": last - F.lit(fit["a"]) - F.lit(fit["b"]) * mean_of(middle)})
     for c in range(components):
         v = vectors[:, -1 - c]
         v = v if v[-1] >= 0 else -v
@@ -247,5 +262,5 @@ def cross_layer_factors(reference: DataFrame, target: DataFrame, middle: list[in
     return out
 
 
-def factor_columns(components: int = 2) -> list[str]:
+def factor_columns(components: int = 3) -> list[str]:
     return [f"l{k}" for k in LAYERS] + ["consensus", "disagreement", "deep_minus_middle", "deep_residual"] + [f"pc{c + 1}" for c in range(components)]

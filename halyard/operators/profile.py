@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from halyard.functions.stats import exact_quantiles
 from halyard.session import materialize
 
 
@@ -68,7 +69,12 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def described(df: DataFrame, measure: str, by: list[str], points: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     """Count, mean, deviation, range and exact percentiles of a measure per group."""
-    out = df.groupBy(*by).agg(F.count(measure).alias("n"), F.avg(measure).alias("mean"), F.stddev_samp(measure).alias("std"), F.min(measure).alias("min"), F.max(measure).alias("max"), F.percentile(measure, list(points)).alias("_p"))
+    out = df.groupBy(*by).agg(F.count(measure).alias("n"), F.avg(measure).alias("mean"), F.stddev_samp(measure).alias("std"), F.min(measure).alias("min"), F.max(measure).alias("max"))
+    points_of = exact_quantiles(df, by, measure, list(points), "_p").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], "_p")
+    on = F.lit(True)
+    for i, k in enumerate(by):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    out = out.join(points_of, on, "left")
     return out.select(*by, "n", "mean", "std", "min", "max", *[F.col("_p")[i].alias(f"p{round(100 * p)}") for i, p in enumerate(points)])
 
 

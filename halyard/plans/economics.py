@@ -24,16 +24,10 @@ def forward_returns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def event_window_return(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate").where("l_linenumber = 1")
-    events = rows.select("l_orderkey", F.lpad((F.col("l_partkey") % 60).cast("string"), 6, "0").alias("stock_code"), F.to_date("l_shipdate").alias("start"), F.date_add(F.to_date("l_shipdate"), (F.col("l_orderkey") % 6).cast("int")).alias("end"))
-    return economics.compound_between(events, panel(spark, folder), "start", "end", "window_return").select("l_orderkey", F.round("window_return", 8).alias("window_return"))
-
-
-def event_window_return_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """As ``event_window_return``, with every line of an order as an event."""
+    """Every line of an order is an event that ends one day before to five days after it starts."""
     rows = table(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
     start = F.to_date("l_shipdate")
-    events = rows.select("l_orderkey", "l_linenumber", F.lpad((F.col("l_partkey") % 60).cast("string"), 6, "0").alias("stock_code"), start.alias("start"), F.date_add(start, (F.col("l_orderkey") % 6).cast("int")).alias("end"))
+    events = rows.select("l_orderkey", "l_linenumber", F.lpad((F.col("l_partkey") % 60).cast("string"), 6, "0").alias("stock_code"), start.alias("start"), F.date_add(start, (F.col("l_orderkey") % 7 - 1).cast("int")).alias("end"))
     return economics.compound_between(events, panel(spark, folder), "start", "end", "window_return").select("l_orderkey", "l_linenumber", F.round("window_return", 8).alias("window_return"))
 
 
@@ -68,7 +62,8 @@ def next_day_return(spark: SparkSession, folder: str) -> DataFrame:
 
 def actual_surprise(spark: SparkSession, folder: str) -> DataFrame:
     _, daily = _history(spark, folder)
-    rows = economics.actual_surprises(labels.normalized_actuals(table(spark, folder, "actuals")), daily)
+    act = economics.in_universe(labels.normalized_actuals(table(spark, folder, "actuals")), _universes(spark, folder), F.col("fy"))
+    rows = economics.actual_surprises(act, daily)
     return rows.select("stock_code", "fy", "n_orgs", F.round("consensus", 4).alias("consensus"), F.round("scale", 4).alias("scale"), "invalid_reason", F.round("surprise", 6).alias("surprise"))
 
 
@@ -98,8 +93,9 @@ def clustered_ols(spark: SparkSession, folder: str) -> DataFrame:
 
 def association(spark: SparkSession, folder: str) -> DataFrame:
     rows = _sample(spark, folder).withColumns({"x": F.col("l_discount") - 0.05, "y": F.col("l_tax") - 0.04})
-    out = economics.association(rows, "x", "y", ["l_returnflag"])
-    return out.select("l_returnflag", "n", F.round("spearman", 8).alias("spearman"), F.round("pearson", 8).alias("pearson"), F.round("sign_hit", 8).alias("sign_hit"))
+    out = economics.association(rows, "x", "y", ["l_returnflag"], "l_suppkey")
+    r = lambda c: F.round(c, 8).alias(c)
+    return out.select("l_returnflag", "n", r("spearman"), r("pearson"), r("sign_hit"), "clusters", r("beta"), r("beta_se"))
 
 
 def quantile_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -115,7 +111,7 @@ def consistency_audit(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("n", F.round("share_close", 8).alias("share_close"), F.round("max_error", 8).alias("max_error"))
 
 
-QUERIES = {f.__name__: f for f in (forward_returns, event_window_return, event_window_return_lines, locked_universe, weighted_index_return, next_day_return, actual_surprise, analyst_information, revision_samples, clustered_ols, association, quantile_summary, consistency_audit)}
+QUERIES = {f.__name__: f for f in (forward_returns, event_window_return, locked_universe, weighted_index_return, next_day_return, actual_surprise, analyst_information, revision_samples, clustered_ols, association, quantile_summary, consistency_audit)}
 
 _PANEL = "panel AS (SELECT CAST(l_shipdate AS DATE) AS date, lpad(CAST(l_partkey % 60 AS VARCHAR), 6, '0') AS stock_code, avg(l_discount) - 0.05 AS ret FROM lineitem GROUP BY 1, 2)"
 _WTS = r"""w0 AS (SELECT index_code, trade_date, weight, load_time, lpad(regexp_extract(translate(CAST(stock_code AS VARCHAR), '０１２３４５６７８９', '0123456789'), '^\s*(?:[A-Za-z]{2}\.?)?(\d{1,6})(?:\.[A-Za-z0]{1,2})?\s*$', 1), 6, '0') AS stock_code FROM index_weights),
@@ -146,10 +142,10 @@ SELECT {_i('date')} AS date, stock_code, round(ret, 8) + 0.0 AS fwd_1,
  round(CASE WHEN count(ret) OVER w2 = 2 THEN product(1 + coalesce(ret, 0)) OVER w2 - 1 END, 8) AS fwd_2, round(CASE WHEN count(ret) OVER w5 = 5 THEN product(1 + coalesce(ret, 0)) OVER w5 - 1 END, 8) AS fwd_5
 FROM g WINDOW w2 AS (PARTITION BY stock_code ORDER BY o ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING), w5 AS (PARTITION BY stock_code ORDER BY o ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)""",
     "event_window_return": f"""WITH {_PANEL}, d AS (SELECT date, row_number() OVER (ORDER BY date) AS o FROM (SELECT DISTINCT date FROM panel)),
-e AS (SELECT l_orderkey, lpad(CAST(l_partkey % 60 AS VARCHAR), 6, '0') AS stock_code, CAST(l_shipdate AS DATE) AS s, CAST(l_shipdate AS DATE) + CAST(l_orderkey % 6 AS INT) AS t FROM lineitem WHERE l_linenumber = 1),
+e AS (SELECT l_orderkey, l_linenumber, lpad(CAST(l_partkey % 60 AS VARCHAR), 6, '0') AS stock_code, CAST(l_shipdate AS DATE) AS s, CAST(l_shipdate AS DATE) + CAST(l_orderkey % 7 - 1 AS INT) AS t FROM lineitem),
 k AS (SELECT e.*, a.o AS ao, b.o AS bo, row_number() OVER () AS id FROM e LEFT JOIN d a ON a.date = e.s LEFT JOIN d b ON b.date = e.t),
 x AS (SELECT id, count(p.ret) AS n, count(*) AS c, product(1 + coalesce(p.ret, 0)) AS pr FROM k JOIN d ON d.o >= ao AND d.o < bo LEFT JOIN panel p ON p.stock_code = k.stock_code AND p.date = d.date GROUP BY 1)
-SELECT l_orderkey, round(CASE WHEN ao IS NULL OR bo IS NULL THEN NULL WHEN ao = bo THEN 0 WHEN n = c THEN pr - 1 END, 8) AS window_return FROM k LEFT JOIN x USING (id)""",
+SELECT l_orderkey, l_linenumber, round(CASE WHEN ao IS NULL OR bo IS NULL OR bo < ao THEN NULL WHEN ao = bo THEN 0 WHEN n = c THEN pr - 1 END, 8) AS window_return FROM k LEFT JOIN x USING (id)""",
     "locked_universe": f"WITH {_WTS} SELECT index_code, CAST(year AS INT) AS year, {_i('snapshot')} AS snapshot, stock_code, round(weight, 8) AS weight FROM uni",
     "weighted_index_return": f"""WITH {_WTS}, m AS (SELECT as_of_date AS date, stock_code, avg(n_org) / 1000 AS ret FROM consensus_history GROUP BY 1, 2),
 s AS (SELECT index_code, trade_date, lead(trade_date) OVER (PARTITION BY index_code ORDER BY trade_date) AS nx FROM (SELECT DISTINCT index_code, trade_date FROM wts)),
@@ -162,12 +158,17 @@ SELECT o_orderstatus, {_i('date')} AS date, round(lead(close) OVER (PARTITION BY
     "actual_surprise": _FY
     + ",\n"
     + _ACT
-    + """, last AS (SELECT a.stock_code, a.fy, d.org_id, arg_max(d.forecast, d.available_date) AS f FROM act a JOIN daily d ON d.stock_code = a.stock_code AND d.fy = a.fy
-  AND date_diff('day', d.available_date, a.actual_known_date) BETWEEN 1 AND 180 GROUP BY 1, 2, 3),
-g AS (SELECT stock_code, fy, count(*) AS n, median(f) AS c, greatest(0.01 * median(abs(f)), 1e-6) AS fl FROM last GROUP BY 1, 2),
-h AS (SELECT a.*, coalesce(n, 0) AS n_orgs, c, CASE WHEN c IS NOT NULL THEN greatest(abs(c), fl) END AS scale,
-  CASE WHEN coalesce(n, 0) = 0 THEN 'no_forecast_history' WHEN n < 3 THEN 'insufficient_orgs' END AS invalid_reason FROM act a LEFT JOIN g USING (stock_code, fy))
-SELECT stock_code, fy, CAST(n_orgs AS INT) AS n_orgs, round(c, 4) AS consensus, round(scale, 4) AS scale, invalid_reason, round(CASE WHEN invalid_reason IS NULL THEN (actual_np - c) / scale END, 6) AS surprise FROM h""",
+    + ",\n"
+    + _WTS
+    + """, a0 AS (SELECT * FROM act WHERE (fy, stock_code) IN (SELECT (CAST(year AS INT), stock_code) FROM uni)),
+last AS (SELECT a.stock_code, a.fy, a.actual_known_date, d.org_id, arg_max(d.forecast, d.available_date) AS f FROM a0 a JOIN daily d ON d.stock_code = a.stock_code AND d.fy = a.fy
+  AND date_diff('day', d.available_date, a.actual_known_date) BETWEEN 1 AND 180 GROUP BY 1, 2, 3, 4),
+g AS (SELECT stock_code, fy, actual_known_date, count(*) AS n, median(f) AS c, greatest(0.01 * median(abs(f)), 2.220446049250313e-16) AS fl FROM last GROUP BY 1, 2, 3),
+h AS (SELECT a.*, coalesce(n, 0) AS n_orgs, c, fl,
+  CASE WHEN actual_np IS NULL OR isnan(actual_np) OR isinf(actual_np) OR a.actual_known_date IS NULL THEN 'invalid_actual' WHEN NOT EXISTS (SELECT 1 FROM daily d WHERE d.stock_code = a.stock_code AND d.fy = a.fy) THEN 'no_forecast_history'
+  WHEN n IS NULL THEN 'no_recent_forecast_before_actual' WHEN n < 3 THEN 'insufficient_actual_pre_peers' END AS invalid_reason FROM a0 a LEFT JOIN g USING (stock_code, fy, actual_known_date))
+SELECT stock_code, fy, CAST(n_orgs AS INT) AS n_orgs, round(CASE WHEN invalid_reason IS NULL THEN c END, 4) AS consensus, round(CASE WHEN invalid_reason IS NULL THEN greatest(abs(c), fl) END, 4) AS scale, invalid_reason,
+  round(CASE WHEN invalid_reason IS NULL THEN (actual_np - c) / greatest(abs(c), fl) END, 6) AS surprise FROM h""",
     "analyst_information": _LAB
     + ",\n"
     + _WTS
@@ -185,9 +186,11 @@ s AS (SELECT l_returnflag, l_suppkey, sum((l_quantity - mx) * (l_extendedprice -
 g AS (SELECT l_returnflag, sum(s * s) AS ss, count(*) AS g FROM s GROUP BY 1)
 SELECT l_returnflag, n, g AS clusters, round(a, 4) AS alpha, round(b, 6) AS beta, round(sqrt(ss / sxx / sxx * g / (g - 1) * (n - 1) / (n - 2)), 6) AS beta_se,
   round(b / sqrt(ss / sxx / sxx * g / (g - 1) * (n - 1) / (n - 2)), 4) AS beta_t FROM f JOIN g USING (l_returnflag)""",
-    "association": f"""WITH x AS (SELECT l_returnflag, l_discount - 0.05 AS x, l_tax - 0.04 AS y FROM lineitem), r AS (SELECT *, {rank_sql('x', 'l_returnflag')} AS rx, {rank_sql('y', 'l_returnflag')} AS ry FROM x)
-SELECT l_returnflag, count(*) AS n, round(corr(rx, ry), 8) AS spearman, round(corr(x, y), 8) AS pearson, round(avg(CASE WHEN x <> 0 AND y <> 0 THEN CAST(sign(x) = sign(y) AS DOUBLE) END), 8) AS sign_hit FROM r GROUP BY 1""",
-    "quantile_summary": f"""WITH r AS (SELECT l_returnflag, l_extendedprice AS x, l_quantity AS y, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS rk, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem),
+    "association": f"""WITH x AS (SELECT l_returnflag, l_suppkey, l_discount - 0.05 AS x, l_tax - 0.04 AS y FROM lineitem), r AS (SELECT *, {rank_sql('x', 'l_returnflag')} AS rx, {rank_sql('y', 'l_returnflag')} AS ry FROM x),
+f AS (SELECT l_returnflag, count(*) AS n, avg(x) AS mx, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_sxx(y, x) AS sxx, corr(rx, ry) AS rho, corr(x, y) AS pe, avg(CASE WHEN x <> 0 AND y <> 0 THEN CAST(sign(x) = sign(y) AS DOUBLE) END) AS hit FROM r GROUP BY 1),
+s AS (SELECT l_returnflag, l_suppkey, sum((x - mx) * (y - a - b * x)) AS s FROM x JOIN f USING (l_returnflag) GROUP BY 1, 2), g AS (SELECT l_returnflag, sum(s * s) AS ss, count(*) AS g FROM s GROUP BY 1)
+SELECT l_returnflag, n, round(rho, 8) AS spearman, round(pe, 8) AS pearson, round(hit, 8) AS sign_hit, g AS clusters, round(b, 8) AS beta, round(sqrt(ss / sxx / sxx * g / (g - 1) * (n - 1) / (n - 2)), 8) AS beta_se FROM f JOIN g USING (l_returnflag)""",
+    "quantile_summary": f"""WITH r AS (SELECT l_returnflag, l_extendedprice AS x, l_quantity AS y, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_quantity) AS rk, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem),
 b AS (SELECT *, {bucket_sql(5)} AS quantile FROM r)
 SELECT l_returnflag, CAST(quantile AS INT) AS quantile, count(*) AS n, round(avg(x), 6) AS mean_x, round(avg(y), 6) AS mean_y, round(median(x), 6) AS median_x, round(median(y), 6) AS median_y FROM b GROUP BY 1, 2""",
     "consistency_audit": f"""WITH {_PANEL}, e AS (SELECT ret AS a, ret + CASE WHEN day(date) % 7 = 0 THEN 1e-3 ELSE 1e-12 END AS b FROM panel)

@@ -161,7 +161,7 @@ SELECT {_i('month')} AS month, round(CASE WHEN count(*) FILTER (WHERE rating = 7
     "spread_test": _P
     + _BOOK
     + ", sp AS (SELECT month, max(mean_return) FILTER (WHERE quantile = 5) - max(mean_return) FILTER (WHERE quantile = 1) AS spread FROM book GROUP BY 1), "
-    + _nw("sp", "", "month", "spread", 5)
+    + _nw("sp", "", "month", "spread", 4)
     + f", q AS (SELECT quantile, rank() OVER (ORDER BY avg(mean_return)) AS r FROM book GROUP BY 1) SELECT n, round(mean, 6) AS mean, round(se, 6) AS se, round(t, 6) AS t, round((SELECT {_CORR.format('quantile', 'r')} FROM q), 6) AS monotonicity FROM nw_",
     "stratified_ic": _P
     + """, s AS (SELECT month, f1 AS f, target AS t, 'n_texts' AS dimension, CASE WHEN n_texts <= 1 THEN '1' WHEN n_texts = 2 THEN '2' ELSE '3+' END AS "group" FROM f UNION ALL SELECT month, f1, target, 'year', CAST(year(month) AS VARCHAR) FROM f UNION ALL SELECT month, f1, target, 'industry', industry FROM f), r AS ("""
@@ -177,5 +177,5 @@ ORACLE["partial_rank_ic"] = (
     _P
     + f", r AS ({_ranks(['f1', 'target', 'size', 'n_texts'], 'month', 'f')}), c AS (SELECT month, count(*) AS n_obs, {_C4} FROM r GROUP BY 1), "
     + f"g AS (SELECT month, n_obs, {_part('c01', 'c02', 'c12')} AS a, {_part('c03', 'c02', 'c23')} AS b, {_part('c13', 'c12', 'c23')} AS d FROM c) "
-    + f"SELECT {_i('month')} AS month, n_obs, round(CASE WHEN n_obs >= 10 THEN {_part('a', 'b', 'd')} END, 6) AS partial_ic FROM g"
+    + f"SELECT {_i('month')} AS month, n_obs, round(CASE WHEN n_obs >= 20 THEN {_part('a', 'b', 'd')} END, 6) AS partial_ic FROM g"
 )

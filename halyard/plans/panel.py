@@ -18,15 +18,9 @@ def text_dataset(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def panel_unpivot(spark: SparkSession, folder: str) -> DataFrame:
-    long = economics.panel(spark, folder).where("stock_code < '000010'")
-    wide = panel.wide_panel(long, "date", "stock_code", "ret", [f"{k:06d}" for k in range(10)])
-    return panel.long_panel(wide, "date", "ret").select(_day("date"), "stock_code", F.round("ret", 8).alias("ret"))
-
-
-def panel_unpivot_all(spark: SparkSession, folder: str) -> DataFrame:
-    """As ``panel_unpivot``, with every stock of the panel."""
+    """The return panel made wide, one column per stock, and long again."""
     long = materialize(economics.panel(spark, folder), "panel")
-    stocks = [r.stock_code for r in long.select("stock_code").distinct().orderBy("stock_code").collect()]
+    stocks = [r.stock_code for r in long.select("stock_code").distinct().orderBy("stock_code").collect()]  # the columns of a wide table
     if not stocks:
         return long.select(_day("date"), "stock_code", "ret")
     wide = panel.wide_panel(long, "date", "stock_code", "ret", stocks)
@@ -43,8 +37,7 @@ def stock_day_targets(spark: SparkSession, folder: str) -> DataFrame:
 def exposures(spark: SparkSession, folder: str) -> DataFrame:
     returns = economics.panel(spark, folder)
     days = returns.select(F.col("date").alias("trading_date"), F.col("stock_code").alias("symbol"))
-    side = returns.where("stock_code < '000030'")
-    out = panel.attach_exposures(days, side.select("date", "stock_code", F.substring("stock_code", 5, 1).alias("value")), side.select("date", "stock_code", F.col("ret").alias("value")))
+    out = panel.attach_exposures(days, returns.select("date", "stock_code", F.substring("stock_code", 5, 1).alias("value")), returns.select("date", "stock_code", F.col("ret").alias("value")))
     return out.select(_day("trading_date"), "symbol", "industry", F.round("size", 8).alias("size"))
 
 
@@ -62,18 +55,18 @@ def actuals_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return panel.covered(table(spark, folder, "actuals", "fy", "actual_known_date"), "actual_known_date", "2015-01-01", "2024-06-30", 180)[1]
 
 
-QUERIES = {f.__name__: f for f in (text_dataset, panel_unpivot, panel_unpivot_all, stock_day_targets, exposures, exchange_suffix, fiscal_mode, actuals_coverage)}
+QUERIES = {f.__name__: f for f in (text_dataset, panel_unpivot, stock_day_targets, exposures, exchange_suffix, fiscal_mode, actuals_coverage)}
 
 _P = economics._PANEL
 ORACLE = {
     "text_dataset": rf"""WITH t AS (SELECT trim(report_id) AS report_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, regexp_extract(upper(trim(stock_code)), '^([0-9]{{6}})(?:\.(?:SH|SZ|BJ))?$', 1) AS symbol, available_date FROM reports)
 SELECT row_number() OVER (ORDER BY report_id) - 1 AS representation_row, report_id, symbol, sha256(text) AS text_sha256, {_i('available_date')} AS feature_available_date FROM t WHERE report_id <> '' AND text <> '' AND symbol <> ''""",
-    "panel_unpivot": f"WITH {_P} SELECT {_i('d.date')} AS date, s.s AS stock_code, round(p.ret, 8) AS ret FROM (SELECT DISTINCT date FROM panel WHERE stock_code < '000010') d CROSS JOIN (SELECT lpad(CAST(unnest(range(10)) AS VARCHAR), 6, '0') AS s) s LEFT JOIN panel p ON p.date = d.date AND p.stock_code = s.s",
+    "panel_unpivot": f"WITH {_P} SELECT {_i('d.date')} AS date, s.stock_code, round(p.ret, 8) + 0.0 AS ret FROM (SELECT DISTINCT date FROM panel) d CROSS JOIN (SELECT DISTINCT stock_code FROM panel) s LEFT JOIN panel p ON p.date = d.date AND p.stock_code = s.stock_code",
     "stock_day_targets": f"""WITH {_P}, o AS (SELECT date, row_number() OVER (ORDER BY date) AS r FROM (SELECT DISTINCT date FROM panel)),
 x AS (SELECT p.date, p.stock_code, (1 + p.ret) * (1 + q.ret) - 1 AS f, o3.date AS e FROM panel p JOIN o o1 ON o1.date = p.date LEFT JOIN o o2 ON o2.r = o1.r + 1 LEFT JOIN panel q ON q.date = o2.date AND q.stock_code = p.stock_code LEFT JOIN o o3 ON o3.r = o1.r + 2),
 y AS (SELECT *, rank() OVER (PARTITION BY date ORDER BY f NULLS LAST) + (count(f) OVER (PARTITION BY date, f) - 1) / 2.0 AS k, count(f) OVER (PARTITION BY date) AS n FROM x)
 SELECT {_i('date')} AS trading_date, stock_code AS symbol, round(f, 8) + 0.0 AS return_fut2d, {_i('e')} AS label_end_date_2d, round(CASE WHEN f IS NOT NULL THEN k / n - 0.5 END, 8) + 0.0 AS target_return_rank_2d FROM y""",
-    "exposures": f"WITH {_P} SELECT {_i('date')} AS trading_date, stock_code AS symbol, CASE WHEN stock_code < '000030' THEN substr(stock_code, 5, 1) END AS industry, round(CASE WHEN stock_code < '000030' THEN ret END, 8) + 0.0 AS size FROM panel",
+    "exposures": f"WITH {_P} SELECT {_i('date')} AS trading_date, stock_code AS symbol, substr(stock_code, 5, 1) AS industry, round(ret, 8) + 0.0 AS size FROM panel",
     "exchange_suffix": "SELECT DISTINCT stock_code, stock_code || CASE WHEN stock_code < '300000' THEN '.SZ' ELSE '.SH' END AS full_code FROM actuals",
     "fiscal_mode": "SELECT DISTINCT report_id, fy FROM report_fy_labels WHERE fy = year(publish_date) + 1",
     "actuals_coverage": "SELECT fy, count(*) FILTER (WHERE actual_known_date <= DATE '2024-06-30') AS kept, count(*) FILTER (WHERE NOT coalesce(actual_known_date <= DATE '2024-06-30', false)) AS cut FROM actuals GROUP BY 1",

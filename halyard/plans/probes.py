@@ -19,26 +19,21 @@ def _r(c: str, n: int = 6):
 
 
 def layers(spark: SparkSession, folder: str) -> DataFrame:
-    """The vectors cut into 13 layers of four values, long."""
-    rows = table(spark, folder, "embeddings", "vec_id", "embedding", "label")
-    return rows.select(F.col("vec_id").alias("representation_row"), "label", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(12)), lambda k: F.slice("embedding", k * 4 + 1, 4))).alias("layer", "vec"))
-
-
-def whole_layers(spark: SparkSession, folder: str) -> DataFrame:
-    """As ``layers``, with all values of a vector: consecutive parts whose sizes differ by one at most."""
+    """The vectors cut into 13 layers, long: consecutive parts of all values whose sizes differ by one at most."""
     rows = table(spark, folder, "embeddings", "vec_id", "embedding", "label")
     edge = lambda k: F.floor(k * F.size("embedding") / 13).cast("int")
     return rows.select(F.col("vec_id").alias("representation_row"), "label", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(12)), lambda k: F.slice("embedding", edge(k) + 1, edge(k + 1) - edge(k)))).alias("layer", "vec"))
 
 
 def head(spark: SparkSession, folder: str) -> DataFrame:
-    d = lambda i: F.round(F.col("vec")[i].cast("double"), 6)
-    return probes.head_outputs(layers(spark, folder), d(0) + d(1), d(2) + d(3)).drop("vec")
+    """Two logits per vector and layer: sums of the values at even and at odd places, counted in millionths so that no order of addition matters."""
+    total = lambda odd: F.aggregate(F.transform(F.filter("vec", lambda x, i: i % 2 == odd), lambda x: F.round(x.cast("double") * 1e6).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x) / 1e6
+    return probes.head_outputs(layers(spark, folder), total(0), total(1)).drop("vec")
 
 
 def vector_mean(spark: SparkSession, folder: str) -> DataFrame:
     out = probes.vector_mean(layers(spark, folder), ["label", "layer"], "vec")
-    return out.select("label", "layer", "n_texts", *[F.round(F.col("vec")[i], 5).alias(f"v{i}") for i in range(4)])
+    return out.select("label", "layer", "n_texts", *[F.round(F.get("vec", F.lit(i)), 5).alias(f"v{i}") for i in range(5)])
 
 
 def vector_norms(spark: SparkSession, folder: str) -> DataFrame:
@@ -94,7 +89,7 @@ def binary_metrics(spark: SparkSession, folder: str) -> DataFrame:
 def ridge_probe(spark: SparkSession, folder: str) -> DataFrame:
     """Layer, chosen penalty, and validation and test correlation of ridge probes of the label: three fifths of the vectors are fitted,
     one chooses the penalty, and the model refitted on both is scored on the last."""
-    rows = materialize(whole_layers(spark, folder).withColumn("fold", F.pmod(F.xxhash64("representation_row"), F.lit(5))), "layers")
+    rows = materialize(layers(spark, folder).withColumn("fold", F.pmod(F.xxhash64("representation_row"), F.lit(5))), "layers")
 
     def score(d: DataFrame) -> DataFrame:
         return d.groupBy("layer").agg(F.try_divide(F.covar_pop("label", "prediction"), F.nullif(F.stddev_pop("label") * F.stddev_pop("prediction"), F.lit(0.0))).alias("s"))
@@ -112,7 +107,7 @@ def cross_layer_factors(spark: SparkSession, folder: str) -> DataFrame:
 
 def cross_layer_components(spark: SparkSession, folder: str) -> DataFrame:
     wide = materialize(probes.prediction_wide(head(spark, folder), "representation_row", "layer", "logit_margin_1_minus_0", ["label"]), "wide")
-    return probes.cross_layer_factors(wide, wide, [4, 5, 6, 7, 8], [9, 10, 11, 12]).select("representation_row", _r("pc1"), _r("pc2"))
+    return probes.cross_layer_factors(wide, wide, [4, 5, 6, 7, 8], [9, 10, 11, 12]).select("representation_row", _r("pc1"), _r("pc2"), _r("pc3"))
 
 
 def _labels(spark: SparkSession, folder: str) -> DataFrame:
@@ -133,7 +128,7 @@ def dependency_breaks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def author_topk(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "raw_reports", "AUTHOR_NAME").select(F.explode(F.split("AUTHOR_NAME", ",")).alias("a")).select(F.trim("a").alias("author")).where("author <> ''")
+    rows = table(spark, folder, "raw_reports", "AUTHOR_NAME").select(F.explode(F.split("AUTHOR_NAME", "[,，、;]")).alias("a")).select(F.trim("a").alias("author")).where("author <> ''")
     return profile.top_values(rows, "author", 20)
 
 
@@ -220,10 +215,12 @@ QUERIES = {
     )
 }
 
-_L = "WITH l AS (SELECT vec_id AS representation_row, label, k AS layer, embedding[k * 4 + 1] AS a, embedding[k * 4 + 2] AS b, embedding[k * 4 + 3] AS c, embedding[k * 4 + 4] AS d FROM embeddings, (SELECT CAST(unnest(range(13)) AS INT) AS k))"
+_L = "WITH l AS (SELECT vec_id AS representation_row, label, k AS layer, embedding[CAST(floor(k * len(embedding) / 13) AS INT) + 1 : CAST(floor((k + 1) * len(embedding) / 13) AS INT)] AS v FROM embeddings, (SELECT CAST(unnest(range(13)) AS INT) AS k))"
+# a part has four or five values
+_SUM = lambda places: "(" + " + ".join(f"coalesce(CAST(round(CAST(v[{k}] AS DOUBLE) * 1e6) AS BIGINT), 0)" for k in places) + ") / 1e6"
 _H = (
     _L
-    + """, h0 AS (SELECT representation_row, label, layer, round(CAST(c AS DOUBLE), 6) + round(CAST(d AS DOUBLE), 6) - (round(CAST(a AS DOUBLE), 6) + round(CAST(b AS DOUBLE), 6)) AS m FROM l),
+    + f""", h0 AS (SELECT representation_row, label, layer, {_SUM([2, 4])} - {_SUM([1, 3, 5])} AS m FROM l),
 h AS (SELECT *, 1 / (1 + exp(-m)) AS p1, 1 / (1 + exp(m)) AS p0, CAST(m > 0 AS INT) AS pc, label - 4.5 AS y, CAST(label % 3 AS DOUBLE) AS w FROM h0)"""
 )
 
@@ -242,8 +239,8 @@ _SP = """s AS (SELECT report_id, fy, CASE WHEN available_date BETWEEN DATE '2022
 _W = ", ".join(f"max(m) FILTER (WHERE layer = {k}) AS l{k}" for k in range(13))
 _AVG = lambda ks: "(" + " + ".join(f"l{k}" for k in ks) + f") / {len(ks)}"
 ORACLE = {
-    "vector_mean": _L + " SELECT label, layer, count(*) AS n_texts, round(avg(CAST(a AS DOUBLE)), 5) AS v0, round(avg(CAST(b AS DOUBLE)), 5) AS v1, round(avg(CAST(c AS DOUBLE)), 5) AS v2, round(avg(CAST(d AS DOUBLE)), 5) AS v3 FROM l GROUP BY 1, 2",
-    "vector_norms": _L + ", n AS (SELECT layer, sqrt(CAST(a AS DOUBLE) * a + CAST(b AS DOUBLE) * b + CAST(c AS DOUBLE) * c + CAST(d AS DOUBLE) * d) AS x FROM l) SELECT layer, round(avg(x), 4) AS mean_norm, round(quantile_cont(x, 0.25), 4) AS q25, round(quantile_cont(x, 0.5), 4) AS q50, round(quantile_cont(x, 0.75), 4) AS q75 FROM n GROUP BY 1",
+    "vector_mean": _L + " SELECT label, layer, count(*) AS n_texts, " + ", ".join(f"round(avg(CAST(v[{k + 1}] AS DOUBLE)), 5) AS v{k}" for k in range(5)) + " FROM l GROUP BY 1, 2",
+    "vector_norms": _L + ", n AS (SELECT layer, sqrt(" + " + ".join(f"coalesce(CAST(v[{k}] AS DOUBLE) * v[{k}], 0)" for k in range(1, 6)) + ") AS x FROM l) SELECT layer, round(avg(x), 4) AS mean_norm, round(quantile_cont(x, 0.25), 4) AS q25, round(quantile_cont(x, 0.5), 4) AS q50, round(quantile_cont(x, 0.75), 4) AS q75 FROM n GROUP BY 1",
     "head_outputs": _H + " SELECT representation_row, layer, round(m, 6) AS logit_margin_1_minus_0, round(p1, 6) AS class_1_prob, pc AS predicted_class FROM h",
     "layer_distribution": _H + " " + _dist("m", "logit_margin_1_minus_0") + " UNION ALL " + _dist("p1", "class_1_prob"),
     "layer_transitions": _H + ", t AS (SELECT layer, m - lag(m) OVER w AS dm, CAST(pc <> lag(pc) OVER w AS DOUBLE) AS fl FROM h WINDOW w AS (PARTITION BY representation_row ORDER BY layer)) SELECT layer, round(avg(dm), 6) AS mean_delta, round(avg(abs(dm)), 6) AS mean_abs_delta, round(avg(fl), 6) AS flip_rate FROM t WHERE dm IS NOT NULL GROUP BY 1",
@@ -263,13 +260,16 @@ ORACLE = {
 g AS (SELECT layer, s, sum(yy) AS tp, count(*) AS n FROM s GROUP BY 1, 2), c AS (SELECT *, sum(tp) OVER (PARTITION BY layer ORDER BY s DESC) AS ctp, sum(n) OVER (PARTITION BY layer ORDER BY s DESC) AS cn, sum(tp) OVER (PARTITION BY layer) AS al FROM g),
 ap AS (SELECT layer, round(sum(tp / al * ctp / cn), 6) AS average_precision FROM c GROUP BY 1)
 SELECT layer, count(*) AS n, round((sum(yy * rk) - sum(yy) * (sum(yy) + 1) / 2) / (sum(yy) * sum(1 - yy)), 6) AS auc, any_value(average_precision) AS average_precision, round(avg(-(yy * ln(least(greatest(s, 1e-15), 1 - 1e-15)) + (1 - yy) * ln(1 - least(greatest(s, 1e-15), 1 - 1e-15)))), 6) AS log_loss FROM r JOIN ap USING (layer) GROUP BY 1""",
+    # population deviation over the layers; residual of the last layer on the mean of the middle ones
     "cross_layer_factors": _H
-    + f", w AS (SELECT representation_row, {_W} FROM h GROUP BY 1), x AS (SELECT *, {_AVG(range(13))} AS mu, {_AVG([9, 10, 11, 12])} AS dp, {_AVG([4, 5, 6, 7, 8])} AS md, ({' + '.join(f'l{k} * l{k}' for k in range(13))}) / 13 AS sq FROM w), "
-    + "g AS (SELECT regr_slope(dp, md) AS b, regr_intercept(dp, md) AS a FROM x) SELECT representation_row, round(mu, 6) AS consensus, round(sqrt(greatest(sq - mu * mu, 0)), 6) AS disagreement, round(dp - md, 6) AS deep_minus_middle, round(dp - a - b * md, 6) AS deep_residual FROM x, g",
+    + f", w AS (SELECT representation_row, {_W} FROM h GROUP BY 1), x AS (SELECT *, {_AVG(range(13))} AS mu, {_AVG([9, 10, 11, 12])} AS dp, {_AVG([4, 5, 6, 7, 8])} AS md FROM w), "
+    + "g AS (SELECT regr_slope(l12, md) AS b, regr_intercept(l12, md) AS a FROM x) SELECT representation_row, round(mu, 6) AS consensus, round(sqrt(("
+    + " + ".join(f"(l{k} - mu) * (l{k} - mu)" for k in range(13))
+    + ") / 13), 6) AS disagreement, round(dp - md, 6) AS deep_minus_middle, round(l12 - a - b * md, 6) AS deep_residual FROM x, g",
     "column_profile": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count({c}) AS non_null, count(DISTINCT {c}) + CAST(count({c}) < count(*) AS INT) AS n_unique, round((count(*) - count({c})) / count(*), 8) AS null_share FROM raw_reports" for c in _COLS),
     "dup_audit": " UNION ALL ".join([_DUP.format("all", "report_id, fy, stock_code, forecast_new, consensus_pre"), _DUP.format("without_id", "stock_code, forecast_new, consensus_pre"), _DUP.format("id", "report_id, fy")]),
     "dependency_breaks": "SELECT STOCK_NAME, count(DISTINCT ORGAN_RATING_CONTENT) AS n_values FROM raw_reports WHERE STOCK_NAME IS NOT NULL GROUP BY 1 HAVING count(DISTINCT ORGAN_RATING_CONTENT) > 1",
-    "author_topk": "SELECT author, count(*) AS n FROM (SELECT trim(unnest(string_split(AUTHOR_NAME, ','))) AS author FROM raw_reports) WHERE author <> '' GROUP BY 1 ORDER BY n DESC, encode(author) LIMIT 20",
+    "author_topk": "SELECT author, count(*) AS n FROM (SELECT trim(unnest(regexp_split_to_array(AUTHOR_NAME, '[,，、;]'))) AS author FROM raw_reports) WHERE author <> '' GROUP BY 1 ORDER BY n DESC, encode(author) LIMIT 20",
     "crosstab": "SELECT CASE WHEN grouping(l) = 1 THEN '<all>' ELSE l END AS LANGUAGE, " + ", ".join(f"count(*) FILTER (WHERE REPORT_TYPE = {k}) AS c_{k}" for k in (21, 22, 23, 25)) + ", count(*) AS total FROM (SELECT coalesce(LANGUAGE, '<null>') AS l, REPORT_TYPE FROM raw_reports) GROUP BY ROLLUP (l)",
     "pivot_table": "SELECT fy, " + ", ".join(f"round(avg(n_org_pre) FILTER (WHERE forecast_horizon = {k}), 6) AS m_{k}" for k in range(3)) + " FROM report_fy_labels GROUP BY 1",
     "corr_matrix": " UNION ALL ".join(

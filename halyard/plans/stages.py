@@ -120,7 +120,7 @@ def economic_validation(fy_labels: DataFrame, confirmed: DataFrame, daily: DataF
     returns = economics.return_unit(returns)
     universes = materialize(economics.locked_universes(weights, years), "universes")
     forward = materialize(economics.compound_forward(returns, horizons), "forward").select("date", "stock_code", *[f"fwd_{h}" for h in horizons])
-    surprise = economics.in_universe(economics.actual_surprises(actuals, daily).where("actual_known_date is not null"), universes, "actual_known_date")
+    surprise = economics.actual_surprises(economics.in_universe(actuals, universes, F.col("fy")), daily)
     surprise = surprise.join(forward.withColumnRenamed("date", "actual_known_date"), ["actual_known_date", "stock_code"], "left")
     analyst = economics.analyst_information(fy_labels, universes)
     revision = economics.consensus_revisions(confirmed, fy_labels, universes)

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from halyard.functions import stats
 from halyard.operators import economics, evaluation, probes
 
 D = dt.date
@@ -80,7 +81,12 @@ def test_clustered_ols_and_spearman_p(spark):
     s = np.stack([z[c == g].T @ (y - z @ beta)[c == g] for g in range(20)])
     cov = bread @ (s.T @ s) @ bread * 20 / 19 * 299 / 298
     assert np.allclose([got.alpha, got.beta, got.beta_se], [*beta, math.sqrt(cov[1, 1])])
-    assert abs(economics.spearman_p(0.5, 12) - 0.0979) < 2e-4
+    for n in (12, 30, 400, 100_000):
+        rho = 0.5 if n < 100 else 0.01
+        t = rho * math.sqrt((n - 2) / (1 - rho * rho))
+        u = np.linspace(math.atan(t / math.sqrt(n - 2)), math.pi / 2, 400_001)
+        f = np.exp((n - 3) * np.log(np.maximum(np.cos(u), 1e-300)) + math.lgamma((n - 1) / 2) - math.lgamma((n - 2) / 2)) / math.sqrt(math.pi)
+        assert abs(stats.t_tail(t, n - 2) - 2 * np.trapezoid(f, u)) < 1e-8
 
 
 def test_cross_section(spark):
@@ -149,7 +155,16 @@ def test_layer_factors(spark):
     z = (x - x.mean(0)) / x.std(0)
     _, _, vt = np.linalg.svd(z, full_matrices=False)
     pc = z @ vt[0] * (1 if vt[0][-1] >= 0 else -1)
-    assert np.allclose(out.pc1, pc) and np.allclose(out.disagreement, x.std(1)) and abs(out.deep_residual.mean()) < 1e-9
+    assert np.allclose(out.pc1, pc) and np.allclose(out.disagreement, x.std(1)) and {"pc2", "pc3"} <= set(out.columns)
+    mid = x[:, 4:6].mean(1)
+    slope, base = np.polyfit(mid, x[:, 12], 1)
+    assert np.allclose(out.deep_residual, x[:, 12] - base - slope * mid) and np.allclose(out.deep_minus_middle, x[:, 11:13].mean(1) - mid)
+    far = spark.createDataFrame([(i, *[1e6 + 1e-3 * float(v) for v in x[i]]) for i in range(50)], "i int, " + ", ".join(f"l{k} double" for k in range(13)))
+    assert np.allclose(probes.cross_layer_factors(far, far, [4], [12], 1).orderBy("i").toPandas().disagreement, 1e-3 * x.std(1), rtol=1e-5)
+    for side in (0, 1):
+        sides = [wide, wide.withColumn("l3", F.when(F.col("i") == 7, float("nan")).otherwise(F.col("l3")))]
+        with pytest.raises(ValueError):
+            probes.cross_layer_factors(sides[side], sides[1 - side], [4], [12])
     logit = probes.logistic_probe(spark.createDataFrame([([float(v[0])], int(v[0] + v[1] > 0)) for v in x], "v array<double>, y int"), "v", "y")
     assert logit.coefficients[0] > 0
 
@@ -164,10 +179,10 @@ def test_every_line_is_an_event(spark, tmp_path):
     days = sorted(lines.l_shipdate.unique())
     want = {}
     for r in lines.itertuples():
-        end = r.l_shipdate + pd.Timedelta(days=r.l_orderkey % 6)
+        end = r.l_shipdate + pd.Timedelta(days=r.l_orderkey % 7 - 1)
         inside = [ret.get((d, r.l_partkey)) for d in days if r.l_shipdate <= d < end]
-        want[r.l_orderkey, r.l_linenumber] = None if end not in days or None in inside else math.prod(1 + x for x in inside) - 1
-    got = {(r.l_orderkey, r.l_linenumber): r.window_return for r in plans.event_window_return_lines(spark, str(tmp_path)).collect()}
+        want[r.l_orderkey, r.l_linenumber] = None if end not in days or end < r.l_shipdate or None in inside else math.prod(1 + x for x in inside) - 1
+    got = {(r.l_orderkey, r.l_linenumber): r.window_return for r in plans.event_window_return(spark, str(tmp_path)).collect()}
     assert set(got) == set(want) and len(want) == 200 and any(want[k] for k in want if k[1] > 1)
     assert all((got[k] is None) == (v is None) and (v is None or abs(got[k] - v) < 1e-7) for k, v in want.items())
 
@@ -179,8 +194,82 @@ def test_ridge_probe_reads_all_values_and_scores_the_last_fold(spark, tmp_path):
     x = rng.normal(size=(400, 64))
     rows = [(k, [float(v) for v in x[k]], float(x[k, 63])) for k in range(400)]  # the label is the last value
     spark.createDataFrame(rows, "vec_id long, embedding array<double>, label double").write.parquet(str(tmp_path / "embeddings.parquet"))
-    cut = {(r.representation_row, r.layer): list(r.vec) for r in plans.whole_layers(spark, str(tmp_path)).where("representation_row < 2").collect()}
+    cut = {(r.representation_row, r.layer): list(r.vec) for r in plans.layers(spark, str(tmp_path)).where("representation_row < 2").collect()}
     assert all(sum((cut[k, n] for n in range(13)), []) == rows[k][1] for k in range(2)) and {len(v) for v in cut.values()} == {4, 5}
     got = {r.layer: r for r in plans.ridge_probe(spark, str(tmp_path)).collect()}
     assert set(got) == set(range(13)) and got[12].test_score > 0.99
     assert all(abs(got[n].test_score) < 0.6 for n in range(12))
+
+
+def test_windows_with_zero_negative_and_reversed_parts(spark):
+    df = panel(spark, {"s": [-1.0, 0.5, -3.0, 0.1], "u": [0.2, 0.1, None, 0.3]})
+    ev = [("s", 0, 3), ("s", 1, 3), ("s", 2, 3), ("s", 1, 2), ("s", 3, 1), ("u", 0, 2), ("u", 0, 3), ("u", 3, 3), ("x", 1, 1)]
+    rows = [(s, DAYS[a], DAYS[b], k) for k, (s, a, b) in enumerate(ev)]
+    got = {r.k: r.v for r in economics.compound_between(spark.createDataFrame(rows, "stock_code string, a date, b date, k int"), df, "a", "b", "v").collect()}
+    want = [-1.0, 1.5 * -2.0 - 1, -3.0, 0.5, None, 1.2 * 1.1 - 1, None, 0.0, None]
+    assert [got[k] is None for k in range(9)] == [w is None for w in want] and all(w is None or math.isclose(got[k], w) for k, w in enumerate(want))
+
+
+def test_surprise_reasons_scale_and_universe(spark):
+    k = D(2025, 2, 1)
+    daily = spark.createDataFrame(
+        [("000001", 2024, o, D(2024, 12, 1), f, D(2024, 12, 1)) for o, f in (("A", 1e-9), ("B", 0.0), ("C", -1e-9))] + [("000002", 2024, "A", D(2023, 1, 1), 1.0, D(2023, 1, 1)), ("000003", 2024, "A", D(2025, 1, 1), 1.0, D(2025, 1, 1))],
+        "stock_code string, fy int, org_id string, available_date date, forecast double, publish_date date",
+    )
+    act = spark.createDataFrame([("000001", 2024, 2e-9, k), ("000002", 2024, 1.0, k), ("000003", 2024, 1.0, k), ("000004", 2024, 1.0, k), ("000005", 2024, 1.0, None), ("000006", 2023, 1.0, k)], "stock_code string, fy int, actual_np double, actual_known_date date")
+    members = spark.createDataFrame([(2024, f"00000{n}") for n in range(1, 7)], "year int, stock_code string")
+    got = {r.stock_code: r for r in economics.actual_surprises(economics.in_universe(act, members, F.col("fy")), daily).collect()}
+    assert set(got) == {f"00000{n}" for n in range(1, 6)}  # the fiscal year decides, not the year of disclosure
+    assert [got[f"00000{n}"].invalid_reason for n in range(1, 6)] == [None, "no_recent_forecast_before_actual", "insufficient_actual_pre_peers", "no_forecast_history", "invalid_actual"]
+    assert math.isclose(got["000001"].scale, 1e-11) and math.isclose(got["000001"].surprise, 200) and got["000003"].consensus is None
+
+
+def test_ranks_and_quantiles_of_large_groups(spark):
+    rng = np.random.default_rng(9)
+    f = pd.DataFrame({"g": np.where(rng.random(4000) < 0.9, "hot", rng.choice(["a", "b"], 4000)), "v": np.where(rng.random(4000) < 0.3, 0.0, 5 + 1e-6 * rng.normal(size=4000)), "y": rng.integers(0, 2, 4000).astype(float)})
+    f.loc[:2, "g"] = None
+    df = spark.createDataFrame(f.astype(object).where(f.notna(), None).values.tolist(), "g string, v double, y double").withColumn("id", F.monotonically_increasing_id())
+    got = stats.with_average_ranks(df, ["g"], {"v": "r"}).toPandas()
+    want = f.assign(g=f.g.fillna("-")).groupby("g").v.rank()
+    assert np.allclose(np.sort(got.r), np.sort(want)) and len(got) == len(f)
+    q = {r.g: list(r.quantiles) for r in stats.exact_quantiles(df, ["g"], "v", [0.0, 0.1, 0.5, 0.99, 1.0]).collect()}
+    assert all(np.allclose(q[None if g == "-" else g], part.v.quantile([0.0, 0.1, 0.5, 0.99, 1.0])) for g, part in f.assign(g=f.g.fillna("-")).groupby("g"))
+    auc = {r.g: r.auc for r in probes.binary_metrics(df.where("g is not null"), "y", "v", ["g"]).collect()}
+    for g, part in f.groupby("g"):
+        n1 = part.y.sum()
+        assert math.isclose(auc[g], (part.v.rank()[part.y == 1].sum() - n1 * (n1 + 1) / 2) / n1 / (len(part) - n1))
+    assert stats.exact_quantiles(df.limit(0), ["g"], "v", [0.5]).count() == 0
+    a = {r.g: r for r in economics.association(df.where("g is not null").withColumn("c", F.col("id") % 50), "v", "y", ["g"], "c").collect()}
+    for g, part in f.groupby("g"):
+        rho = part.v.rank().corr(part.y.rank())
+        assert math.isclose(a[g].spearman, rho) and math.isclose(a[g].spearman_p, stats.t_tail(abs(rho) * math.sqrt((len(part) - 2) / (1 - rho * rho)), len(part) - 2))
+
+
+def test_quantiles_need_distinct_values(spark):
+    rows = [("flat", k, 1.0, float(k)) for k in range(20)] + [("few", k, float(k % 4), float(k)) for k in range(20)] + [("ok", k, float(k // 2), float(k)) for k in range(20)]
+    df = spark.createDataFrame(rows, "g string, k int, x double, y double")
+    assert {r.g for r in evaluation.quantile_portfolios(df, "x", "y", ["g"], ["k"], 5).collect()} == {"ok"}
+    got = economics.quantile_summary(df, "x", "y", 5, ["g"], ["k"]).orderBy("quantile").collect()
+    assert [(r.g, r.quantile, r.n, r.mean_y, r.median_x) for r in got] == [("ok", q + 1, 4, 4 * q + 1.5, 2 * q + 0.5) for q in range(5)]
+    tied = economics.quantile_summary(spark.createDataFrame([(1, 0, float(k), 1.0) for k in (1, 2, 2, 2, 2, 3)], "g int, k int, x double, y double"), "x", "y", 3, ["g"], ["k"]).orderBy("quantile").collect()
+    assert [(r.n, r.mean_x) for r in tied] == [(2, 1.5), (2, 2.0), (2, 2.5)]
+
+
+def test_newey_west_uses_no_more_lags_than_there_are(spark):
+    def plain(x, lags):
+        n, e = len(x), np.array(x) - np.mean(x)
+        if n < 2:
+            return None
+        lags = min(lags, n - 1)
+        v = e @ e / n + sum(2 * (1 - k / (lags + 1)) * (e[k:] @ e[:-k]) / n for k in range(1, lags + 1))
+        return np.mean(x) / math.sqrt(v / n) if v > 0 else None
+
+    rng = np.random.default_rng(3)
+    series = {n: list(rng.normal(0.3, 1, n)) for n in (1, 2, 3, 4, 6, 40)}
+    df = spark.createDataFrame([(n, k, float(v)) for n, x in series.items() for k, v in enumerate(x)] + [(99, k, 2.0) for k in range(5)], "g int, d int, v double")
+    got = {r.g: r for r in stats.newey_west(df, ["g"], "d", "v", 4).collect()}
+    for n, x in series.items():
+        want = plain(x, 4)
+        assert (got[n].t is None) == (want is None) and (want is None or math.isclose(got[n].t, want, rel_tol=1e-9))
+        assert got[n].lags == min(4, n - 1)
+    assert got[99].t is None

@@ -88,7 +88,7 @@ def test_every_stock_is_unpivoted(spark, tmp_path):
 
     lines = [(p, dt.datetime(2024, 1, d), (p + d) % 7 / 100) for p in (0, 9, 10, 42, 59) for d in range(1, 5) if p != 42 or d < 3]
     spark.createDataFrame(lines, "l_partkey long, l_shipdate timestamp, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
-    got = {(r.date, r.stock_code): r.ret for r in plans.panel_unpivot_all(spark, str(tmp_path)).collect()}
+    got = {(r.date, r.stock_code): r.ret for r in plans.panel_unpivot(spark, str(tmp_path)).collect()}
     held = {(20240100 + t.day, f"{p:06d}"): x - 0.05 for p, t, x in lines}
     assert set(got) == {(20240100 + d, f"{p:06d}") for p in (0, 9, 10, 42, 59) for d in range(1, 5)}
     assert all(got[k] is None if k not in held else abs(got[k] - held[k]) < 1e-8 for k in got)
