@@ -187,13 +187,13 @@ def ridge_from_gram(g: dict[str, np.ndarray], alphas: list[float]) -> dict[float
 
 
 def predicted(df: DataFrame, key: str, vec: str, models: dict[object, dict[str, np.ndarray]], out: str = "prediction") -> DataFrame:
-    """Linear predictions by the key's model, as a column expression over the array."""
-    value = F.lit(None).cast("double")
-    for k, m in models.items():
-        coef = F.array(*[F.lit(float(c)) for c in m["coef"]])
-        dot = F.aggregate(F.zip_with(F.col(vec), coef, lambda x, c: x.cast("double") * c), F.lit(float(m["intercept"])), lambda s, x: s + x)
-        value = F.when(F.col(key) == F.lit(k), dot).otherwise(value)
-    return df.withColumn(out, value)
+    """Linear predictions by the key's model; NULL for keys without one. The models are a table of one row a key (tasks times layers),
+    which is small whatever the data and is sent to all workers."""
+    kind = df.schema[key].dataType.simpleString()
+    rows = [(k, [float(c) for c in m["coef"]], float(m["intercept"])) for k, m in models.items()]
+    side = df.sparkSession.createDataFrame(rows, f"{key} {kind}, _coef array<double>, _base double")
+    dot = F.aggregate(F.zip_with(F.col(vec), F.col("_coef"), lambda x, c: x.cast("double") * c), F.col("_base"), lambda s, x: s + x)
+    return df.join(F.broadcast(side), key, "left").withColumn(out, F.when(F.col("_coef").isNotNull(), dot)).drop("_coef", "_base")
 
 
 def ridge_probe(train: DataFrame, validation: DataFrame, evaluate, key: str, vec: str, y: str, alphas: list[float], weight: str | None = None) -> dict[object, dict[str, object]]:
@@ -220,6 +220,42 @@ def logistic_probe(train: DataFrame, vec: str, label: str, c: float = 1.0):
     return LogisticRegression(regParam=1.0 / (c * max(1, rows.count())), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9).fit(rows)
 
 
+def standardized(df: DataFrame, fitted_on: DataFrame, vec: str) -> DataFrame:
+    """Vectors scaled by mean and population deviation of ``fitted_on`` (deviation 1 where a feature is constant)."""
+    v = array_to_vector(F.col(vec).cast("array<double>"))
+    m = fitted_on.agg(Summarizer.mean(v).alias("m"), Summarizer.variance(v).alias("v"), F.count(F.lit(1)).alias("n")).first()  # one vector each
+    scale = [float(np.sqrt(x * (m["n"] - 1) / m["n"])) for x in m["v"]]
+    shift = F.array(*[F.lit(float(x)) for x in m["m"]])
+    by = F.array(*[F.lit(x if x > 1e-12 else 1.0) for x in scale])
+    return df.withColumn(vec, F.zip_with(F.zip_with(F.col(vec), shift, lambda x, a: x.cast("double") - a), by, lambda x, b: x / b))
+
+
+def logistic_layers(rows: DataFrame, layer: str, vec: str, label: str, split: str, grid: list[float], evaluated: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(predictions, tuning) of a logistic probe per layer: scaled on ``train``, the inverse penalty of ``grid`` with the best area under the
+    curve on ``validation`` (the first of equals), and its probabilities on the ``evaluated`` splits. A split without both classes is an error."""
+    for s in ("train", "validation", *evaluated):
+        kinds = rows.where(F.col(split) == s).select(label).distinct().limit(3).count()
+        if kinds != 2:
+            raise ValueError(f"{s} does not hold both classes")
+    predictions, tuning = None, []
+    for k in sorted(r[0] for r in rows.select(layer).distinct().collect()):  # 13 layers
+        one = rows.where(F.col(layer) == k)
+        one = materialize(standardized(one, one.where(F.col(split) == "train"), vec), "layer")
+        best = None
+        for c in grid:
+            model = logistic_probe(one.where(F.col(split) == "train"), vec, label, c)
+            coef, base = [float(x) for x in model.coefficients], float(model.intercept)
+            logit = F.aggregate(F.zip_with(F.col(vec), F.array(*[F.lit(x) for x in coef]), lambda x, w: x * w), F.lit(base), lambda s, x: s + x)
+            scored = one.withColumn("logit", logit).withColumn("probability", 1 / (1 + F.exp(-F.col("logit"))))
+            auc = binary_metrics(scored.where(F.col(split) == "validation"), label, "probability", [layer]).first()["auc"]
+            tuning.append((int(k), float(c), auc))
+            if best is None or auc > best[0]:
+                best = (auc, scored)
+        kept = best[1].where(F.col(split).isin(evaluated)).drop(vec)
+        predictions = kept if predictions is None else predictions.unionByName(kept)
+    return materialize(predictions, "logistic"), rows.sparkSession.createDataFrame(tuning, "layer int, c double, validation_auc double")
+
+
 def prediction_wide(df: DataFrame, ident: str, layer: str, value: str, metadata: list[str]) -> DataFrame:
     """One row per id with columns l0 ... l12; ids lacking a layer are left out, metadata must not vary within an id."""
     wide = df.groupBy(ident, *metadata).pivot(layer, LAYERS).agg(F.first(value)).withColumnsRenamed({str(k): f"l{k}" for k in LAYERS})

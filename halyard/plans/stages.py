@@ -7,7 +7,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.operators import canonical, consensus, economics, evaluation, labels, profile
+from halyard.operators import canonical, consensus, evaluation, labels, profile
 from halyard.session import materialize
 from halyard.sources import sinks
 from halyard.sources.tables import scan_calendar, scan_reports
@@ -31,6 +31,7 @@ class LabelConfig:
     months: list[int] = field(default_factory=lambda: [1, 3])
     min_active: int = 2
     min_updates: int = 2
+    label_version: str = "report_labels_1"
 
 
 def label_tables(raw: DataFrame, calendar: DataFrame, actuals: DataFrame | None, config: LabelConfig) -> dict[str, DataFrame]:
@@ -63,7 +64,9 @@ def build_labels(spark: SparkSession, reports_path: str, calendar_path: str, act
     tables = label_tables(scan_reports(spark, reports_path), calendar, actuals, config)
     if actuals is not None and tables["report_fy_labels"].where("residual_valid = 1").limit(1).count():
         labels.actual_scale_ratio(tables["report_fy_labels"])
-    return sinks.write_bundle(spark, out, tables, {"config": asdict(config), "source": sinks.source_signature(spark, reports_path)})
+    manifest = {"label_version": config.label_version, "config": asdict(config), "source": sinks.source_signature(spark, reports_path), "sources": [sinks.source_record(spark, p) for p in (reports_path, calendar_path)]}
+    order = {"reports": ["available_date", "report_id"], "report_fy_labels": ["available_date", "report_id", "fy"], "confirmation_labels": ["available_date", "report_id", "fy", "confirmation_months", "peer_panel"]}
+    return sinks.write_bundle(spark, out, tables, manifest, order=order)
 
 
 def prepare_actuals(spark: SparkSession, source: DataFrame, out: str) -> dict:
@@ -107,26 +110,58 @@ def probe_bundle(reports: DataFrame, fy_labels: DataFrame, confirmed: DataFrame,
     return {"texts": texts, "targets": split, "task_counts": profile.task_counts(split, ["task_id", "split"], "target_weight")}
 
 
-def load_task(spark: SparkSession, bundle: str, task_id: str, split: str | None = None) -> DataFrame:
-    """Targets of one task with their texts; the filters reach the scan."""
-    rows = spark.read.parquet(f"{bundle}/targets.parquet").where(F.col("task_id") == task_id)
-    rows = rows.where(F.col("split") == split) if split else rows
-    texts = spark.read.parquet(f"{bundle}/texts.parquet").select("report_id", "title", "text")
-    return rows.join(texts, "report_id", "left")
-
-
-def economic_validation(fy_labels: DataFrame, confirmed: DataFrame, daily: DataFrame, actuals: DataFrame, weights: DataFrame, returns: DataFrame, years: list[int], horizons: list[int]) -> dict[str, DataFrame]:
-    """Universe, surprise, analyst and revision samples with forward returns, and their association and quantile summaries."""
-    returns = economics.return_unit(returns)
-    universes = materialize(economics.locked_universes(weights, years), "universes")
-    forward = materialize(economics.compound_forward(returns, horizons), "forward").select("date", "stock_code", *[f"fwd_{h}" for h in horizons])
-    surprise = economics.actual_surprises(economics.in_universe(actuals, universes, F.col("fy")), daily)
-    surprise = surprise.join(forward.withColumnRenamed("date", "actual_known_date"), ["actual_known_date", "stock_code"], "left")
-    analyst = economics.analyst_information(fy_labels, universes)
-    revision = economics.consensus_revisions(confirmed, fy_labels, universes)
-    stats = economics.association(analyst, "signal", "surprise", ["year"])
-    bins = economics.quantile_summary(analyst, "signal", "surprise", 5, ["year"], ["report_id", "fy"])
-    return {"universes": universes, "surprise_samples": surprise, "analyst_samples": analyst, "revision_samples": revision, "association": stats, "quantiles": bins}
+def task_readiness(targets: DataFrame, splits: list[str]) -> DataFrame:
+    """Per task: rows with a positive weight and distinct labels in each split, and whether all splits have some and the fitted ones differ."""
+    some = F.col("target_weight") > 0
+    cells = targets.groupBy("task_id").agg(
+        *[F.count_if(some & (F.col("split") == s)).alias(f"rows_{s}") for s in splits], *[F.max(F.when(some & (F.col("split") == s), F.col("label_value"))).alias(f"_hi_{s}") for s in splits], *[F.min(F.when(some & (F.col("split") == s), F.col("label_value"))).alias(f"_lo_{s}") for s in splits]
+    )
+    ready = F.lit(True)
+    for s in splits:
+        ready = ready & (F.col(f"rows_{s}") > 0)
+    for s in splits[:2]:
+        ready = ready & (F.col(f"_hi_{s}") > F.col(f"_lo_{s}"))
+    return cells.select("task_id", *[f"rows_{s}" for s in splits], F.coalesce(ready, F.lit(False)).alias("ready"))
+
+
+def build_probe_dataset(spark: SparkSession, label_bundle: str, out: str, windows: list[tuple[str, str, str, str | None]], label_version: str | None = None) -> dict:
+    """The probe bundle as a stage: upstream manifest and counts are checked, texts, targets, counts and readiness written as one bundle.
+
+    A manifest without the wanted version, with other counts than its tables, or tables of differing identity are errors, and nothing is written.
+    A bundle without any task that has all splits is written, but its tasks cannot be loaded for training.
+    """
+    tables, upstream = sinks.read_bundle(spark, label_bundle, {"label_version": label_version} if label_version else None)
+    parts = probe_bundle(tables["reports"], tables["report_fy_labels"], tables["confirmation_labels"], windows)
+    ready = materialize(task_readiness(parts["targets"], [w[0] for w in windows]), "readiness")
+    tasks = sorted(r.task_id for r in ready.where("ready").select("task_id").collect())  # a few tasks
+    manifest = {
+        "label_version": upstream["label_version"], "windows": windows, "training_ready": bool(tasks), "training_ready_tasks": tasks, "upstream": {k: upstream.get(k) for k in ("label_version", "rows", "config")},
+        "sources": [sinks.source_record(spark, f"{label_bundle}/{n}.parquet") for n in ("reports", "report_fy_labels", "confirmation_labels")],
+    }
+    order = {"targets": ["task_id", "feature_available_date", "report_id", "sample_id"], "texts": ["available_date", "report_id"]}
+    return sinks.write_bundle(spark, out, parts | {"readiness": ready}, manifest, order=order)
+
+
+def load_task(spark: SparkSession, bundle: str, task_id: str, split: str, require_ready: bool = True) -> DataFrame:
+    """Targets of one task and split with their texts, in order of date and report; the filters reach the scan.
+
+    Tasks that are not ready for training, empty results, and targets whose text is missing or of another stock or date are errors.
+    """
+    if not sinks.exists(spark, f"{bundle}/manifest.json"):
+        raise FileNotFoundError(f"{bundle}/manifest.json")
+    manifest = sinks.read_manifest(spark, f"{bundle}/manifest.json")
+    if split not in [w[0] for w in manifest["windows"]]:
+        raise ValueError(f"no split {split}")
+    if require_ready and task_id not in manifest["training_ready_tasks"]:
+        raise ValueError(f"task {task_id} has no complete splits")
+    rows = spark.read.parquet(f"{bundle}/targets.parquet").where((F.col("task_id") == task_id) & (F.col("split") == split))
+    if rows.isEmpty():
+        raise ValueError(f"no rows of {task_id} in {split}")
+    keys = ["report_id", "stock_code", "feature_available_date"]
+    texts = spark.read.parquet(f"{bundle}/texts.parquet").withColumnRenamed("available_date", "feature_available_date").select(*keys, "title", "text")
+    out = profile.checked_join(rows, texts, keys)
+    profile.assert_none(out.where("text is null").select(*keys), "targets without a text")
+    return out.orderBy("feature_available_date", "report_id")
 
 
 def factor_evaluation(panel: DataFrame, factors: list[str], targets: list[str], date: str, industry: str, size: str, least: int = 20) -> dict[str, DataFrame]:

@@ -6,9 +6,9 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Callable
-from pathlib import Path
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,10 +67,92 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
     return json.loads(read_text(spark, path))
 
 
-def write_bundle(spark: SparkSession, target: str, tables: dict[str, DataFrame], manifest: dict, partition: dict[str, str] | None = None, replace: bool = True) -> dict:
+def create_exclusive(spark: SparkSession, path: str, text: str) -> None:
+    """Creates a file that must not exist yet: of two runs at once, one gets it and the other FileExistsError."""
+    fs, p = _fs(spark, path)
+    if fs.getUri().getScheme() == "file":  # the local file system of Hadoop looks first and creates then; the operating system does both at once
+        local = p.toUri().getPath()
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        with open(local, "x", encoding="utf-8") as f:
+            f.write(text)
+        return
+    try:
+        stream = fs.create(p, False)
+    except Exception as e:
+        if exists(spark, path):
+            raise FileExistsError(path) from e
+        raise
+    stream.write(bytearray(text.encode()))
+    stream.close()
+
+
+def _digest_file(path: str, block: int = 8 << 20) -> str:
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path)
+    h = hashlib.sha256()
+    with system.open_input_stream(inner) as f:
+        while part := f.read(block):
+            h.update(part)
+    return h.hexdigest()
+
+
+def content_digest(spark: SparkSession, path: str) -> str:
+    """A hash of the contents of a file, or of the names and contents of all files of a folder but markers and checksums; files are read in parallel, by blocks."""
+    fs, p = _fs(spark, path)
+    root = fs.resolvePath(p).toString() if fs.getUri().getScheme() != "file" else "file://" + p.toUri().getPath()
+    files, walk = [], fs.listFiles(p, True)
+    while walk.hasNext():
+        u = walk.next().getPath().toUri()
+        name = f"file://{u.getPath()}" if u.getScheme() == "file" else u.toString()
+        if not name.rsplit("/", 1)[1].startswith(("_", ".")):
+            files.append(name)
+    if not files:
+        raise FileNotFoundError(path)
+
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["path"], "digest": [_digest_file(x) for x in batch["path"]]})
+
+    rows = spark.createDataFrame([(f,) for f in files], "path string").repartition(min(len(files), 1_000)).mapInPandas(digests, "path string, digest string").collect()  # a row a file
+    lines = sorted(f"{r.path.removeprefix(root)}:{r.digest}" for r in rows)
+    return hashlib.sha256("\n".join(lines).encode()).hexdigest()
+
+
+def read_bundle(spark: SparkSession, target: str, wanted: dict | None = None, digests: bool = False) -> tuple[dict[str, DataFrame], dict]:
+    """(tables, manifest) of a bundle. Counts must be those of the manifest, the ``wanted`` values those it names, and with ``digests`` its
+    sources unchanged since it was made; else ValueError. A missing manifest or table is FileNotFoundError."""
+    if not exists(spark, f"{target}/manifest.json"):
+        raise FileNotFoundError(f"{target}/manifest.json")
+    manifest = read_manifest(spark, f"{target}/manifest.json")
+    wrong = {k: (manifest.get(k), v) for k, v in (wanted or {}).items() if manifest.get(k) != v}
+    if wrong:
+        raise ValueError(f"{target}: (found, wanted) differ: {wrong}")
+    tables = {}
+    for name, rows in manifest["rows"].items():
+        path = f"{target}/{name}.parquet"
+        if not exists(spark, path):
+            raise FileNotFoundError(path)
+        tables[name] = spark.read.parquet(path)
+        n = tables[name].count()
+        if n != rows:
+            raise ValueError(f"{path} has {n} rows, the manifest says {rows}")
+    if digests:
+        for source in manifest.get("sources", []):
+            if content_digest(spark, source["path"]) != source["sha256"]:
+                raise ValueError(f"{source['path']} has changed since {target} was made")
+    return tables, manifest
+
+
+def source_record(spark: SparkSession, path: str) -> dict:
+    return source_signature(spark, path) | {"sha256": content_digest(spark, path)}
+
+
+def write_bundle(spark: SparkSession, target: str, tables: dict[str, DataFrame], manifest: dict, partition: dict[str, str] | None = None, replace: bool = True, order: dict[str, list[str]] | None = None) -> dict:
     """All tables and a manifest as one folder: written to a staging folder, then swapped in; a failure restores what was there.
 
-    ``replace=False`` makes the output write-once. Paths of fewer than three parts are refused.
+    ``replace=False`` makes the output write-once. ``order`` names columns that a table is sorted by, over all of its files. Paths of fewer
+    than three parts are refused.
     """
     if len([x for x in re.sub(r"^\w+:/*", "", target).split("/") if x]) < 2:
         raise ValueError(f"refusing to replace the shallow path {target}")
@@ -81,7 +163,7 @@ def write_bundle(spark: SparkSession, target: str, tables: dict[str, DataFrame],
         remove(spark, p)
     rows = {}
     for name, df in tables.items():
-        writer = df.write.option("compression", "zstd")
+        writer = (df.orderBy(*order[name]) if order and name in order else df).write.option("compression", "zstd")
         if partition and name in partition:
             writer = writer.partitionBy(partition[name])
         writer.parquet(f"{staging}/{name}.parquet")
@@ -178,9 +260,3 @@ def resolved(value, env: dict[str, str] | None = None):
     if isinstance(value, str):
         return re.sub(r"\$\{(\w+)(?::-([^}]*))?\}", lambda m: env.get(m[1]) or (m[2] or ""), value)
     return value
-
-
-def once(marker: Path) -> None:
-    """Creates a marker file; a second call is an error, so that what follows can run only once."""
-    with marker.open("x") as f:
-        f.write("taken")

@@ -134,9 +134,10 @@ def test_scans_and_config(spark, tmp_path):
     for bad in (({"coverage_start": "2023-01-01"}, [], "x"), ({}, [], "x")):
         with pytest.raises(ValueError):
             sinks.source_coverage(*bad)
-    sinks.once(tmp_path / "m")
+    sinks.create_exclusive(spark, f"{tmp_path}/x/m", "one")
     with pytest.raises(FileExistsError):
-        sinks.once(tmp_path / "m")
+        sinks.create_exclusive(spark, f"{tmp_path}/x/m", "two")
+    assert sinks.read_text(spark, f"{tmp_path}/x/m") == "one"
     sinks.write_manifest(spark, f"{tmp_path}/m/m.json".replace("/m/m", "/n/m"), {"b": 1})
     assert json.loads((tmp_path / "n/m.json").read_text()) == {"b": 1}
 
@@ -156,3 +157,24 @@ def test_stream_of_files(spark, tmp_path):
     q = feeds.windowed_counts(feed, "ts", ["id"], "10 minutes", "10 minutes", "1 minute", "x").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select sum(n) from w").first()[0] == 60
+
+
+def test_bundles_are_checked_when_read(spark, tmp_path):
+    src, out = f"{tmp_path}/src/t.parquet", f"{tmp_path}/out/bundle"
+    spark.range(10).write.parquet(src)
+    record = sinks.source_record(spark, src)
+    assert record["sha256"] == sinks.content_digest(spark, src) and len(record["sha256"]) == 64
+    sinks.write_bundle(spark, out, {"t": spark.range(5).selectExpr("5 - id AS k")}, {"label_version": "v1", "sources": [record]}, order={"t": ["k"]})
+    tables, manifest = sinks.read_bundle(spark, out, {"label_version": "v1"}, digests=True)
+    assert [r.k for r in tables["t"].collect()] == [1, 2, 3, 4, 5] and manifest["rows"] == {"t": 5}
+    with pytest.raises(ValueError, match="label_version"):
+        sinks.read_bundle(spark, out, {"label_version": "v2"})
+    spark.range(1).write.mode("append").parquet(src)
+    with pytest.raises(ValueError, match="changed"):
+        sinks.read_bundle(spark, out, digests=True)
+    spark.range(1).selectExpr("id AS k").write.mode("append").parquet(f"{out}/t.parquet")
+    with pytest.raises(ValueError, match="manifest says"):
+        sinks.read_bundle(spark, out)
+    sinks.remove(spark, f"{out}/t.parquet")
+    with pytest.raises(FileNotFoundError):
+        sinks.read_bundle(spark, out)

@@ -5,17 +5,23 @@ from pyspark.sql import functions as F
 
 from halyard.operators import canonical, labels
 from halyard.operators.profile import GateError
-from halyard.plans import economics, evaluation, stages
+from halyard.plans import economic_validation, economics, evaluation, stages
+from halyard.sources import sinks
 
 FOLDER = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
 CONFIG = stages.LabelConfig("2021-06-01", "2025-12-31", "2023-01-01", "2025-06-30")
-WINDOWS = [("train", "2023-01-01", "2023-06-30", "2024-06-30"), ("test", "2024-07-01", "2025-06-30", None)]
+WINDOWS = [("train", "2023-01-01", "2023-11-30", "2024-02-29"), ("validation", "2024-03-01", "2024-10-31", "2025-01-31"), ("test", "2025-02-01", "2025-06-30", None)]
 
 
 @pytest.fixture(scope="module")
-def bundle(spark, tmp_path_factory):
-    out = f"{tmp_path_factory.mktemp('bundle')}/out/labels"
+def folder(tmp_path_factory):
+    return f"{tmp_path_factory.mktemp('bundle')}/out/labels"
+
+
+@pytest.fixture(scope="module")
+def bundle(spark, folder):
+    out = folder
     manifest = stages.build_labels(spark, f"{FOLDER}/raw_reports.parquet", f"{FOLDER}/calendar.parquet", spark.read.parquet(f"{FOLDER}/actuals.parquet"), out, CONFIG)
     return manifest, {n: spark.read.parquet(f"{out}/{n}.parquet") for n in manifest["rows"]}
 
@@ -30,15 +36,8 @@ def test_labels(bundle):
     assert t["report_fy_labels"].where("available_date not between date'2023-01-01' and date'2025-06-30'").count() == 0
 
 
-def test_probe_bundle_and_task(spark, bundle, tmp_path):
+def test_probe_bundle_gates(bundle):
     _, t = bundle
-    parts = stages.probe_bundle(t["reports"], t["report_fy_labels"], t["confirmation_labels"], WINDOWS)
-    assert parts["targets"].count() > 0
-    for n in ("texts", "targets"):
-        parts[n].write.parquet(f"{tmp_path}/{n}.parquet")
-    task = parts["targets"].first().task_id
-    rows = stages.load_task(spark, str(tmp_path), task, "train")
-    assert rows.where("text is null").count() == 0 and rows.count() == parts["targets"].where((F.col("task_id") == task) & (F.col("split") == "train")).count()
     leaky = t["report_fy_labels"].withColumn("residual_signed_raw", F.lit(1.0))
     with pytest.raises(GateError):
         stages.probe_bundle(t["reports"], leaky, t["confirmation_labels"], WINDOWS)
@@ -46,12 +45,75 @@ def test_probe_bundle_and_task(spark, bundle, tmp_path):
         stages.probe_bundle(t["reports"].limit(3), t["report_fy_labels"], t["confirmation_labels"], WINDOWS)
 
 
+def test_probe_dataset_and_task(spark, bundle, folder, tmp_path):
+    out = f"{tmp_path}/o/dataset"
+    manifest = stages.build_probe_dataset(spark, folder, out, WINDOWS, CONFIG.label_version)
+    assert manifest["training_ready"] and manifest["rows"]["targets"] > 0
+    targets = spark.read.parquet(f"{out}/targets.parquet")
+    task = manifest["training_ready_tasks"][0]
+    rows = stages.load_task(spark, out, task, "train").collect()
+    assert rows and all(r.text is not None and r.task_id == task and r.split == "train" for r in rows) and len(rows) == targets.where((F.col("task_id") == task) & (F.col("split") == "train")).count()
+    assert [(r.feature_available_date, r.report_id) for r in rows] == sorted((r.feature_available_date, r.report_id) for r in rows)
+    assert rows[0].text != rows[0].title or rows[0].title is None
+    for bad in (("no such task", "train"), (task, "other")):
+        with pytest.raises(ValueError):
+            stages.load_task(spark, out, *bad)
+    with pytest.raises(ValueError, match="no rows"):
+        stages.load_task(spark, out, "no such task", "train", require_ready=False)
+    # a text of another stock is no text of the target
+    texts = spark.read.parquet(f"{out}/texts.parquet").withColumn("stock_code", F.lit("999999"))
+    texts.write.parquet(f"{tmp_path}/texts.parquet")
+    sinks.remove(spark, f"{out}/texts.parquet")
+    sinks.move(spark, f"{tmp_path}/texts.parquet", f"{out}/texts.parquet")
+    with pytest.raises(GateError):
+        stages.load_task(spark, out, task, "train")
+    with pytest.raises(ValueError, match="label_version"):
+        stages.build_probe_dataset(spark, folder, f"{tmp_path}/o/other", WINDOWS, "wrong")
+    assert not sinks.exists(spark, f"{tmp_path}/o/other")
+
+
+def test_dataset_without_a_complete_task_cannot_be_trained_on(spark, folder, tmp_path):
+    out = f"{tmp_path}/o/dataset"
+    empty = [*WINDOWS[:1], ("validation", "2030-01-01", "2030-06-30", "2030-12-31"), ("test", "2031-01-01", "2031-06-30", None)]
+    manifest = stages.build_probe_dataset(spark, folder, out, empty)
+    assert not manifest["training_ready"] and manifest["rows"]["targets"] > 0
+    task = spark.read.parquet(f"{out}/targets.parquet").first().task_id
+    with pytest.raises(ValueError, match="complete splits"):
+        stages.load_task(spark, out, task, "train")
+    assert stages.load_task(spark, out, task, "train", require_ready=False).count() > 0
+
+
 def test_economic_validation(spark, bundle):
     _, t = bundle
     daily = canonical.org_daily(canonical.canonicalize(spark.read.parquet(f"{FOLDER}/raw_reports.parquet"), spark.read.parquet(f"{FOLDER}/calendar.parquet"))[1])
-    got = stages.economic_validation(t["report_fy_labels"], t["confirmation_labels"], daily, labels.normalized_actuals(spark.read.parquet(f"{FOLDER}/actuals.parquet")), economics._weights(spark, FOLDER), economics.panel(spark, FOLDER), [2023, 2024, 2025], [1, 5])
-    assert got["analyst_samples"].count() > 0 and got["association"].where("n > 0 and abs(spearman) <= 1").count() > 0
-    assert {r.quantile for r in got["quantiles"].collect()} == {1, 2, 3, 4, 5} and got["surprise_samples"].count() > 0
+    cal = spark.read.parquet(f"{FOLDER}/calendar.parquet")
+    acts = spark.read.parquet(f"{FOLDER}/actuals.parquet")
+    panel = cal.where("date >= date'2022-12-01'").join(acts.select("stock_code").distinct()).select("date", "stock_code", (F.pmod(F.xxhash64("date", "stock_code"), F.lit(2001)) / 20000.0 - 0.05).alias("ret"))  # a small panel of every day and stock
+    weights = economics._weights(spark, FOLDER)
+    code = weights.first().index_code
+    run = lambda years: economic_validation.economic_validation(t["report_fy_labels"], t["confirmation_labels"], daily, labels.normalized_actuals(acts), weights, panel, panel.withColumn("ret", F.col("ret") / 2), cal, years, [1, 5], code, event_window=5, specific_window=5, min_orgs=3, coverage=0.5)
+    got = run([2023, 2024, 2025])
+    rows = got["association"].collect()
+    assert {r.analysis.split("_fy")[0] for r in rows} >= {"analyst_information", "consensus_1m_fixed", "consensus_3m_market"} and any(r.analysis.startswith("fundamental_pricing") for r in rows)
+    for r in rows:
+        assert r.spearman is None or abs(r.spearman) <= 1 + 1e-12
+    a = next(r for r in rows if r.analysis == "analyst_information_fy0")
+    pdf = got["analyst_samples"].where("forecast_horizon = 0").toPandas()
+    pdf = pdf[pdf.signal.notna() & pdf.surprise.notna()]
+    assert a.n == len(pdf) and abs(a.spearman - pdf.signal.rank().corr(pdf.surprise.rank())) < 1e-9 and a.clusters == pdf.cluster_stock_date.nunique()
+    rev = got["revision_samples"].where("return_event_window is not null").limit(20).toPandas()
+    daily_ret = {(r.date, r.stock_code): r.ret for r in panel.collect()}
+    days = sorted({d for d, _ in daily_ret})
+    for r in rev.itertuples():
+        want = 1.0
+        for d in days:
+            if r.available_date <= d < r.target_date:
+                want *= 1 + daily_ret[d, r.stock_code]
+        assert abs(r.return_event_window - (want - 1)) < 1e-9
+    assert got["analyst_summary"].where("direction_hit_rate between 0 and 1").count() > 0 and got["zero_audit"].agg(F.sum("rows")).first()[0] == got["revision_samples"].count()
+    assert got["surprise_samples"].where("excess_return_fut5 is not null").count() > 0
+    with pytest.raises(GateError):
+        run([2010])
 
 
 def test_factor_evaluation(spark):
