@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.functions.scalars import market_timestamp, profit_state, stock6, stock_lenient, stock_strict
 from halyard.operators import canonical, consensus, labels
 from halyard.operators.calendar import align_to_session, session_after_months, session_offset, session_on_or_after
-from halyard.session import materialize
+from halyard.session import materialize, shared
+from halyard.sources.sinks import source_signature
 from halyard.sources.tables import table
 
 COVERAGE_START, COVERAGE_END = "2021-06-01", "2025-12-31"
@@ -61,14 +64,24 @@ def org_daily(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.org_daily(_parts(spark, folder)[1]).select("stock_code", "fy", "org_id", _day("available_date"), F.round("forecast", 4).alias("forecast"), _day("publish_date"))
 
 
+def _held(spark: SparkSession, folder: str, name: str, build) -> list[DataFrame]:
+    """Tables many queries start from, built once for the state of the source tables they come from."""
+    state = tuple(json.dumps(source_signature(spark, f"{folder}/{t}.parquet"), sort_keys=True) for t in ("raw_reports", "calendar", "actuals"))
+    return shared(spark, (name, state), build)
+
+
 def _history(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    report_fy = materialize(_parts(spark, folder)[1], "report-fy")
-    return report_fy, materialize(canonical.org_daily(report_fy), "org-daily")
+    def build() -> list[DataFrame]:
+        report_fy = materialize(_parts(spark, folder)[1], "report-fy")
+        return [report_fy, materialize(canonical.org_daily(report_fy), "org-daily")]
+
+    return tuple(_held(spark, folder, "history", build))
 
 
 def _consensus(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     report_fy, daily = _history(spark, folder)
-    return consensus.pre_consensus(report_fy, daily, COVERAGE_START), daily
+    (rows,) = _held(spark, folder, "consensus", lambda: [materialize(consensus.pre_consensus(report_fy, daily, COVERAGE_START), "consensus")])
+    return rows, daily
 
 
 def pre_consensus(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,12 +91,12 @@ def pre_consensus(spark: SparkSession, folder: str) -> DataFrame:
 
 def _scaled(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     rows, daily = _consensus(spark, folder)
-    return consensus.with_scale(materialize(rows, "consensus")), daily
+    return consensus.with_scale(rows), daily
 
 
 def scale_floor(spark: SparkSession, folder: str) -> DataFrame:
     rows, _ = _consensus(spark, folder)
-    return consensus.scale_floors(materialize(rows, "consensus")).select(_day("month"), "forecast_horizon", "scale_reference", "scale_sample_count", F.round("scale_floor", 4).alias("scale_floor"))
+    return consensus.scale_floors(rows).select(_day("month"), "forecast_horizon", "scale_reference", "scale_sample_count", F.round("scale_floor", 4).alias("scale_floor"))
 
 
 def profit_states(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,8 +120,9 @@ def first_disclosure_conflicts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    rows, daily = _scaled(spark, folder)
-    return labels.with_actuals(rows, labels.normalized_actuals(table(spark, folder, "actuals"))), daily
+    scaled, daily = _scaled(spark, folder)
+    (rows,) = _held(spark, folder, "labelled", lambda: [materialize(labels.with_actuals(scaled, labels.normalized_actuals(table(spark, folder, "actuals"))), "labelled")])
+    return rows, daily
 
 
 def residual_edge(spark: SparkSession, folder: str) -> DataFrame:
@@ -120,9 +134,9 @@ def residual_edge(spark: SparkSession, folder: str) -> DataFrame:
 
 def _confirmed(spark: SparkSession, folder: str) -> DataFrame:
     rows, daily = _labelled(spark, folder)
-    out = labels.confirmations(materialize(rows, "labelled"), daily, table(spark, folder, "calendar"), COVERAGE_END)
     # written once: a filter on the labels would otherwise be pushed into, and repeat, the array expressions
-    return materialize(out, "confirmed")
+    (out,) = _held(spark, folder, "confirmed", lambda: [materialize(labels.confirmations(rows, daily, table(spark, folder, "calendar"), COVERAGE_END), "confirmed")])
+    return out
 
 
 def confirmation(spark: SparkSession, folder: str) -> DataFrame:

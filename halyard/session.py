@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,10 +48,23 @@ def _own_folder(spark: SparkSession) -> str:
 
 def release(spark: SparkSession) -> None:
     """Deletes the tables this application wrote by ``materialize``. To be called when no result that reads them is needed any more."""
+    _HELD.clear()
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_HELD: dict[tuple, list[DataFrame]] = {}
+
+
+def shared(spark: SparkSession, key: tuple, build: Callable[[], list[DataFrame]]) -> list[DataFrame]:
+    """Tables that several queries of an application start from: ``build`` runs (and should write its tables by ``materialize``) once per ``key``,
+    which names whatever determines them."""
+    full = (spark.sparkContext.applicationId, *key)
+    if full not in _HELD:
+        _HELD[full] = build()
+    return _HELD[full]
+
+
 def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
