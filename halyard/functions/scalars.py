@@ -118,3 +118,13 @@ def count_bucket(c: str | Column) -> Column:
 
 def sorted_json(values: Column) -> Column:
     return F.to_json(F.sort_array(F.array_distinct(values)))
+
+
+def weekday(c: str | Column) -> Column:
+    """0 for Monday to 6 for Sunday."""
+    return F.weekday(col(c))
+
+
+def shortened(c: str | Column, most: int) -> Column:
+    """The first characters of a text, for display."""
+    return F.substring(col(c), 1, most)

@@ -55,6 +55,21 @@ def compound_between(events: DataFrame, returns: DataFrame, start: str, end: str
     return at.withColumn(out, value).select(*events.columns, out)
 
 
+def stack_horizons(panels: dict[int, DataFrame]) -> DataFrame:
+    """One row per date and stock of any of the long panels, with a column return_fut{h} per horizon; a missing value is NULL."""
+    long = None
+    for h, panel in panels.items():
+        one = panel.select("date", "stock_code", F.lit(h).alias("h"), F.col("ret").alias("v"))
+        long = one if long is None else long.unionByName(one)
+    return long.groupBy("date", "stock_code").agg(*[F.max(F.when(F.col("h") == h, F.col("v"))).alias(f"return_fut{h}") for h in panels])
+
+
+def conflicting_weights(weights: DataFrame) -> DataFrame:
+    """Keys of index weights with several different weights."""
+    rows = weights.select("index_code", "trade_date", stock6("stock_code").alias("stock_code"), finite("weight").alias("weight")).where("stock_code is not null and weight is not null").distinct()
+    return rows.groupBy("index_code", "trade_date", "stock_code").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def lookup(frame: DataFrame, panel: DataFrame, date: str, stock: str, value: str, out: str) -> DataFrame:
     """Exact (date, stock) value of a long panel, else NULL."""
     side = panel.select(F.col("date").alias(date), F.col("stock_code").alias(stock), F.col(value).alias(out))

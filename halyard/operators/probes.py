@@ -49,6 +49,26 @@ def masked_mean(tokens: Column, mask: Column) -> Column:
     return total / F.greatest(F.aggregate(mask, F.lit(0.0), lambda s, m: s + m), F.lit(1.0))
 
 
+def pooled(tokens: Column, mask: Column, kind: str) -> Column:
+    """A text's vector from those of its tokens (an array of arrays): the first token's, or the mean of the tokens with mask 1 (zeros if there are none)."""
+    if kind == "first":
+        return F.get(tokens, F.lit(0))
+    if kind != "mean":
+        raise ValueError(f"no pooling {kind}")
+    kept = F.aggregate(mask, F.lit(0.0), lambda s, m: s + m)
+    zeros = F.transform(F.get(tokens, F.lit(0)), lambda x: F.lit(0.0))
+    total = F.aggregate(F.arrays_zip(tokens.alias("t"), mask.alias("m")), zeros, lambda s, p: F.zip_with(s, p["t"], lambda a, x: a + x.cast("double") * p["m"]))
+    return F.transform(total, lambda x: x / F.greatest(kept, F.lit(1.0)))
+
+
+def vector_difference(a: Column, b: Column) -> Column:
+    """Distance, mean absolute difference and cosine of two vectors, as a struct."""
+    fold = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    d = F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double"))
+    dot = lambda u, v: fold(F.zip_with(u, v, lambda x, y: x.cast("double") * y.cast("double")))
+    return F.struct(F.sqrt(dot(d, d)).alias("l2"), (fold(F.transform(d, lambda x: F.abs(x))) / F.size(a)).alias("mae"), F.try_divide(dot(a, b), F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))).alias("cosine"))
+
+
 def head_outputs(df: DataFrame, logit0: Column, logit1: Column) -> DataFrame:
     """Two-class outputs: logits, margin, softmax probabilities and predicted class (ties to class 0)."""
     m = logit1 - logit0
@@ -60,13 +80,13 @@ def head_outputs(df: DataFrame, logit0: Column, logit1: Column) -> DataFrame:
 
 
 def layer_distribution(head: DataFrame, variables: list[str]) -> DataFrame:
-    """Per layer and variable: mean, deviation, seven exact quantiles; per layer also entropy and the share of saturated rows."""
+    """Per layer and variable: mean, deviation, seven exact quantiles; per layer also entropy, and the shares of saturated rows and of those near one half."""
     long = head.select("layer", F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("x")) for v in variables])).alias("e"), "class_0_prob", "class_1_prob")
     long = materialize(long.select("layer", "e.variable", "e.x", "class_0_prob", "class_1_prob"), "distributions")
     agg = long.groupBy("layer", "variable").agg(
-        F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.avg(two_class_entropy("class_0_prob", "class_1_prob")).alias("entropy"), F.avg((F.greatest("class_0_prob", "class_1_prob") > 0.99).cast("double")).alias("saturated_share")
+        F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.avg(two_class_entropy("class_0_prob", "class_1_prob")).alias("entropy"), F.avg((F.greatest("class_0_prob", "class_1_prob") > 0.99).cast("double")).alias("saturated_share"), F.avg(F.col("class_1_prob").between(0.45, 0.55).cast("double")).alias("near_half_share")
     )
-    return agg.join(exact_quantiles(long, ["layer", "variable"], "x", SEVEN, "_p"), ["layer", "variable"]).select("layer", "variable", "n", "mean", "std", *[F.col("_p")[i].alias(f"q{round(100 * q):02d}") for i, q in enumerate(SEVEN)], "entropy", "saturated_share")
+    return agg.join(exact_quantiles(long, ["layer", "variable"], "x", SEVEN, "_p"), ["layer", "variable"]).select("layer", "variable", "n", "mean", "std", *[F.col("_p")[i].alias(f"q{round(100 * q):02d}") for i, q in enumerate(SEVEN)], "entropy", "saturated_share", "near_half_share")
 
 
 def layer_transitions(head: DataFrame, ident: str = "representation_row") -> DataFrame:

@@ -106,28 +106,67 @@ def assert_none(bad: DataFrame, what: str) -> None:
         raise GateError(f"{what}: for instance {[r.asDict() for r in rows]}")
 
 
-def assert_unique(df: DataFrame, keys: list[str]) -> None:
-    assert_none(df.groupBy(*keys).count().where("count > 1"), f"repeated key {keys}")
+def repeated(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that stand more than once, with their number of rows."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def assert_flags(df: DataFrame, flags: list[str]) -> None:
-    """Flags are 0 or 1, never null."""
+def bad_flags(df: DataFrame, flags: list[str]) -> DataFrame:
+    """Rows with a flag other than 0 and 1."""
     bad = F.lit(False)
     for f in flags:
         bad = bad | F.coalesce(~F.col(f).isin(0, 1), F.lit(True))
-    assert_none(df.where(bad), f"flags {flags} other than 0 and 1")
+    return df.where(bad)
 
 
-def assert_invalid_is_null(df: DataFrame, flag: str, targets: list[str]) -> None:
-    """Rows not valid carry no target, so that nothing can leak."""
+def leaking(df: DataFrame, flag: str, targets: list[str]) -> DataFrame:
+    """Rows that are not valid and carry a target all the same."""
     some = F.lit(False)
     for t in targets:
         some = some | F.col(t).isNotNull()
-    assert_none(df.where((F.col(flag) == 0) & some), f"targets {targets} on rows with {flag} = 0")
+    return df.where((F.col(flag) == 0) & some)
+
+
+def not_implied(df: DataFrame, narrow: str, wide: str) -> DataFrame:
+    """Rows with the narrow flag and without the wide one."""
+    return df.where((F.col(narrow) == 1) & (F.coalesce(F.col(wide), F.lit(0)) != 1))
+
+
+def early_labels(df: DataFrame, label: str, feature: str) -> DataFrame:
+    """Rows whose label is not known after the feature, or of which either date is missing."""
+    return df.where(F.coalesce(F.col(label) <= F.col(feature), F.lit(True)))
+
+
+def split_clashes(df: DataFrame, key: str, split: str) -> DataFrame:
+    """Keys that stand in several splits, with their number."""
+    return df.where(F.col(split).isNotNull()).groupBy(key).agg(F.count_distinct(split).alias("n")).where("n > 1")
+
+
+def unmatched(left: DataFrame, right: DataFrame, keys: list[str], agree: list[str]) -> DataFrame:
+    """Left rows without a right one, or differing from it in one of the ``agree`` columns."""
+    renamed = right.withColumnsRenamed({c: f"_{c}" for c in agree}).withColumn("_hit", F.lit(1))
+    bad = F.col("_hit").isNull()
+    for c in agree:
+        bad = bad | ~F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return left.join(renamed, keys, "left").where(bad).select(*left.columns)
+
+
+def assert_unique(df: DataFrame, keys: list[str]) -> None:
+    assert_none(repeated(df, keys), f"repeated key {keys}")
+
+
+def assert_flags(df: DataFrame, flags: list[str]) -> None:
+    """Flags are 0 or 1, never null."""
+    assert_none(bad_flags(df, flags).select(*flags), f"flags {flags} other than 0 and 1")
+
+
+def assert_invalid_is_null(df: DataFrame, flag: str, targets: list[str]) -> None:
+    """Rows not valid carry no target, so that nothing can leak."""
+    assert_none(leaking(df, flag, targets), f"targets {targets} on rows with {flag} = 0")
 
 
 def assert_implies(df: DataFrame, narrow: str, wide: str) -> None:
-    assert_none(df.where((F.col(narrow) == 1) & (F.col(wide) != 1)), f"{narrow} without {wide}")
+    assert_none(not_implied(df, narrow, wide), f"{narrow} without {wide}")
 
 
 def assert_same_version(frames: list[DataFrame], column: str) -> str:
@@ -138,11 +177,11 @@ def assert_same_version(frames: list[DataFrame], column: str) -> str:
 
 
 def assert_label_after_feature(df: DataFrame, label: str, feature: str) -> None:
-    assert_none(df.where(F.coalesce(F.col(label) <= F.col(feature), F.lit(True))), f"{label} not after {feature}")
+    assert_none(early_labels(df, label, feature), f"{label} not after {feature}")
 
 
 def assert_one_split(df: DataFrame, key: str, split: str) -> None:
-    assert_none(df.where(F.col(split).isNotNull()).groupBy(key).agg(F.count_distinct(split).alias("n")).where("n > 1"), f"{key} in several splits")
+    assert_none(split_clashes(df, key, split), f"{key} in several splits")
 
 
 def checked_join(left: DataFrame, right: DataFrame, keys: list[str], agree: list[str] | None = None) -> DataFrame:

@@ -46,7 +46,7 @@ def head_outputs(spark: SparkSession, folder: str) -> DataFrame:
 
 def layer_distribution(spark: SparkSession, folder: str) -> DataFrame:
     out = probes.layer_distribution(head(spark, folder), ["logit_margin_1_minus_0", "class_1_prob"])
-    return out.select("layer", "variable", "n", _r("mean"), _r("std"), _r("q05"), _r("q50"), _r("q95"), _r("entropy"), _r("saturated_share"))
+    return out.select("layer", "variable", "n", _r("mean"), _r("std"), _r("q05"), _r("q50"), _r("q95"), _r("entropy"), _r("saturated_share"), _r("near_half_share"))
 
 
 def layer_transitions(spark: SparkSession, folder: str) -> DataFrame:
@@ -227,7 +227,7 @@ h AS (SELECT *, 1 / (1 + exp(-m)) AS p1, 1 / (1 + exp(m)) AS p0, CAST(m > 0 AS I
 
 def _dist(v: str, name: str) -> str:
     q = lambda p: f"round(quantile_cont({v}, {p}), 6)"
-    return f"SELECT layer, '{name}' AS variable, count(*) AS n, round(avg({v}), 6) AS mean, round(stddev_samp({v}), 6) AS std, {q(0.05)} AS q05, {q(0.5)} AS q50, {q(0.95)} AS q95, round(avg(-(p0 * ln(greatest(p0, 1e-12)) + p1 * ln(greatest(p1, 1e-12)))), 6) AS entropy, round(avg(CAST(greatest(p0, p1) > 0.99 AS DOUBLE)), 6) AS saturated_share FROM h GROUP BY 1"
+    return f"SELECT layer, '{name}' AS variable, count(*) AS n, round(avg({v}), 6) AS mean, round(stddev_samp({v}), 6) AS std, {q(0.05)} AS q05, {q(0.5)} AS q50, {q(0.95)} AS q95, round(avg(-(p0 * ln(greatest(p0, 1e-12)) + p1 * ln(greatest(p1, 1e-12)))), 6) AS entropy, round(avg(CAST(greatest(p0, p1) > 0.99 AS DOUBLE)), 6) AS saturated_share, round(avg(CAST(p1 BETWEEN 0.45 AND 0.55 AS DOUBLE)), 6) AS near_half_share FROM h GROUP BY 1"
 
 
 _COLS = ["ID", "STOCK_CODE", "ORGAN_NAME", "AUTHOR_NAME", "FORECAST_NP", "REPORT_YEAR", "CURRENCY"]
