@@ -117,7 +117,7 @@ def pooling(spark: SparkSession, folder: str) -> DataFrame:
     """The layers 1 to 12 of a vector as its tokens, a third of them masked out: first token and masked mean."""
     rows = layers(spark, folder).where("layer > 0").withColumn("m", ((F.col("layer") + F.col("label")) % 3 > 0).cast("double"))
     text = rows.groupBy("representation_row").agg(F.array_sort(F.collect_list(F.struct("layer", "m", "vec"))).alias("t"))  # twelve tokens
-    return text.select("representation_row", F.round(probes.pooled(F.col("t.vec"), F.col("t.m"), "first")[0], 6).alias("first_0"), *[F.round(probes.pooled(F.col("t.vec"), F.col("t.m"), "mean")[k], 8).alias(f"mean_{k}") for k in (0, 4)])
+    return text.select("representation_row", F.round(probes.pooled(F.col("t.vec"), F.col("t.m"), "first")[0].cast("double"), 6).alias("first_0"), *[F.round(probes.pooled(F.col("t.vec"), F.col("t.m"), "mean")[k], 8).alias(f"mean_{k}") for k in (0, 4)])
 
 
 def universe_weights(spark: SparkSession, folder: str) -> DataFrame:
