@@ -439,9 +439,9 @@ def resolve(spellings: DataFrame, contexts: DataFrame, field: str, readings: dic
     roots = settled(roots, f"{field}-roots")
     complete = keyed.join(roots.hint("merge"), "key").select("name", "n", F.col("root").alias("entity"))
     # incomplete spellings
-    loose = names.where("size(probes) > 0").select(F.col("unit").alias("name"), "tokens", F.explode("probes").alias("probe")).distinct()
+    loose = names.where("size(probes) > 0").select(F.col("unit").alias("name"), "tokens", "keys", F.explode("probes").alias("probe")).distinct()
     of_unit = contexts.join(names.select("name", "unit").hint("merge"), "name").select(F.col("unit").alias("name"), "ctx").distinct()
-    offers = loose.join(entries.select("probe", F.col("key").alias("target"), F.col("tokens").alias("tb")).hint("merge"), "probe")
+    offers = loose.join(entries.select("probe", F.col("key").alias("target"), F.col("tokens").alias("tb")).hint("merge"), "probe").where(~F.array_contains("keys", F.col("target")))
     # a nickname is made of the first character of the given name rather than of a later one
     later = F.max(F.when(F.col("probe").like("N:%") & (F.get(F.split("tb", " "), F.lit(1)) != F.get(F.split("tokens", " "), F.lit(1))), 0.1).otherwise(0.0))
     offers = offers.groupBy("name", "tokens", "target", "tb").agg(later.alias("later"))

@@ -21,7 +21,7 @@ from halyard.operators.sampling import hash_sample
 
 STATES = ["prose", "table", "link", "tag", "menu", "stuffed"]
 PROSE, TABLE, LINK, TAG, MENU, STUFFED = range(6)
-SAMPLE, ROUNDS, REACH, HOLD, ANCHOR = 3_000, 3, 120, 3.0, 20.0
+SAMPLE, ROUNDS, REACH, HOLD, ANCHOR = 3_000, 3, 120, 1.0, 50.0
 
 # fixed values: common function words and grammatical characters
 _HAN_FUNCTION = "的了在与为并使由将而则其及和是有从对被后前时已可仍以约较因不我们至令但若本未也都很这那之"
@@ -202,7 +202,8 @@ def seed_labels(x: np.ndarray) -> np.ndarray:
     out[(x[:, _CODE] == 2) & (x[:, _DEC] == 0) & (x[:, _STOP] != 3) & (x[:, _SIZE] >= 1)] = TAG
     out[(x[:, _LAT] == 1) & plain & (x[:, _SIZE] >= 1) & (x[:, _STOP] == 0)] = TAG
     out[x[:, _HEAD] == 1] = PROSE  # a headline
-    out[(x[:, _AGAIN] == 3) & (x[:, _SIZE] >= 1)] = STUFFED
+    sentence = (x[:, _FUNC] == 3) & (x[:, _STOP] % 2 == 1)  # many function words, and ends as one: repeated wording, but wording
+    out[(x[:, _AGAIN] == 3) & (x[:, _SIZE] >= 1) & ~sentence] = STUFFED
     out[(x[:, _DEC] >= 3) | ((x[:, _DEC] == 2) & (x[:, _FUNC] == 0)) | ((x[:, _LIST] == 2) & (x[:, _PART] == 0) & (x[:, _AGAIN] <= 1))] = TABLE
     out[x[:, _ADDR] == 2] = LINK
     return out
