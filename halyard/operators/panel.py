@@ -57,7 +57,7 @@ def wide_panel(long: DataFrame, date: str, stock: str, value: str, stocks: list[
 
 def attach_forward_returns(stock_day: DataFrame, returns: DataFrame, calendar: DataFrame, horizons: list[int], primary: int) -> DataFrame:
     """Adds compounded forward returns per horizon, the date each ends on, and the centred cross-sectional rank of the primary one."""
-    ahead = compound_forward(returns, horizons)
+    ahead = compound_forward(returns, horizons, dense=False)
     out = stock_day
     for h in horizons:
         out = lookup(out, ahead, "trading_date", "symbol", f"fwd_{h}", f"return_fut{h}d")

@@ -48,12 +48,14 @@ def stacked(parts: list[tuple[DataFrame, object, str, str, object]]) -> DataFram
 
 def economic_validation(
     fy_labels: DataFrame, confirmed: DataFrame, daily: DataFrame, actuals: DataFrame, weights: DataFrame, returns: DataFrame, specific: DataFrame, calendar: DataFrame, years: list[int], windows: list[int], index_code: str,
-    event_window: int = 20, specific_window: int = 10, quantiles: int = 5, lookback_days: int = 180, min_orgs: int = 4, coverage: float = 0.95,
+    event_window: int = 20, specific_window: int = 10, quantiles: int = 5, lookback_days: int = 180, min_orgs: int = 4, coverage: float = 0.95, checks: dict[str, DataFrame] | None = None, least_close: float = 0.99,
 ) -> dict[str, DataFrame]:
     """Universes, surprise, analyst and revision samples with their returns, associations and quantiles of every analysis, summary and zero audit.
 
-    ``event_window`` is one of ``windows``. A year without an earlier snapshot of the index is an error. All associations run as one
-    aggregation over a stacked table, as do all quantiles.
+    ``event_window`` is one of ``windows``. A year without an earlier snapshot of the index is an error. ``checks`` may hold delivered forward panels
+    ``returns`` (of ``event_window`` days) and ``specific`` (of ``specific_window`` days): all cells of the compounded panels are compared with them, and a share
+    of close cells below ``least_close`` is an error. All associations run as one aggregation over a stacked table, as do all quantiles.
+    Samples only ever need the stocks of the universes, so the panels are cut to these before anything is joined to them.
     """
     if event_window not in windows:
         raise ValueError("event_window must be one of windows")
@@ -63,11 +65,23 @@ def economic_validation(
     missing = sorted(set(years) - {r.year for r in universes.select("year").distinct().collect()})
     if missing:
         raise GateError(f"no index snapshot before {missing}")
-    forward = materialize(economics.compound_forward(returns, windows).select("date", "stock_code", *[f"fwd_{h}" for h in windows]), "forward")
-    own = materialize(economics.compound_forward(specific, [specific_window]).select("date", "stock_code", f"fwd_{specific_window}"), "forward-specific")
-    index = economics.weighted_index_return(weights, returns, coverage).select("date", F.lit(index_code).alias("stock_code"), F.col("index_return").alias("ret"))
+    audits = []
+    for name, panel, h in (("returns", returns, event_window), ("specific", specific, specific_window)):
+        if checks and name in checks:
+            made = economics.compound_forward(panel, [h], dense=False).select("date", "stock_code", F.col(f"fwd_{h}").alias("ret"))
+            audits.append(materialize(economics.closeness(made, checks[name], ["date", "stock_code"], "ret", rtol=1e-6).withColumn("panel", F.lit(name)), "closeness"))
+            found = audits[-1].first()
+            if not found.n or found.share_close < least_close:
+                raise GateError(f"compounded {name} differ from those delivered: {found.asDict()}")
+    members = universes.select("stock_code").distinct()
+    days = materialize(economics._days(returns), "panel-days")
+    mine = lambda panel: materialize(panel.join(F.broadcast(members), "stock_code", "left_semi"), "universe-panel")  # the members of an index, a few thousand at most
+    whole, returns, specific = returns, mine(returns), mine(specific)
+    forward = materialize(economics.compound_forward(returns, windows, False, days).select("date", "stock_code", *[f"fwd_{h}" for h in windows]), "forward")
+    own = materialize(economics.compound_forward(specific, [specific_window], False, days).select("date", "stock_code", f"fwd_{specific_window}"), "forward-specific")
+    index = economics.weighted_index_return(weights, whole, coverage).select("date", F.lit(index_code).alias("stock_code"), F.col("index_return").alias("ret"))
     index = materialize(index, "index-returns")
-    ahead = materialize(economics.compound_forward(index, windows).select("date", "stock_code", *[f"fwd_{h}" for h in windows]), "forward-index")
+    ahead = materialize(economics.compound_forward(index, windows, False, days).select("date", "stock_code", *[f"fwd_{h}" for h in windows]), "forward-index")
 
     surprise = economics.actual_surprises(economics.in_universe(actuals, universes, F.col("fy")), daily, lookback_days, min_orgs)
     surprise = session_on_or_after(surprise, F.col("actual_known_date"), calendar, "event_date").withColumn("index_code", F.lit(index_code))
@@ -110,7 +124,8 @@ def economic_validation(
     valid_share = lambda df, stage, ok: df.agg(F.lit(stage).alias("stage"), F.count(F.lit(1)).alias("rows"), F.count_if(ok).alias("valid"))
     audit = valid_share(universes, "locked_universe", F.lit(True)).unionByName(valid_share(surprise, "actual_surprise", F.col("invalid_reason").isNull()))
     audit = audit.unionByName(valid_share(analyst, "analyst_information", F.col("surprise").isNotNull())).unionByName(valid_share(revision, "consensus_revision", F.col("specific_return_event_window").isNotNull()))
-    return {
+    consistency = {"consistency": audits[0] if len(audits) == 1 else audits[0].unionByName(audits[1])} if audits else {}
+    return consistency | {
         "universes": universes, "surprise_samples": surprise, "analyst_samples": analyst, "revision_samples": revision,
         "association": economics.association(long, "x", "y", names, "cluster"), "quantiles": economics.quantile_summary(groups, "x", "y", quantiles, names, ["tie"]),
         "analyst_summary": analyst_summary(analyst), "zero_audit": zero_audit(revision), "coverage": audit.withColumn("rate", F.try_divide("valid", "rows")),
