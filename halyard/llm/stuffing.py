@@ -21,7 +21,7 @@ from halyard.operators.sampling import hash_sample
 
 STATES = ["prose", "table", "link", "tag", "menu", "stuffed"]
 PROSE, TABLE, LINK, TAG, MENU, STUFFED = range(6)
-SAMPLE, ROUNDS, REACH, HOLD, ANCHOR = 3_000, 3, 120, 1.0, 50.0
+SAMPLE, ROUNDS, REACH, HOLD, ANCHOR = 3_000, 3, 120, 1.0, 0.1
 
 # fixed values: common function words and grammatical characters
 _HAN_FUNCTION = "的了在与为并使由将而则其及和是有从对被后前时已可仍以约较因不我们至令但若本未也都很这那之"
@@ -293,8 +293,8 @@ class LineModel:
 
 
 def train(texts: list[str], rounds: int = ROUNDS, lines: int = 200, hold: float = HOLD, anchor: float = ANCHOR) -> LineModel:
-    """Seed labels, then ``rounds`` of decoding and re-estimation, in which the seeds count ``hold`` times, and lines of the
-    labelled examples ``anchor`` times as much as decoded ones, so that the states keep their meaning whatever texts were drawn. Of one text at most ``lines`` lines take part, so that no
+    """Seed labels, then ``rounds`` of decoding and re-estimation, in which the seeds count ``hold`` times as much as decoded lines, and the lines of the
+    labelled examples together ``anchor`` times as much as all drawn lines, so that the states keep their meaning whatever texts were drawn. Of one text at most ``lines`` lines take part, so that no
     single long text makes the model."""
     docs, _, symbols = line_shapes(texts)
     first = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
@@ -302,6 +302,7 @@ def train(texts: list[str], rounds: int = ROUNDS, lines: int = 200, hold: float
     docs, symbols = docs[used], symbols[used]
     seeds = _counts(docs, symbols, seed_labels(symbols))
     shown = _counts(*_example_lines())
+    anchor *= len(docs) / shown[2].sum()
     model = LineModel([s + anchor * e for s, e in zip(seeds, shown)])
     for _ in range(rounds):
         found = _counts(docs, symbols, model.decode(docs, symbols))
