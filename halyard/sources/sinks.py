@@ -232,7 +232,7 @@ def read_window(df: DataFrame, start: str, end: str, date: str = "available_date
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
-    df.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").mode("errorifexists").json(path)
+    df.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").option("ignoreNullFields", False).mode("errorifexists").json(path)
 
 
 def source_coverage(config: dict, manifests: list[dict], name: str) -> tuple[str, str]:
