@@ -129,6 +129,20 @@ def near_duplicate_groups(reports: DataFrame, ident: str, text: Column, threshol
     return out.select("ident", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", "n_members")
 
 
+def near_duplicate_links(reports: DataFrame, ident: str, text: Column, threshold: float = 0.6) -> tuple[DataFrame, DataFrame]:
+    """(membership, links): ident with class_id, the least ident with the same canonical text; and pairs of classes (class_a < class_b, similarity) of
+    at least the threshold. Together they say what ``near_duplicate_pairs`` lists, in as many rows as there are reports and different similar texts.
+
+    Texts without a sequence and rows with a null ident or text are left out.
+    """
+    members, pairs = class_pairs(signed(reports, ident, text), threshold)
+    members = materialize(members, "members")
+    least = members.groupBy("tkey").agg(F.min("ident").alias("class_id"))
+    a, b = (least.select(F.col("tkey").alias(t), F.col("class_id").alias(c)) for t, c in (("ta", "x"), ("tb", "y")))
+    links = pairs.join(a, "ta").join(b, "tb").where("x <> y").groupBy(F.least("x", "y").alias("class_a"), F.greatest("x", "y").alias("class_b")).agg(F.max("similarity").alias("similarity"))
+    return members.join(least, "tkey").select("ident", "class_id").distinct(), links
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """Connected components of (a, b) as (a, root): alternating large-star and small-star rounds until nothing changes.
 

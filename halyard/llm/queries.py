@@ -57,6 +57,15 @@ def p7_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicate_groups(*_titled(spark, folder))
 
 
+def p7_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Similar pairs of different texts, each text by the least ID that has it; ``p7_classes`` says which IDs these are."""
+    return neardup.near_duplicate_links(*_titled(spark, folder))[1]
+
+
+def p7_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicate_links(*_titled(spark, folder))[0]
+
+
 def p7_copies(spark: SparkSession, folder: str) -> DataFrame:
     """Reports whose canonical text others have too, with the number of reports that have it."""
     return neardup.near_duplicate_groups(*_titled(spark, folder)).where("n_copies > 1").select("ident", "n_copies")
@@ -154,6 +163,8 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_groups": p7_groups,
     "p7_copies": p7_copies,
+    "p7_links": p7_links,
+    "p7_classes": p7_classes,
     "p8_packed": p8_packed,
     "p8_fill": p8_fill,
     "p8_placed": p8_placed,
@@ -175,6 +186,8 @@ SELECT DISTINCT e.report_id AS eval_id, t.report_id AS train_id FROM c e JOIN c
     "p3_rebuilt": "SELECT report_id, length(text) AS n_chars, md5(text) AS digest, 1 AS within_limit, 1 AS overlaps FROM reports WHERE text IS NOT NULL",
     "p7_copies": f"""WITH c AS (SELECT DISTINCT ID AS ident, {_CANON.format("coalesce(TITLE, '') || CONTENT")} AS k FROM raw_reports WHERE CONTENT IS NOT NULL AND ID IS NOT NULL)
 SELECT * FROM (SELECT ident, count(*) OVER (PARTITION BY k) AS n_copies FROM c WHERE length(k) >= 5) WHERE n_copies > 1""",
+    "p7_classes": f"""WITH c AS (SELECT DISTINCT ID AS ident, {_CANON.format("coalesce(TITLE, '') || CONTENT")} AS k FROM raw_reports WHERE CONTENT IS NOT NULL AND ID IS NOT NULL)
+SELECT DISTINCT ident, min(ident) OVER (PARTITION BY k) AS class_id FROM c WHERE length(k) >= 5""",
     "p8_placed": "SELECT spec_name, (SELECT count(*) FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL) AS documents, 0 AS overfull, 0 AS cut_without_need, 0 AS gaps FROM pack_specs",
     "p9_targets_met": "SELECT source, 1 AS share_met, 1 AS repeats_met FROM mix_targets",
     "p10_sizes": "SELECT doc_id, length(coalesce(text, '')) AS n_chars, 1 AS whole FROM documents",

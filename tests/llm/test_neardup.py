@@ -96,6 +96,19 @@ def test_groups_are_components_and_copies_cost_one_row_each(spark):
     assert got["copy3"].n_copies == 31
 
 
+def test_links_and_membership_say_what_the_pairs_list(spark):
+    rows = corpus(6, 8)
+    rows += [(f"copy{k}", rows[0][1]) for k in range(4)] + [("a0", rows[7][1] + "！"), (None, "x" * 9), ("n", None)]
+    df = spark.createDataFrame(rows, "i string, t string")
+    members, links = neardup.near_duplicate_links(df, "i", F.col("t"))
+    of = {r.ident: r.class_id for r in members.collect()}
+    near = {(r.class_a, r.class_b): r.similarity for r in links.collect()}
+    got = {(a, b) for a in of for b in of if a < b and (of[a] == of[b] or tuple(sorted((of[a], of[b]))) in near)}
+    assert got == set(brute([r for r in rows if r[0] and r[1]])) and of["copy3"] == min(["copy0", rows[0][0]])
+    empty = neardup.near_duplicate_links(df.limit(0), "i", F.col("t"))
+    assert empty[0].count() == 0 and empty[1].count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     n = 60
     df = spark.createDataFrame([(f"{k:03d}", f"{k + 1:03d}") for k in range(n)] + [("x", "y")], "a string, b string")
