@@ -179,3 +179,25 @@ ORACLE["partial_rank_ic"] = (
     + f"g AS (SELECT month, n_obs, {_part('c01', 'c02', 'c12')} AS a, {_part('c03', 'c02', 'c23')} AS b, {_part('c13', 'c12', 'c23')} AS d FROM c) "
     + f"SELECT {_i('month')} AS month, n_obs, round(CASE WHEN n_obs >= 20 THEN {_part('a', 'b', 'd')} END, 6) AS partial_ic FROM g"
 )
+
+
+def _partials(factor: str) -> str:
+    """CTEs r_, c_, g_ and ic_ of a factor: partial rank correlation with the target, size and row count taken out, by month."""
+    names = [factor, "target", "size", "n_texts"]
+    pairs = ", ".join(f"{_CORR.format('r_' + names[i], 'r_' + names[j])} AS c{i}{j}" for i in range(4) for j in range(i + 1, 4))
+    return (
+        f"r_{factor}_ AS ({_ranks(names, 'month', 'f')}), c_{factor}_ AS (SELECT month, count(*) AS n_obs, {pairs} FROM r_{factor}_ GROUP BY 1), "
+        f"g_{factor}_ AS (SELECT month, n_obs, {_part('c01', 'c02', 'c12')} AS a, {_part('c03', 'c02', 'c23')} AS b, {_part('c13', 'c12', 'c23')} AS d FROM c_{factor}_), "
+        f"ic_{factor}_ AS (SELECT '{factor}' AS factor, month, CASE WHEN n_obs >= 20 THEN {_part('a', 'b', 'd')} END AS v FROM g_{factor}_)"
+    )
+
+
+# two-sided normal p-value by the complementary error function: fixed values, coefficients of its Chebyshev approximation
+_P_VALUE = "u * exp(-x * x - 1.26551223 + u * (1.00002368 + u * (0.37409196 + u * (0.09678418 + u * (-0.18628806 + u * (0.27886807 + u * (-1.13520398 + u * (1.48851587 + u * (-0.82215223 + u * 0.17087277)))))))))"
+ORACLE["incremental_ic"] = (
+    _P + f", {_partials('f1')}, {_partials('f2')}, ic AS (SELECT * FROM ic_f1_ UNION ALL SELECT * FROM ic_f2_), "
+    + _nw("ic", "factor", "month", "v", 4)
+    + f", q0 AS (SELECT *, abs(t) / sqrt(2.0) AS x FROM nw_), q1 AS (SELECT *, 1 / (1 + 0.5 * x) AS u FROM q0), q2 AS (SELECT *, {_P_VALUE} AS p FROM q1), "
+    + "q3 AS (SELECT *, p * count(p) OVER () / rank() OVER (ORDER BY p) AS raw FROM q2) "
+    + "SELECT factor, n, round(mean, 6) AS mean, round(se, 6) AS se, round(t, 6) AS t, round(p, 5) AS p, round(least(1, min(raw) OVER (ORDER BY p DESC)), 5) AS q_value FROM q3"
+)
