@@ -5,7 +5,7 @@ Vectors come as a table (representation_row, layer, vec); whatever made them is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,6 +49,30 @@ def masked_mean(tokens: Column, mask: Column) -> Column:
     return total / F.greatest(F.aggregate(mask, F.lit(0.0), lambda s, m: s + m), F.lit(1.0))
 
 
+def representations(texts: DataFrame, row: str, text: str, load: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 64) -> DataFrame:
+    """Vectors by layer of every text: (representation_row, layer, vec). ``load`` runs once in each task and gives the encoder, which turns a list of texts
+    into an array texts x layers x width; texts go to it in batches of ``batch``, longest first within an Arrow batch, so that a batch pads little.
+
+    Null texts are left out. Whatever model the encoder holds is the caller's; an encoder that changes the number of texts is an error.
+    """
+    source = texts.select(F.col(row).cast("long").alias("representation_row"), F.col(text).alias("_text")).where("_text is not null")
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = None
+        for part in batches:
+            model = model or load()
+            part = part.assign(_n=part["_text"].str.len()).sort_values("_n", ascending=False)
+            for at in range(0, len(part), batch):
+                piece = part.iloc[at : at + batch]
+                made = np.asarray(model(piece["_text"].tolist()), np.float32)
+                if made.ndim != 3 or len(made) != len(piece):
+                    raise ValueError(f"the encoder made {made.shape} of {len(piece)} texts")
+                n, layers, _ = made.shape
+                yield pd.DataFrame({"representation_row": np.repeat(piece["representation_row"].to_numpy(), layers), "layer": np.tile(np.arange(layers, dtype=np.int32), n), "vec": list(made.reshape(n * layers, -1))})
+
+    return source.mapInPandas(encode, "representation_row long, layer int, vec array<float>")
+
+
 def pooled(tokens: Column, mask: Column, kind: str) -> Column:
     """A text's vector from those of its tokens (an array of arrays): the first token's, or the mean of the tokens with mask 1 (zeros if there are none)."""
     if kind == "first":

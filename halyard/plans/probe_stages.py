@@ -82,6 +82,21 @@ def factor_validation(reference: DataFrame, target: DataFrame, label: str, date:
     return {"factors": fitted, "daily_ic": ics, "summary": evaluation.ic_summary(ics, ["factor"]), "portfolios": books, "spreads": evaluation.spread_test(books, ["factor"], date), "incremental": evaluation.incremental_ic(fitted, names, label, controls, date, least=least)}
 
 
+def run_representations(spark: SparkSession, texts: DataFrame, load, out: str, model: str, layers: int = 13) -> dict:
+    """Vectors of all texts as a stage: an output of the same texts and model is used again, one of others is an error, and a run that fails leaves nothing.
+
+    ``texts`` has representation_row (unique), report_id and text; ``model`` names the encoder that ``load`` gives. Every text must come out with all layers.
+    """
+    profile.assert_unique(texts, ["representation_row"])
+    expected = {"stage": "representations", "model": model, "layers": layers, "texts": profile.frame_fingerprint(texts, ["representation_row", "report_id", "text"])}
+    if sinks.reuse_exact(spark, out, expected, list(expected)):
+        return sinks.read_manifest(spark, f"{out}/manifest.json")
+    vectors = materialize(probes.representations(texts, "representation_row", "text", load), "vectors")
+    counts = texts.where("text is not null").select("representation_row").join(vectors.groupBy("representation_row").agg(F.count_distinct("layer").alias("n")), "representation_row", "left")
+    profile.assert_none(counts.where(f"coalesce(n, 0) <> {layers}"), "texts without all layers")
+    return sinks.write_bundle(spark, out, {"vectors": vectors, "metadata": texts.drop("text")}, expected, replace=False, order={"metadata": ["representation_row"]})
+
+
 def align_targets(spark: SparkSession, dataset: str, metadata: DataFrame, out: str, splits: list[str]) -> dict:
     """Targets of a probe dataset with the row of their text's vector, written once: (report_id, task_id) is unique and every target has a row.
 

@@ -160,3 +160,21 @@ def test_sentiment_probe(spark, probed):
     tuning = {(r.layer, r.c): r.validation_auc for r in spark.read.parquet(f"{root}/s/a/tuning.parquet").collect()}
     assert got["layer_logistic", 12] == max(tuning[12, c] for c in (0.01, 1.0)) and len(tuning) == 4
     assert spark.read.parquet(f"{root}/s/a/compression.parquet").first().ratio > 0
+
+
+def test_representations_stage(spark, tmp_path):
+    def load_encoder(layers=13):
+        return lambda texts: [[[len(t), t.count("a"), k] for k in range(layers)] for t in texts]
+
+    rows = [(k, f"r{k}", "a" * (k % 7) + "b" * (k % 5)) for k in range(300)] + [(300, "null", None)]
+    texts = spark.createDataFrame(rows, "representation_row long, report_id string, text string")
+    out = f"{tmp_path}/runs/vectors"
+    assert probe_stages.run_representations(spark, texts, load_encoder, out, "toy")["rows"] == {"vectors": 3900, "metadata": 301}
+    got = {(r.representation_row, r.layer): list(r.vec) for r in spark.read.parquet(f"{out}/vectors.parquet").collect()}
+    assert all(got[k, n] == [len(t), t.count("a"), n] for k, _, t in rows[:300] for n in range(13))
+    assert probe_stages.run_representations(spark, texts, None, out, "toy")["rows"]["vectors"] == 3900  # used again
+    with pytest.raises(ValueError, match="other values"):
+        probe_stages.run_representations(spark, texts.limit(5), load_encoder, out, "toy")
+    with pytest.raises(GateError):
+        probe_stages.run_representations(spark, texts, lambda: load_encoder(12), f"{tmp_path}/runs/short", "toy")
+    assert not sinks.exists(spark, f"{tmp_path}/runs/short")
