@@ -29,6 +29,52 @@ def array_mad(values: Column, center: Column) -> Column:
     return middle(F.array_sort(F.transform(values, lambda x: F.abs(x - center))))
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it; within lambdas the optimizer shares nothing."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _centre(s: Column, gap: Column, n: Column) -> Column:
+    """Median and mad of the n values of sorted ``s`` that stay without the one at place ``gap``."""
+
+    def at(i: Column) -> Column:
+        return F.get(s, i + (i >= gap).cast("int"))
+
+    half, last = F.shiftright(n, 1), F.shiftright(n - 1, 1)
+
+    def narrowed(c: Column) -> Column:
+        # the half + 1 values nearest to c stand side by side: the first of them is found by halving, n - half places to begin at
+        def step(acc: Column, _: Column) -> Column:
+            mid = F.shiftright(acc["lo"] + acc["hi"], 1)
+            right = (acc["lo"] < acc["hi"]) & (c - at(mid) > at(mid + half + 1) - c)
+            return F.when(right, F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi"))).otherwise(F.struct(acc["lo"].alias("lo"), mid.alias("hi")))
+
+        rounds = F.sequence(F.lit(1), F.ceil(F.log2((n - half).cast("double"))).cast("int") + 1)
+        return F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), (n - half - 1).alias("hi")), step, lambda acc: acc["lo"])
+
+    def mad(c: Column) -> Column:
+        def ends(w: Column) -> Column:
+            return bound(F.struct(F.abs(at(w) - c).alias("l"), F.abs(at(w + half) - c).alias("r")), lambda e: (F.greatest(e["l"], e["r"]) + lower(w, e)) / 2.0)
+
+        def lower(w: Column, e: Column) -> Column:
+            # an even count has two middle deviations: the smaller one is what stays at the ends without the farthest value
+            inner = F.when(e["l"] > e["r"], F.greatest(F.abs(at(w + 1) - c), e["r"])).otherwise(F.greatest(e["l"], F.abs(at(w + half - 1) - c)))
+            return F.when(half == last, F.greatest(e["l"], e["r"])).otherwise(inner)
+
+        return bound(narrowed(c), ends)
+
+    return bound((at(last) + at(half)) / 2.0, lambda c: F.struct(c.alias("median"), mad(c).alias("mad")))
+
+
+def sorted_without(s: Column, x: Column) -> Column:
+    """Median and mad (unscaled, as ``array_median`` and ``array_mad``) of a sorted array of numbers without one value ``x`` of it (null: with all).
+
+    No sort and no copy, so that many can be left out in turn of one long array. NULL if nothing stays.
+    """
+    gap = F.coalesce(F.array_position(s, x).cast("int") - 1, F.size(s))
+    return bound(gap, lambda g: bound(F.size(s) - (g < F.size(s)).cast("int"), lambda n: F.when(n > 0, _centre(s, g, n))))
+
+
 def average_rank(value: Column, *keys: str) -> Column:
     """1-based rank within keys; ties share their mean rank."""
     by = Window.partitionBy(*keys).orderBy(value)

@@ -21,23 +21,29 @@ def _month(d: Column) -> Column:
     return F.year(d) * 12 + F.month(d)
 
 
-def known_forecasts(dates: DataFrame, daily: DataFrame, keep_days: int, inclusive: bool, stale_days: int | None) -> DataFrame:
-    """Per (stock_code, fy, day) of ``dates``: array ``known`` of (org_id, available_date, publish_date, forecast), one per organisation.
+def forecast_hits(asked: DataFrame, daily: DataFrame, keep_days: int, inclusive: bool, stale_days: int | None) -> DataFrame:
+    """Rows of ``asked`` (stock_code, fy, day and whatever else) times the forecasts known on the day, one per organisation.
 
     The latest event before the day (or on it, if ``inclusive``). With ``stale_days`` it must be published no more than so
     many days before; otherwise events up to ``keep_days`` old are returned, whatever the caller makes of their age.
+    Adds org_id, event_date, publish_date and forecast.
     """
     by_org = Window.partitionBy("stock_code", "fy", "org_id").orderBy("available_date")
     nxt = F.lead("available_date").over(by_org)
     start = F.col("available_date") if inclusive else F.date_add("available_date", 1)
     age = F.date_add("publish_date", stale_days) if stale_days is not None else F.greatest(F.date_add("available_date", keep_days), F.date_add("publish_date", keep_days))
     until = F.date_sub(nxt, 1) if inclusive else nxt
-    spans = daily.withColumns({"_from": start, "_to": F.least(until, age)}).where("_from <= _to")
+    spans = daily.withColumns({"_from": start, "_to": F.least(until, age)}).where("_from <= _to").withColumnRenamed("available_date", "event_date")
     months = F.sequence(_month(F.col("_from")), _month(F.col("_to")))
     spread = spans.withColumn("_m", F.explode(months))
-    asked = dates.select("stock_code", "fy", "day").distinct().withColumn("_m", _month(F.col("day")))
-    hits = asked.join(spread, ["stock_code", "fy", "_m"]).where("day between _from and _to")
-    return hits.groupBy("stock_code", "fy", "day").agg(F.collect_list(F.struct("org_id", "available_date", "publish_date", "forecast")).alias("known"))
+    return asked.withColumn("_m", _month(F.col("day"))).join(spread, ["stock_code", "fy", "_m"]).where("day between _from and _to").drop("_m", "_from", "_to")
+
+
+def known_forecasts(dates: DataFrame, daily: DataFrame, keep_days: int, inclusive: bool, stale_days: int | None) -> DataFrame:
+    """Per (stock_code, fy, day) of ``dates``: array ``known`` of (org_id, available_date, publish_date, forecast), one per organisation,
+    as in ``forecast_hits``."""
+    hits = forecast_hits(dates.select("stock_code", "fy", "day").distinct(), daily, keep_days, inclusive, stale_days)
+    return hits.groupBy("stock_code", "fy", "day").agg(F.collect_list(F.struct("org_id", F.col("event_date").alias("available_date"), "publish_date", "forecast")).alias("known"))
 
 
 def pre_consensus(report_fy: DataFrame, daily: DataFrame, coverage_start: str, lookback_days: int = 180, min_peers: int = 3) -> DataFrame:

@@ -1,9 +1,11 @@
 import datetime as dt
+import random
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from halyard.functions import stats
 from halyard.operators import canonical, consensus, labels
 
 D = dt.date
@@ -125,3 +127,18 @@ def test_first_disclosure(spark):
     clean, conflicts = labels.first_disclosures(good)
     assert [(r.stock_code, r.fy, r.actual_np, r.later_revisions) for r in clean.collect()] == [("000001", 2024, 100.0, 1)]
     assert {r.stock_code for r in conflicts.collect()} == {"301699"}
+
+
+def test_left_out_of_a_sorted_array(spark):
+    rnd = random.Random(3)
+    rows = []
+    for _ in range(400):
+        v = sorted(rnd.choice([rnd.randint(0, 6) / 2, rnd.gauss(0, 3)]) for _ in range(rnd.randint(0, 30)))
+        x = rnd.choice(v) if v and rnd.random() < 0.7 else None
+        rest = list(v)
+        if x is not None:
+            rest.remove(x)
+        rows.append((v, x, rest))
+    df = spark.createDataFrame(rows, "v array<double>, x double, rest array<double>").withColumn("m", stats.array_median(F.col("rest")))
+    got = df.select("m", stats.array_mad(F.col("rest"), F.col("m")).alias("d"), stats.sorted_without(F.col("v"), F.col("x")).alias("g"))
+    assert got.where("g.median <=> m and g.mad <=> d").count() == 400
