@@ -1,62 +1,23 @@
-"""As-of peer consensus: for each row the latest forecast of every other organisation, bounded in age.
-
-Each forecast holds for the sessions after it until the organisation's next one or until it is too old. These intervals meet
-the distinct dates that ask for them in an equality join on (stock, fy, month), so a stock with a third of all rows spreads
-over its months; the organisations of one stock and date form a short array (bounded by the number of organisations), and the
-statistics without the asking organisation are array expressions.
-"""
+"""As-of peer consensus: for each row the latest forecast of every other organisation, bounded in age, and the scale by which it counts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.functions.scalars import finite
-from halyard.functions.stats import array_mad, array_median, grouped_median
+from halyard.functions.stats import grouped_median
+from halyard.operators.peers import with_peers
 
 MAD_TO_SIGMA, EPS = 1.4826, 1e-6
 
 
-def _month(d: Column) -> Column:
-    return F.year(d) * 12 + F.month(d)
-
-
-def forecast_hits(asked: DataFrame, daily: DataFrame, keep_days: int, inclusive: bool, stale_days: int | None) -> DataFrame:
-    """Rows of ``asked`` (stock_code, fy, day and whatever else) times the forecasts known on the day, one per organisation.
-
-    The latest event before the day (or on it, if ``inclusive``). With ``stale_days`` it must be published no more than so
-    many days before; otherwise events up to ``keep_days`` old are returned, whatever the caller makes of their age.
-    Adds org_id, event_date, publish_date and forecast.
-    """
-    by_org = Window.partitionBy("stock_code", "fy", "org_id").orderBy("available_date")
-    nxt = F.lead("available_date").over(by_org)
-    start = F.col("available_date") if inclusive else F.date_add("available_date", 1)
-    age = F.date_add("publish_date", stale_days) if stale_days is not None else F.greatest(F.date_add("available_date", keep_days), F.date_add("publish_date", keep_days))
-    until = F.date_sub(nxt, 1) if inclusive else nxt
-    spans = daily.withColumns({"_from": start, "_to": F.least(until, age)}).where("_from <= _to").withColumnRenamed("available_date", "event_date")
-    months = F.sequence(_month(F.col("_from")), _month(F.col("_to")))
-    spread = spans.withColumn("_m", F.explode(months))
-    return asked.withColumn("_m", _month(F.col("day"))).join(spread, ["stock_code", "fy", "_m"]).where("day between _from and _to").drop("_m", "_from", "_to")
-
-
-def known_forecasts(dates: DataFrame, daily: DataFrame, keep_days: int, inclusive: bool, stale_days: int | None) -> DataFrame:
-    """Per (stock_code, fy, day) of ``dates``: array ``known`` of (org_id, available_date, publish_date, forecast), one per organisation,
-    as in ``forecast_hits``."""
-    hits = forecast_hits(dates.select("stock_code", "fy", "day").distinct(), daily, keep_days, inclusive, stale_days)
-    return hits.groupBy("stock_code", "fy", "day").agg(F.collect_list(F.struct("org_id", F.col("event_date").alias("available_date"), "publish_date", "forecast")).alias("known"))
-
-
 def pre_consensus(report_fy: DataFrame, daily: DataFrame, coverage_start: str, lookback_days: int = 180, min_peers: int = 3) -> DataFrame:
     """Adds consensus_pre, mad_pre_abs, n_org_pre, history_window_complete and pre_invalid_reason.
 
     Reasons in order: conflicting_report_forecast, left_censored, insufficient_pre_peers. Values stay even where a reason stands.
     """
-    known = known_forecasts(report_fy.select("stock_code", "fy", F.col("available_date").alias("day")), daily, lookback_days, False, lookback_days)
-    rows = report_fy.join(known.withColumnRenamed("day", "available_date"), ["stock_code", "fy", "available_date"], "left")
-    peers = F.transform(F.filter(F.coalesce("known", F.array()), lambda e: e["org_id"] != F.col("org_id")), lambda e: e["forecast"])
-    rows = rows.withColumn("_peers", F.array_sort(peers)).drop("known")
-    rows = rows.withColumns({"consensus_pre": array_median(F.col("_peers")), "n_org_pre": F.size("_peers")})
-    rows = rows.withColumn("mad_pre_abs", array_mad(F.col("_peers"), F.col("consensus_pre"))).drop("_peers")
+    rows = with_peers(report_fy, daily, [], lookback_days).withColumnsRenamed({"_b_median": "consensus_pre", "_b_n": "n_org_pre", "_b_mad": "mad_pre_abs"})
     full = F.date_sub("available_date", lookback_days) >= F.to_date(F.lit(coverage_start))
     reason = F.when(F.col("forecast_conflict") == 1, "conflicting_report_forecast").when(~full, "left_censored").when(F.col("n_org_pre") < min_peers, "insufficient_pre_peers")
     return rows.withColumns({"history_window_complete": full.cast("int"), "pre_invalid_reason": reason})

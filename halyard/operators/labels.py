@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halyard.functions.scalars import clip, compact_date, finite, log_ratio, peer_weight, profit_state, stock_strict, transition
-from halyard.functions.stats import bound, sorted_without
 from halyard.operators.calendar import session_after_months
 from halyard.operators.canonical import latest_per_key
-from halyard.operators.consensus import EPS, MAD_TO_SIGMA, forecast_hits
+from halyard.operators.consensus import EPS, MAD_TO_SIGMA
+from halyard.operators.peers import with_peers
 
 REASONS = ["invalid_stock_code", "not_valid_annual_period", "not_consolidated_statement", "invalid_actual_np", "invalid_ann_dt", "invalid_actual_ann_dt", "actual_ann_before_ann_dt"]
 
@@ -107,92 +107,26 @@ def confirmations(rows: DataFrame, daily: DataFrame, calendar: DataFrame, covera
     insufficient_active_peers, report_inline_with_consensus (here the consensus columns stay filled).
     """
     months = months or [1, 3]
-    lead = max(months) * 31 + 20
     keep = [c for c in ("report_id", "stock_code", "org_id", "fy", "forecast_horizon", "available_date", "forecast_new", "scale_t", "pre_label_valid", "pre_label_invalid_reason", "actual_known_date") if c in rows.columns]
     known_date = F.col("actual_known_date") if "actual_known_date" in rows.columns else F.lit(None).cast("date")
-    keys = ["stock_code", "fy", "available_date"]
     asked = rows.select(*keep)
     for m in months:
         asked = session_after_months(asked, "available_date", m, calendar, f"_target{m}")
-    asked = asked.select(*keep, F.array(*[f"_target{m}" for m in months]).alias("_targets"))
-    days = asked.select(*keys, "_targets").distinct().withColumnRenamed("available_date", "start")
-    each = F.array(*[F.struct(F.lit(m).alias("months"), F.get("_targets", F.lit(i)).alias("day")) for i, m in enumerate(months)])
-    later = days.select("stock_code", "fy", "start", F.explode(each).alias("e")).select("stock_code", "fy", "start", "e.*").where("day is not null")
-    pre = forecast_hits(days.select("stock_code", "fy", "start", F.lit(0).alias("months"), F.col("start").alias("day")), daily, lookback_days, False, lookback_days)
-    post = forecast_hits(later, daily, lookback_days + lead, True, None)
-    # neither moved nor current: no panel takes such a forecast
-    post = post.where((F.col("event_date") >= F.col("start")) | (F.datediff("day", "publish_date") <= lookback_days))
-    # Rows, forecasts before and forecasts after meet in one aggregation by stock, year and day: the peers of a day are put in order once,
-    # and each row leaves out its own organisation by position (a day's rows of one stock are few).
-    seen = pre.unionByName(post).select("stock_code", "fy", F.col("start").alias("available_date"), "months", F.struct("org_id", "months", "event_date", "publish_date", "forecast").alias("_e"))
-    own = asked.select(*keys, F.struct(*[c for c in asked.columns if c not in keys]).alias("_r"))
-    day = own.unionByName(seen, allowMissingColumns=True).groupBy(*keys).agg(F.collect_list("_r").alias("_rows"), *[F.collect_list(F.when(F.col("months") == m, F.col("_e"))).alias(f"_k{m}") for m in (0, *months)])
-    start = F.col("available_date")
-
-    def aligned(known: Column, target: Column) -> Column:
-        """Per organisation: its forecast before, the one after of a panel that stays and of the market, and whether it moved."""
-
-        def pair(a: Column, e: Column, i: Column) -> Column:
-            nxt = F.get(a, i + 1)
-            same, first = nxt["org_id"] == e["org_id"], (i == 0) | (F.get(a, i - 1)["org_id"] != e["org_id"])
-            put = lambda *fields: F.struct(e["org_id"].alias("org_id"), *[f.alias(n) for f, n in zip(fields, ("b", "b_published", "event", "published", "f"))])
-            later = [F.when(same, nxt[c]) for c in ("event_date", "publish_date", "forecast")]
-            return F.when(e["months"] == 0, put(e["forecast"], e["publish_date"], *later)).when(first, put(F.lit(None).cast("double"), F.lit(None).cast("date"), e["event_date"], e["publish_date"], e["forecast"]))
-
-        def item(x: Column) -> Column:
-            upd = x["b"].isNotNull() & (x["event"] > start)
-            # a forecast made on the report's own day counts as unseen: the earlier one stands in, if there is one
-            unseen = x["event"] == start
-            current = F.when(F.datediff(target, F.when(unseen, x["b_published"]).otherwise(x["published"])) <= lookback_days, F.when(unseen, x["b"]).otherwise(x["f"]))
-            return F.struct(x["org_id"].alias("org_id"), x["b"].alias("b"), F.when(upd, x["f"]).otherwise(x["b"]).alias("a"), current.alias("m"), F.when(upd, x["b"]).alias("ub"), F.when(upd, x["f"]).alias("ua"))
-
-        pairs = bound(F.sort_array(known), lambda a: F.filter(F.transform(a, lambda e, i: pair(a, e, i)), lambda x: x.isNotNull()))
-        return F.transform(pairs, item)
-
-    def peers(k: Column) -> Column:
-        """The items of a day and target, and what the day's rows take from them."""
-        numbers = lambda v, field: F.sort_array(F.filter(v[field], lambda x: x.isNotNull())).alias(field)
-        n_in = lambda v: F.size(F.filter(v, lambda x: x["b"].isNull() & x["m"].isNotNull())).alias("n_in")
-        return bound(aligned(k["known"], k["target"]), lambda v: F.struct(k["months"].alias("months"), k["target"].alias("target"), v.alias("items"), v["org_id"].alias("orgs"), *[numbers(v, c) for c in ("b", "a", "m", "ub", "ua")], n_in(v)))
-
-    def panels(r: Column, d: Column) -> Column:
-        """The three panels of a row: sorted forecasts of all organisations, and what of them is the row's own."""
-
-        def panel(name: str, before: Column, b: Column, after: Column, a: Column, n_in: Column, n_out: Column, n_moved: Column, least: int, short: str) -> Column:
-            left = lambda s, x: F.struct(s.alias("s"), x.alias("x"))
-            return F.struct(
-                d["months"].alias("confirmation_months"), d["target"].alias("target_date"), n_moved.alias("n_peer_updates"), F.lit(name).alias("peer_panel"), F.array(left(before, b), left(after, a)).alias("sides"),
-                n_in.alias("n_org_entries"), n_out.alias("n_org_exits"), F.lit(least).alias("least"), F.lit(short).alias("short"),
-            )
-
-        def built(o: Column) -> Column:
-            n_in = d["n_in"] - F.coalesce(o["b"].isNull() & o["m"].isNotNull(), F.lit(False)).cast("int")
-            # who stays is in both counts
-            n_pre, n_market = (F.size(d[c]) - o[c].isNotNull().cast("int") for c in ("b", "m"))
-            n_out, n_moved, zero = n_pre - (n_market - n_in), F.size(d["ub"]) - o["ub"].isNotNull().cast("int"), F.lit(0)
-            return F.array(
-                panel("fixed", d["b"], o["b"], d["a"], o["a"], zero, zero, n_moved, min_peers, "insufficient_future_peers"),
-                panel("market", d["b"], o["b"], d["m"], o["m"], n_in, n_out, n_moved, min_peers, "insufficient_future_peers"),
-                panel("active", d["ub"], o["ub"], d["ua"], o["ua"], zero, zero, n_moved, min_active, "insufficient_active_peers"),
-            )
-
-        return bound(F.get(d["items"], F.array_position(d["orgs"], r["org_id"]).cast("int") - 1), lambda o: F.transform(built(o), lambda p: counted(r, p)))
-
-    def counted(r: Column, p: Column) -> Column:
-        same = ["confirmation_months", "target_date", "n_peer_updates", "peer_panel", "n_org_entries", "n_org_exits", "least", "short"]
-        n = F.transform(p["sides"], lambda z: F.size(z["s"]) - z["x"].isNotNull().cast("int"))
-        need = (r["pre_label_valid"] == 1) & F.forall(n, lambda k: k >= p["least"])
-        sides = F.when(need, F.transform(p["sides"], lambda z: sorted_without(z["s"], z["x"])))
-        return F.struct(*[p[c].alias(c) for c in same], n.alias("n"), sides.alias("sides"))
-
-    def answers(d: Column) -> Column:
-        return F.transform("_rows", lambda r: F.struct(r.alias("r"), F.flatten(F.transform(d, lambda x: panels(r, x))).alias("q")))
-
-    known = F.array(*[F.struct(F.lit(m).alias("months"), F.get(F.get("_rows", F.lit(0))["_targets"], F.lit(i)).alias("target"), F.concat("_k0", f"_k{m}").alias("known")) for i, m in enumerate(months)])
-    flat = day.select(*keys, F.explode(bound(F.transform(known, peers), answers)).alias("x"))
-    flat = flat.select(*keys, "x.r", F.explode("x.q").alias("p")).select(*keys, "r", "p.*")
-    flat = flat.select(*[c if c in keys else f"r.{c}" for c in keep], "confirmation_months", "target_date", "n_peer_updates", "peer_panel", "n_org_entries", "n_org_exits", "least", "short", "n", "sides")
-    flat = flat.withColumns({"n_org_pre": F.get("n", F.lit(0)), "n_org_future": F.get("n", F.lit(1)), "_before": F.get("sides", F.lit(0)), "_after": F.get("sides", F.lit(1))}).drop("n", "sides")
+    flat = with_peers(asked, daily, [f"_target{m}" for m in months], lookback_days)
+
+    def panel(k: int, name: str, before: str, after: str, n_in: Column, n_out: Column, least: int, short: str) -> Column:
+        sides = [F.col(f"_{side}_{what}").alias(out) for side, outs in ((before, ("n_org_pre", "_before", "_before_mad")), (after, ("n_org_future", "_after", "_after_mad"))) for what, out in zip(("n", "median", "mad"), outs)]
+        return F.struct(
+            F.lit(months[k]).alias("confirmation_months"), F.col(f"_target{months[k]}").alias("target_date"), F.col(f"_ub{k}_n").alias("n_peer_updates"), F.lit(name).alias("peer_panel"),
+            n_in.alias("n_org_entries"), n_out.alias("n_org_exits"), F.lit(least).alias("least"), F.lit(short).alias("short"), *sides,
+        )
+
+    panels, zero = [], F.lit(0)
+    for k in range(len(months)):
+        panels.append(panel(k, "fixed", "b", f"a{k}", zero, zero, min_peers, "insufficient_future_peers"))
+        panels.append(panel(k, "market", "b", f"m{k}", F.col(f"_in{k}"), F.col(f"_out{k}"), min_peers, "insufficient_future_peers"))
+        panels.append(panel(k, "active", f"ub{k}", f"ua{k}", zero, zero, min_active, "insufficient_active_peers"))
+    flat = flat.select(*keep, F.explode(F.array(*panels)).alias("p")).select(*keep, "p.*")
     early = (
         F.when(F.col("pre_label_valid") != 1, F.col("pre_label_invalid_reason"))
         .when(F.col("target_date").isNull() | (F.col("target_date") > F.to_date(F.lit(coverage_end))), "right_censored")
@@ -201,11 +135,11 @@ def confirmations(rows: DataFrame, daily: DataFrame, calendar: DataFrame, covera
     )
     flat = flat.withColumn("_early", early)
     ok = F.col("_early").isNull()
-    flat = flat.withColumns({"consensus_before": F.when(ok, F.col("_before.median")), "consensus_future": F.when(ok, F.col("_after.median"))})
+    flat = flat.withColumns({"consensus_before": F.when(ok, F.col("_before")), "consensus_future": F.when(ok, F.col("_after"))})
     flat = flat.withColumns(
         {
-            "dispersion_before": F.when(ok, F.try_divide(MAD_TO_SIGMA * F.col("_before.mad"), F.col("scale_t"))),
-            "dispersion_future": F.when(ok, F.try_divide(MAD_TO_SIGMA * F.col("_after.mad"), F.col("scale_t"))),
+            "dispersion_before": F.when(ok, F.try_divide(MAD_TO_SIGMA * F.col("_before_mad"), F.col("scale_t"))),
+            "dispersion_future": F.when(ok, F.try_divide(MAD_TO_SIGMA * F.col("_after_mad"), F.col("scale_t"))),
             "_gap": F.col("forecast_new") - F.col("consensus_before"),
         }
     )
@@ -222,7 +156,7 @@ def confirmations(rows: DataFrame, daily: DataFrame, calendar: DataFrame, covera
             "confirmation_probe_valid": probe.cast("int"),
             "label_available_date": F.when(good, F.col("target_date")),
         }
-    ).drop("_before", "_after", "least", "short", "_early", "_gap")
+    ).drop("_before", "_before_mad", "_after", "_after_mad", "least", "short", "_early", "_gap")
 
 
 def coverage_audit(rows: DataFrame, label: str, valid: str, reason: str, by: list[str]) -> DataFrame:

@@ -142,3 +142,65 @@ def test_left_out_of_a_sorted_array(spark):
     df = spark.createDataFrame(rows, "v array<double>, x double, rest array<double>").withColumn("m", stats.array_median(F.col("rest")))
     got = df.select("m", stats.array_mad(F.col("rest"), F.col("m")).alias("d"), stats.sorted_without(F.col("v"), F.col("x")).alias("g"))
     assert got.where("g.median <=> m and g.mad <=> d").count() == 400
+
+
+def test_peers_in_blocks(spark, monkeypatch):
+    """Rows of one stock over many blocks, and many stocks in one, against a direct search; neither rows nor forecasts are multiplied in the shuffle."""
+    from halyard.operators import peers
+
+    monkeypatch.setattr(peers, "BLOCK", 5)
+    rng = random.Random(5)
+    day = lambda k: D(2024, 1, 1) + dt.timedelta(days=k)
+    events = {}
+    for _ in range(420):
+        at = rng.randrange(320)
+        events[rng.choice(["s1", "s1", "s2", "s3"]), rng.choice([2024, 2025]), f"o{rng.randrange(9)}", at] = (at - rng.randrange(3), float(rng.choice([-40, 0, 10, 10, 25, rng.randrange(100)])))
+    rows = [(i, rng.choice(["s1", "s1", "s2", "s9"]), rng.choice([2024, 2025]), f"o{rng.randrange(11)}", rng.choice([rng.randrange(320), 150])) for i in range(200)]
+    later = lambda k: None if k > 300 else k + 30
+    daily = spark.createDataFrame([(s, y, o, day(k), day(p), f) for (s, y, o, k), (p, f) in events.items()], "stock_code string, fy int, org_id string, available_date date, publish_date date, forecast double")
+    asked = spark.createDataFrame([(i, s, y, o, day(k), None if later(k) is None else day(later(k))) for i, s, y, o, k in rows], "i int, stock_code string, fy int, org_id string, available_date date, t date")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = peers.with_peers(asked, daily, ["t"], 60)
+        got = {r.i: r for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Join" not in plan and "Generate" not in plan and len(got) == 200
+
+    def summed(v):
+        c = pd.Series(v, dtype=float).median()
+        return (len(v), *((None, None) if not v else (c, (pd.Series(v) - c).abs().median())))
+
+    seen = set()
+    for i, s, y, own, start in rows:
+        side, came, went = {k: [] for k in ("b", "a0", "m0", "ub0", "ua0")}, 0, 0
+        for o in {e[2] for e in events if e[:2] == (s, y)} - {own}:
+            mine = sorted((k, *v) for (a, b, c, k), v in events.items() if (a, b, c) == (s, y, o))
+            pr = next((e for e in reversed(mine) if e[0] < start), None)
+            pr = pr if pr and start - pr[1] <= 60 else None
+            la = next((e for e in reversed(mine) if later(start) is not None and e[0] <= later(start)), None)
+            moved = bool(pr and la and la[0] > start)
+            mk = pr if la and la[0] == start else la
+            mk = mk if mk and later(start) - mk[1] <= 60 else None
+            if pr:
+                side["b"].append(pr[2])
+                side["a0"].append(la[2] if moved else pr[2])
+            if moved:
+                side["ub0"].append(pr[2])
+                side["ua0"].append(la[2])
+            if mk:
+                side["m0"].append(mk[2])
+            came, went = came + bool(mk and not pr), went + bool(pr and not mk)
+        for k, v in side.items():
+            assert tuple(got[i][f"_{k}_{w}"] for w in ("n", "median", "mad")) == summed(v), (i, k)
+            seen.add((k, min(len(v), 2)))
+        assert (got[i]["_in0"], got[i]["_out0"]) == (came, went)
+    assert len(seen) >= 14
+
+
+def test_confirmations_shuffle_once(spark, cal):
+    _, daily, rows = build(spark, cal, SCENARIO)
+    rows, daily = (spark.createDataFrame(x.collect(), x.schema) for x in (rows, daily))
+    plan = labels.confirmations(rows, daily, cal, "2025-12-31")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Aggregate [stock_code" not in plan and "_m#" not in plan
