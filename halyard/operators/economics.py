@@ -208,13 +208,18 @@ def analyst_information(labels: DataFrame, universes: DataFrame) -> DataFrame:
     return rows.withColumns({"signal": signal, "surprise": surprise}).withColumn("direction_hit", same_sign("signal", "surprise"))
 
 
-def consensus_revisions(confirmations: DataFrame, labels: DataFrame, universes: DataFrame) -> DataFrame:
-    """Valid confirmations of the universe (zero progress stays) with the consensus revision and whether it went the report's way."""
+def consensus_revisions(confirmations: DataFrame, labels: DataFrame | None, universes: DataFrame) -> DataFrame:
+    """Valid confirmations of the universe (zero progress stays) with the consensus revision and whether it went the report's way.
+
+    ``labels`` give the actual; with None it is left out, and with it a join of all rows.
+    """
     valid = in_universe(confirmations.where("confirmation_valid = 1"), universes, F.year("available_date"))
     revision = F.try_divide(F.col("consensus_future") - F.col("consensus_before"), F.col("scale_t"))
     signal = F.try_divide(F.col("forecast_new") - F.col("consensus_before"), F.col("scale_t"))
-    actual = labels.select("report_id", "fy", "actual_np").dropDuplicates(["report_id", "fy"])
-    return valid.withColumns({"revision": revision, "signal": signal}).withColumn("direction_hit", same_sign("signal", "revision")).join(actual, ["report_id", "fy"], "left")
+    valid = valid.withColumns({"revision": revision, "signal": signal}).withColumn("direction_hit", same_sign("signal", "revision"))
+    if labels is None:
+        return valid
+    return valid.join(labels.select("report_id", "fy", "actual_np").dropDuplicates(["report_id", "fy"]), ["report_id", "fy"], "left")
 
 
 def clustered_ols(df: DataFrame, x: str, y: str, cluster: str, by: list[str] | None = None) -> DataFrame:

@@ -77,8 +77,7 @@ def analyst_information(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def revision_samples(spark: SparkSession, folder: str) -> DataFrame:
-    rows, _ = _labelled(spark, folder)
-    out = economics.consensus_revisions(_confirmed(spark, folder), rows, _universes(spark, folder))
+    out = economics.consensus_revisions(_confirmed(spark, folder), None, _universes(spark, folder))
     return out.select("report_id", "fy", "confirmation_months", "peer_panel", F.round("revision", 6).alias("revision"), F.round("signal", 6).alias("signal"), F.col("direction_hit").cast("int").alias("direction_hit"))
 
 

@@ -273,3 +273,14 @@ def test_newey_west_uses_no_more_lags_than_there_are(spark):
         assert (got[n].t is None) == (want is None) and (want is None or math.isclose(got[n].t, want, rel_tol=1e-9))
         assert got[n].lags == min(4, n - 1)
     assert got[99].t is None
+
+
+def test_revisions_without_actuals(spark):
+    """What needs no actual joins no labels; all else is the same."""
+    rows = [(i, 2024, D(2024, 1, 2 + i % 3), f"s{i % 3}", i % 2, 100.0 + i, 90.0, 95.0, 10.0) for i in range(12)]
+    conf = spark.createDataFrame(rows, "report_id int, fy int, available_date date, stock_code string, confirmation_valid int, forecast_new double, consensus_before double, consensus_future double, scale_t double")
+    act = spark.createDataFrame([(i, 2024, float(i)) for i in range(0, 12, 3)], "report_id int, fy int, actual_np double")
+    uni = spark.createDataFrame([(2024, "s0"), (2024, "s1")], "year int, stock_code string")
+    bare, full = economics.consensus_revisions(conf, None, uni), economics.consensus_revisions(conf, act, uni)
+    assert sorted(bare.collect()) == sorted(full.select(*bare.columns).collect()) and bare.count() == 4 and "actual_np" not in bare.columns
+    assert bare._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
