@@ -21,12 +21,12 @@ def day_map(calendar: DataFrame, date: str = "date") -> DataFrame:
     edge = days.agg(F.max("day").alias("hi")).where("hi is not null")
     spine = edge.select(F.explode(F.sequence(F.to_date(F.lit(EPOCH)), "hi")).alias("day")).join(days, "day", "left")
     session = F.when(F.col("is_session"), F.col("day"))
-    ahead = Window.orderBy("day")
+    ahead = Window.orderBy(F.desc("day"))  # from the end, where Spark carries the minimum on; a frame that is open to what follows is scanned again for each day
     return spine.select(
         "day",
         F.coalesce("is_session", F.lit(False)).alias("is_session"),
-        F.min(session).over(ahead.rowsBetween(0, Window.unboundedFollowing)).alias("on_or_after"),
-        F.min(session).over(ahead.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
+        F.min(session).over(ahead.rowsBetween(Window.unboundedPreceding, 0)).alias("on_or_after"),
+        F.min(session).over(ahead.rowsBetween(Window.unboundedPreceding, -1)).alias("after"),
     )
 
 

@@ -83,3 +83,13 @@ def test_quantile_buckets_equal_qcut_of_first_ranks(spark, q):
         df = spark.range(n).select(F.col("id"), stats.quantile_bucket([F.col("id")], q).alias("b"))
         got = [r.b for r in df.orderBy("id").collect()]
         assert got == (pd.qcut(pd.Series(range(n)).rank(method="first"), q, labels=False) + 1).tolist()
+
+
+def test_day_map_carries_the_minimum_on(spark):
+    """A frame open to what follows is scanned again for each of the 13,000 days."""
+    from halyard.operators.calendar import day_map
+
+    days = day_map(spark.createDataFrame([(D(2024, 1, 2),), (D(2024, 1, 5),)], "date date"))
+    assert "unboundedfollowing" not in days._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = {r.day: (r.is_session, r.on_or_after, r.after) for r in days.where("day >= '2024-01-01'").collect()}
+    assert got == {D(2024, 1, k): (k in (2, 5), D(2024, 1, 2 if k < 3 else 5), D(2024, 1, 2) if k < 2 else D(2024, 1, 5) if k < 5 else None) for k in range(1, 6)}
